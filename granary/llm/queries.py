@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, tokencount
+from granary.llm import bpe, langid, licenses, media, quality, tokencount
 from granary.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,12 +16,32 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, PATTERN)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), VOCABULARY, PATTERN)
 
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_license_scan": op2_license_scan,
+    "op3_media_columns": op3_media_columns,
+    "op4_quality": op4_quality,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
