@@ -13,10 +13,14 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +103,54 @@ _ARROW = {
 def _arrow_fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
     pairs = [x.strip().split(" ", 1) for x in schema.split(",")]
     return [n for n, _ in pairs], [_ARROW[t.strip()] for _, t in pairs]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:  # a single machine, as in tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from there: it cuts the lineage, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/granary/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, with a bounded memory."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about so many characters together, so that arrays over their words stay small."""
+    start = size = 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= chars:
+            yield start, n + 1
+            start, size = n + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

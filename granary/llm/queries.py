@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, decontaminate, langid, licenses, media, quality, tokencount
+from granary.llm import bpe, decontaminate, langid, licenses, media, minhash, quality, tokencount
 from granary.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classify(documents(spark, sf_dir)).drop("tag")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_minhash": op6_minhash,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
