@@ -212,3 +212,21 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame
     rest = held_out(F.col("doc_id"), modulus, remainder)
     samples = labelled_sample(docs.select("doc_id", "text", "lang"), ~rest)
     return predict_column(id_and_text(docs), samples).select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those that ``identify`` finds ``und``.
+
+    These are null texts and texts without letters. The prediction travels with the row, so the
+    texts are not shuffled.
+    """
+    samples = labelled_sample(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), modulus, remainder))
+    given, names = tuple(sorted(samples.items())), docs.columns
+    place = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _parser(given).predict([text or "" for text in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
