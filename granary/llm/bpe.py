@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from granary.llm.common import id_and_text, map_rows, sha256_hex, utf8
 
 #: What a worker keeps in memory of pieces that it has encoded before.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 CACHE_PIECE_BYTES = 64
 
 NEVER = 1 << 60
@@ -99,7 +99,7 @@ class Vocabulary:
                 b = self.halves(b)[0]
             else:
                 break
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > 300_000:
             self._fits.clear()
         self._fits[key] = answer
         return answer

@@ -32,7 +32,20 @@ _WORD_BYTES = bytes(
 _SPACE_BYTES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
+#: Bytes of an Arrow batch: what a Python worker holds of its partition at once.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, whatever the length of texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    if not (given and given.rstrip("bB").isdigit() and 0 < int(given.rstrip("bB")) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -125,7 +138,7 @@ def stored(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """word -> 64-bit hash, with a bounded memory."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -25,7 +25,7 @@ from granary.llm.common import has_letter, id_and_text
 
 #: Bounds of the labelled sample: documents, and letters, for each language.
 SAMPLE_DOCUMENTS = 60
-SAMPLE_LETTERS = 40_000
+SAMPLE_LETTERS = 30_000
 #: Letters that the automata tell apart; rarer ones match nothing.
 ALPHABET = 63
 #: A text is parsed in stretches of this many letters, so that a batch advances through many at once.
@@ -180,7 +180,7 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
