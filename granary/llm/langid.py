@@ -127,17 +127,18 @@ class CrossParser:
         for lang in self.languages:
             coded = self.code[parts[lang]].tolist()
             automaton = SuffixAutomaton(coded)
-            table = np.full((len(automaton.next), width), -1, np.int32)
+            dead = len(automaton.next)  # behind an unknown letter, and before the first one: any letter opens a phrase
+            table = np.full((dead + 1, width), -1, np.int32)
             for state, moves in enumerate(automaton.next):
                 if moves:
                     table[state, list(moves)] = list(moves.values())
             # where nothing goes on, a phrase ends and the letter opens the next one
             table[:, 0] = -1
-            first = np.where(table[0] < 0, 0, table[0]) + base
+            first = np.where(table[0] < 0, dead, table[0]) + base
             tables.append(np.where(table < 0, first | _BREAK, table + base).astype(np.int32))
-            self.roots.append(base)
+            self.roots.append(base + dead)
             self.bits.append(math.log2(max(2, len(coded))))
-            base += len(automaton.next)
+            base += dead + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +154,13 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         owner, start, length = owner[order], start[order], length[order]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        total = np.ones((len(self.roots), len(owner)), np.int32)
+        total = np.zeros((len(self.roots), len(owner)), np.int32)
         width = ALPHABET + 1
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
         for step, n in enumerate(active.tolist()):
             moved = self.table[(state[:, :n] & (_BREAK - 1)) * width + letters[start[:n] + step]]
             total[:, :n] += moved >> 30
             state[:, :n] = moved
-        # the first letter of a stretch may itself be a break: the phrase counted for it is empty
         out = np.zeros((len(texts), len(self.roots)), np.int64)
         for k in range(len(self.roots)):
             out[:, k] = np.bincount(owner, weights=total[k], minlength=len(texts))
