@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from granary.llm.common import id_and_text, map_rows, sha256_hex, utf8
 
 #: What a worker keeps in memory of pieces that it has encoded before.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 250_000
 CACHE_PIECE_BYTES = 64
 
 NEVER = 1 << 60

@@ -33,7 +33,7 @@ _SPACE_BYTES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
 #: Bytes of an Arrow batch: what a Python worker holds of its partition at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -25,9 +25,9 @@ from granary.llm.common import has_letter, id_and_text
 
 #: Bounds of the labelled sample: documents, and letters, for each language.
 SAMPLE_DOCUMENTS = 60
-SAMPLE_LETTERS = 30_000
+SAMPLE_LETTERS = 16_000
 #: Letters that the automata tell apart; rarer ones match nothing.
-ALPHABET = 63
+ALPHABET = 47
 #: A text is parsed in stretches of this many letters, so that a batch advances through many at once.
 STRETCH = 2048
 UNDETERMINED = "und"
