@@ -46,7 +46,7 @@ def decode_text_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return rows.select(name.alias("file_name"), F.when(suffix.isin("pdf", "docx", "txt"), suffix).otherwise("txt").alias("source_type"), text.alias("raw_text"))
 
 
