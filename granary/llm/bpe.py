@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from granary.llm.common import id_and_text, map_rows, sha256_hex, utf8
+from granary.llm.common import held, id_and_text, map_rows, sha256_hex, utf8
 
 #: What a worker keeps in memory of pieces that it has encoded before.
 CACHE_PIECES = 250_000
@@ -251,10 +250,9 @@ class TextEncoder:
         return b"".join(map(self._decode, np.frombuffer(code, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def text_encoder(path: str, pattern: str) -> TextEncoder:
-    """One per worker process and vocabulary."""
-    return TextEncoder(Vocabulary.load(path), pattern)
+    """One per worker process."""
+    return held(("bpe", path, pattern), lambda: TextEncoder(Vocabulary.load(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

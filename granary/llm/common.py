@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import unicodedata
@@ -135,6 +136,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def release() -> None:
+    """Let go of what operators that ran before in this worker process have kept."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def held(key, build: Callable):
+    """One large object, such as a vocabulary, for the tasks of a worker process; only the last one asked for stays."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, with a bounded memory."""
 

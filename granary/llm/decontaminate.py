@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower_words, id_and_text, sha256_hex
+from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_hex
 
 WINDOW = 10
 #: Benchmark text that is sent to the tasks at once.
@@ -201,6 +201,7 @@ def find_hits(
     blocks = [Block(items, window) for items in _blocks(benchmark, block_chars)]
 
     def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = match(batch.column(1).to_pylist(), blocks[0], window)
             columns = [

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import has_letter, id_and_text
+from granary.llm.common import has_letter, held, id_and_text
 
 #: Bounds of the labelled sample: documents, and letters, for each language.
 SAMPLE_DOCUMENTS = 60
@@ -180,9 +180,8 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(dict(samples))
+    return held(("languages", samples), lambda: CrossParser(dict(samples)))
 
 
 def predict_column(df: DataFrame, samples: dict[str, str]) -> DataFrame:

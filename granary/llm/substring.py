@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WordHashes, mixed, portions, sha256_hex, space_words, stored
+from granary.llm.common import WordHashes, mixed, portions, release, sha256_hex, space_words, stored
 
 WINDOW = 20
 ROUNDS = 3
@@ -228,6 +228,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """part, span, id, packed: what to group by, hash of the text, document, and start, windows, kind and tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes = WordHashes()
         for batch in batches:
             ids = np.array(batch.column(0), np.int64)
@@ -262,6 +263,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """h1, h2, id, packed: hashes of a window, document, and its start, kind and tag; of the runs listed with the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = np.array(batch.column(0), np.int64)

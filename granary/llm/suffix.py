@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import mixed, sha256_hex, stored, utf8
+from granary.llm.common import mixed, release, sha256_hex, stored, utf8
 from granary.llm.substring import _M, _MOST, ALONE, COPY, FURTHER, ONE_OF_SEVERAL, Ranges, _pack, keyed
 
 LENGTH = 400
@@ -177,6 +177,7 @@ def _piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """name, span, id, packed: the gram, hash of the text, document; and start, strings, kind, repeated and tag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, tags = np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)
             parts = []

@@ -12,12 +12,11 @@ to its length. Only the *number* of popped tokens is stored, never the tokens.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from granary.llm.bpe import Pieces, Vocabulary
-from granary.llm.common import id_and_text, map_rows, utf8
+from granary.llm.common import held, id_and_text, map_rows, utf8
 
 ROOT = 0
 NONE = -1
@@ -90,9 +89,8 @@ class TextCounter:
         return total >> 32, total & 0xFFFFFFFF
 
 
-@lru_cache(maxsize=2)
 def text_counter(path: str, pattern: str) -> TextCounter:
-    return TextCounter(Vocabulary.load(path), pattern)
+    return held(("counts", path, pattern), lambda: TextCounter(Vocabulary.load(path), pattern))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
