@@ -181,7 +181,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, key: str, text: str, po
         part = prepared.mapInArrow(_scorer([tuple(r) for r in rows], pool), _HITS)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool).drop("text_key")
+    return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= pool).drop("text_key")
 
 
 _PARTS = ("vector", "keyword", "title", "domain", "reliability", "penalty")
@@ -249,7 +249,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, key: str, column: str,
         )
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 5)), "key")
-    ranked = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    ranked = found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
     return ranked.select("query_id", F.col("key").alias(key), "place", F.round("score", 5).alias("score"))
 
 
@@ -286,7 +286,7 @@ def evaluate(cases: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     ``cases`` has query_id, expected and top (arrays of lower-case terms); ``hits`` has query_id, place and lower-case text.
     """
     ranked = hits.where(F.col("place") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("hits"))
-    rows = cases.join(ranked, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<place:int,text:string>>")))
+    rows = cases.join(ranked, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<place:bigint,text:string>>")))
     every = F.array_join(F.transform("hits", lambda h: h["text"]), " ")
     matched = F.size(F.filter("expected", lambda t: F.contains(every, t)))
     holds = F.filter("hits", lambda h: F.forall("top", lambda t: F.contains(h["text"], t)))

@@ -250,7 +250,7 @@ def q_source_id(spark, sf):
 
 @query("short_hash", "SELECT conv_id, turn, substr(sha256(text), 1, 12) AS short_hash, len(text) AS n FROM conversations")
 def q_short_hash(spark, sf):
-    return read(spark, sf, "conversations").select("conv_id", "turn", dedupe.short_hash(F.col("text")).alias("short_hash"), F.length("text").alias("n"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", dedupe.short_hash(F.col("text")).alias("short_hash"), F.length("text").cast("long").alias("n"))
 
 
 @query("clean_noise", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s.,;:!?%()/\-+]', ' ', 'g'), '[ \t]+', ' ', 'g')) AS cleaned FROM documents")
@@ -261,7 +261,7 @@ def q_clean_noise(spark, sf):
 @query("tokens", f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {S.tokens('text')} AS t FROM documents)")
 def q_tokens(spark, sf):
     t = read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("query_phrases", f"WITH t AS (SELECT item_id, {S.tokens('text')} AS t FROM benchmark) SELECT item_id, array_to_string({S.phrases('t')}, '|') AS phrases FROM t")
@@ -363,7 +363,7 @@ def q_upsert(spark, sf):
 def q_inputs(spark, sf):
     src = sources(spark, sf)
     rows = src.join(chunk_sizes(src), "source_id", "left")
-    return rows.select("source_id", F.length("raw_text").alias("raw_chars"), F.length("cleaned_text").alias("cleaned_chars"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.round(F.coalesce("avg_chunk_chars", F.lit(0.0)), 3).alias("avg_chars"))
+    return rows.select("source_id", F.length("raw_text").cast("long").alias("raw_chars"), F.length("cleaned_text").cast("long").alias("cleaned_chars"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.round(F.coalesce("avg_chunk_chars", F.lit(0.0)), 3).alias("avg_chars"))
 
 
 @query("source_quality", f"WITH {REPORT} SELECT source_id, level AS reliability_level, coalesce(chunk_count, 0) AS chunk_count, round(dup, 3) AS dup, round(noise, 3) AS noise, round(signal, 3) AS signal, round(quality_score, 4) AS quality_score, array_to_string(warnings, ',') AS warnings, review_status, indexing_status FROM r")

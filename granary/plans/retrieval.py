@@ -135,7 +135,7 @@ def q_scoped(spark, sf):
     facts = sources(spark, sf).select(F.col("doc_id").alias("chunk_id"), taxonomy.classify(F.concat_ws(" ", "title", "url"))["category"].alias("category"))
     kept = hits(spark, sf).join(facts, "chunk_id").where("chunk_id % 13 <> 0 AND category = 'cham_soc_dinh_duong'")
     order = Window.partitionBy("query_id").orderBy("place")
-    return kept.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "chunk_id", "rank")
+    return kept.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5").select("query_id", "chunk_id", "rank")
 
 
 _EVAL = f"""{_SEARCH}, t5 AS (SELECT item_id, place, lower(text) AS x FROM hits JOIN documents USING (doc_id) WHERE place <= 5),
@@ -174,7 +174,7 @@ def q_gate(spark, sf):
     top = hits(spark, sf).where("place <= 5").select("query_id", "chunk_id", "place").join(texts, "chunk_id")
     joined = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda h: h["x"]), " ").alias("x"))
     matched = F.size(F.filter("ws", lambda t: F.contains(F.col("x"), t)))
-    return asked.join(joined, "query_id").select("query_id", matched.alias("matched"), (matched >= F.least(F.lit(2), F.size("ws"))).alias("enough"))
+    return asked.join(joined, "query_id").select("query_id", matched.cast("long").alias("matched"), (matched >= F.least(F.lit(2), F.size("ws"))).alias("enough"))
 
 
 @query("filter_relevant_chunks", f"WITH {_SEARCH}, f AS (SELECT item_id, doc_id, place, len(list_filter(list_distinct({S.tokens('b.text', 5)}), lambda i: contains({S.fold('d.text')}, i))) > 0 AS good FROM hits JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE place <= 5) SELECT item_id AS query_id, doc_id AS chunk_id FROM (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS any_good FROM f) WHERE good OR (NOT any_good AND place = 1)")

@@ -67,7 +67,7 @@ def test_search_does_not_depend_on_partitions(spark, n):
 
 def test_evaluation_edges(spark):
     cases = spark.createDataFrame([(1, ["rust"], ["leaf"]), (2, ["x"], []), (3, [], [])], "query_id long, expected array<string>, top array<string>")
-    hits = spark.createDataFrame([(1, 1, "rust"), (1, 2, "leaf rust"), (3, 1, "any")], "query_id long, place int, text string")
+    hits = spark.createDataFrame([(1, 1, "rust"), (1, 2, "leaf rust"), (3, 1, "any")], "query_id long, place long, text string")
     got = {r.query_id: (r.recall, r.reciprocal_rank, r.cited, r.passed) for r in search.evaluate(cases, hits).collect()}
     assert got[1] == (1.0, 0.5, True, False) and got[2] == (0.0, 0.0, False, False) and got[3] == (1.0, 1.0, True, True)
 
