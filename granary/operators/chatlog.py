@@ -41,7 +41,7 @@ GREETING = ("hi", "hello", "helo", "hey", "chao", "xin chao", "chao ban", "chao
 GREETING_MORE = ("chao em", "chao anh")
 THANKS = ("cam on", "thanks", "thank you", "ok cam on", "oke cam on")
 GOODBYE = ("tam biet", "bye", "goodbye")
-CAPABILITY = ("ban lam duoc gi", "co the lam gi", "huong dan su dung", "hoi gi duoc", "ban la ai", "nong tri ai la gi")
+CAPABILITY = ("ban lam duoc gi", "co the lam gi", "huong dan su dung", "hoi gi duoc", "ban la ai")  # add the name of one's own assistant
 TECHNIQUE = (
     "lam sao", "the nao", "ra sao", "tai sao", "vi sao", "khi nao", "bao nhieu", "bao lau", "bao gio", "lieu luong", "trieu chung",
     "nguyen nhan", "cach",
