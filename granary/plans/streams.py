@@ -17,7 +17,10 @@ SQL: dict[str, str] = {}
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Drain a stream into a table in memory: results of these jobs are small aggregates."""
     name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if shared := stream.sparkSession.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{shared}/streams/{name}")
+    query = writer.start()
     try:
         query.awaitTermination()
     finally:

@@ -108,3 +108,11 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         jobs.ingest(stream, str(tmp_path / "store"), str(tmp_path / "cp")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_streams_equal_batches(spark):
+    from granary.plans import logs, streams
+
+    sf = "/root/testdata/sf0.001"
+    assert sorted(map(tuple, streams.stream_rate_limit(spark, sf).collect())) == sorted(map(tuple, logs.q_rate(spark, sf).collect()))
+    assert streams.stream_latency(spark, sf).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
