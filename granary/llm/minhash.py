@@ -34,9 +34,12 @@ BANDS = 24
 BAND_ROWS = 5
 #: Up to so many texts of one bucket are compared each with each.
 ALL_PAIRS = 32
-#: In larger ones, so many leaders and neighbours for each text.
+#: In larger ones, so many leaders and neighbours for each text come first.
 LEADERS = 2
 NEIGHBOURS = 3
+#: 64-bit words of a sketch, and texts of a large bucket that are paired in one place.
+SKETCH = 32
+BLOCK = 256
 #: Characters whose words are worked on at once.
 PORTION = 1_500_000
 
@@ -230,7 +233,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """Each row of a bucket with the next NEIGHBOURS ones, in the order of two further bands.
 
     A range partitioning spreads a hot bucket over many tasks; rows at the seams of partitions
-    have neighbours on one side only.
+    have neighbours on one side only, so these are a first guess that _across completes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +253,61 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return ranged.select("bucket", "node").mapInArrow(run, "a binary, b binary")
 
 
+def _sketches(words: DataFrame, size: int) -> DataFrame:
+    """node, total (its number of shingles) and w0, w1, ...: bit h says if an odd number of shingles hash to h."""
+    names = [f"w{k}" for k in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            totals, rows = [], np.zeros((batch.num_rows, SKETCH), np.int64)
+            for n, packed in enumerate(batch.column(1).to_pylist()):
+                found = np.unique(shingles(hashes.array(unpack(packed).split(b" ")), size))
+                odd = np.bincount((found % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                rows[n] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                totals.append(len(found))
+            columns = [batch.column(0), pa.array(totals, pa.int64()), *(pa.array(rows[:, k]) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "total", *names])
+
+    return words.select("node", "words").mapInArrow(run, ", ".join(["node binary", "total long", *(f"{w} long" for w in names)]))
+
+
+def _across(large: DataFrame, found: DataFrame, words: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs a < b of large buckets that ``found`` leaves in different components and that may be alike.
+
+    Pairs within a component would change no class. Of the others only those are left out that
+    cannot be alike: shingles of one text alone flip at most one bit of the sketch each, so
+    the bits that differ are no more than the shingles that are not shared. Blocks of a bucket
+    meet two by two, so that a hot bucket is spread.
+    """
+    labelled = large.join(components(found), "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
+    mixed_ones = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = stored(labelled.join(mixed_ones.select("bucket"), "bucket"))
+    sketches = stored(_sketches(words.join(rows.select("node").distinct(), "node", "left_semi"), size))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.join(sketches, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    x = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
+    y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("y")
+    total = F.col("x.total") + F.col("y.total")
+    differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    shorter, longer = F.least("x.total", "y.total"), F.greatest("x.total", "y.total")
+    may_be = (shorter >= threshold * longer - 1e-6 * total) & ((total - differ) * (1 + threshold) >= (2 * threshold - 1e-6) * total)
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "i", "j")]
+    met = x.join(y, [*same, once, F.col("x.label") != F.col("y.label"), may_be])
+    return met.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs a < b of nodes that are verified exactly; their components are the classes.
+    """Pairs a < b of nodes, verified exactly, whose components are those of all links among candidates.
 
     Texts that agree in a band are candidates. Up to ALL_PAIRS texts of a bucket are compared
     each with each. A larger bucket holds near copies of one text, or texts that share a long passage:
-    there each text is compared with the LEADERS texts that share most with all others, as the
-    original of many copies does, and with its neighbours in the order of two further bands. So a
-    bucket costs a few pairs for each of its texts, never their square. A pair meets in a third of its bands or
-    more, in each with other leaders and neighbours.
+    there each text is first compared with the LEADERS texts that share most with all others, as the
+    original of many copies does, and with its neighbours in the order of two further bands. This links
+    most near copies at a few pairs a text; then all other pairs of such a bucket are looked at,
+    but those whose texts are in one component by now.
     """
     texts = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"))
     members = stored(_shared(texts.select("node", F.posexplode("bands").alias("band", "bucket")), "bucket"))
@@ -275,7 +324,11 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, threshold: fl
     beside = _neighbours(large.join(texts, "node").select("bucket", "node", *further))
     small = _each_with_each(members.where(F.col("n") <= ALL_PAIRS), "bucket")
     pairs = small.unionByName(led).unionByName(beside).distinct()
-    return stored(_compared(pairs, words, size, threshold)).where("alike").select("a", "b")
+    found = stored(_compared(pairs, words, size, threshold)).where("alike").select("a", "b")
+    if large.isEmpty():
+        return found
+    rest = _across(large, found, words, size, threshold)
+    return found.unionByName(stored(_compared(rest, words, size, threshold)).where("alike").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

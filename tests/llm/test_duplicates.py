@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, minhash, substring, suffix
 from granary.llm.common import ascii_lower_words, mixed, space_words
@@ -108,6 +109,24 @@ def test_classes_by_brute_force(spark):
     assert minhash.keep_first(df).count() == len({root(i) for i in sets})
 
 
+def test_large_bucket_of_many_classes(spark):
+    """All texts agree in the first band only, and most partners are neither leaders nor neighbours in it."""
+    r = random.Random(5)
+    rows, bands = [], {}
+    for g in range(150):
+        base = ["g%dx%d" % (g, i) for i in range(120)]
+        for c in range(2):
+            rows.append((2 * g + c, " ".join([*base[:60], "own%d" % c, *base[61:]])))
+            bands[2 * g + c] = [1] + [r.getrandbits(62) for _ in range(23)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame(list(bands.items()), "doc_id long, given array<long>")
+    signed = minhash.sign(df).join(given, "doc_id").select("doc_id", "tag", "node", F.col("given").alias("bands")).localCheckpoint()
+    assert len(rows) > 2 * minhash.ALL_PAIRS
+    ids = {bytes(row.node): row.doc_id for row in signed.collect()}
+    got = {tuple(sorted((ids[bytes(x.a)], ids[bytes(x.b)]))) for x in minhash.links(df, signed).collect()}
+    assert got == {(2 * g, 2 * g + 1) for g in range(150)}
+
+
 def _windows(rows, size):
     """(doc, start) of windows that also start earlier; rows of null id come first."""
     seen, out = set(), {}
