@@ -26,7 +26,7 @@ from granary.llm.common import has_letter, held, id_and_text
 #: Bounds of the labelled sample: documents, and letters, for each language.
 SAMPLE_DOCUMENTS = 60
 SAMPLE_LETTERS = 16_000
-#: Letters that the automata tell apart; rarer ones match nothing.
+#: The most frequent letters have columns in the table of moves; moves by the others are searched in a sorted list.
 ALPHABET = 47
 #: A text is parsed in stretches of this many letters, so that a batch advances through many at once.
 STRETCH = 2048
@@ -119,33 +119,49 @@ class CrossParser:
         self.languages = sorted(samples)
         parts = {lang: _letters(samples[lang])[:SAMPLE_LETTERS] for lang in self.languages}
         common = Counter(x for part in parts.values() for x in part.tolist())
-        self.code = np.zeros(0x110000, np.uint8)
-        for n, (point, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
+        self.size = len(common) + 1
+        self.code = np.zeros(0x110000, np.min_scalar_type(self.size))
+        for n, (point, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))):
             self.code[point] = n + 1
         width = ALPHABET + 1
         self.roots, self.bits, tables, base = [], [], [], 0
-        for lang in self.languages:
+        keys, values, self.rare_first = [], [], np.zeros((len(self.languages), max(0, self.size - width)), np.int32)
+        for k, lang in enumerate(self.languages):
             coded = self.code[parts[lang]].tolist()
             automaton = SuffixAutomaton(coded)
             dead = len(automaton.next)  # behind an unknown letter, and before the first one: any letter opens a phrase
             table = np.full((dead + 1, width), -1, np.int32)
             for state, moves in enumerate(automaton.next):
-                if moves:
-                    table[state, list(moves)] = list(moves.values())
+                for symbol, target in moves.items():
+                    if symbol < width:
+                        table[state, symbol] = target
+                    else:
+                        keys.append((base + state) * self.size + symbol)
+                        values.append(base + target)
             # where nothing goes on, a phrase ends and the letter opens the next one
             table[:, 0] = -1
             first = np.where(table[0] < 0, dead, table[0]) + base
             tables.append(np.where(table < 0, first | _BREAK, table + base).astype(np.int32))
+            opening = [automaton.next[0].get(symbol, dead) for symbol in range(width, self.size)]
+            self.rare_first[k] = (np.array(opening, np.int64) + base) | _BREAK
             self.roots.append(base + dead)
             self.bits.append(math.log2(max(2, len(coded))))
             base += dead + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+
+    def _rare_moves(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Moves from states (languages x places) by letters that have no column."""
+        key = (state & (_BREAK - 1)).astype(np.int64) * self.size + symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.rare_first[:, symbols.astype(np.int64) - ALPHABET - 1])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letters of each text, phrases of each text and language)."""
         coded = [self.code[_letters(text)] for text in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
-        letters = np.concatenate([*coded, np.zeros(1, np.uint8)])
+        letters = np.concatenate([*coded, np.zeros(1, self.code.dtype)])
         counts = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -155,10 +171,14 @@ class CrossParser:
         owner, start, length = owner[order], start[order], length[order]
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
         total = np.zeros((len(self.roots), len(owner)), np.int32)
-        width = ALPHABET + 1
+        width, any_rare = ALPHABET + 1, bool(len(self.roots)) and int(letters.max()) > ALPHABET
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
         for step, n in enumerate(active.tolist()):
-            moved = self.table[(state[:, :n] & (_BREAK - 1)) * width + letters[start[:n] + step]]
+            symbols = letters[start[:n] + step]
+            rare = np.flatnonzero(symbols >= width) if any_rare else ()
+            moved = self.table[(state[:, :n] & (_BREAK - 1)) * width + (np.minimum(symbols, ALPHABET) if len(rare) else symbols)]
+            if len(rare):
+                moved[:, rare] = self._rare_moves(state[:, rare], symbols[rare])
             total[:, :n] += moved >> 30
             state[:, :n] = moved
         out = np.zeros((len(texts), len(self.roots)), np.int64)

@@ -10,7 +10,7 @@ import pytest
 
 from granary.llm import licenses, media
 from granary.llm.common import ascii_lower_words
-from granary.llm.langid import CrossParser, SuffixAutomaton, identify
+from granary.llm.langid import CrossParser, SuffixAutomaton, _letters, identify
 from granary.llm.quality import score_documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,6 +105,42 @@ def test_suffix_automaton_and_phrases_by_brute_force():
         assert int(parser.phrases([text])[1][0, 0]) == phrases
 
 
+def _scripts(r):
+    """Texts of two Latin, one Cyrillic and two Han languages; the last two share their letters, not their words."""
+    han = [chr(0x4E00 + 7 * i) for i in range(900)]
+    letters = {"la": "abcdefghijklmnopqrstuvwxyz", "lb": "abcdefghijklmnopqrstuvwxyzäöüßéèà", "cy": [chr(c) for c in range(0x430, 0x450)], "ha": han, "hb": han}
+    words = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 5))) for _ in range(400)] for k, v in letters.items()}
+    return lambda lang, n: (" " if lang[0] != "h" else "").join(r.choice(words[lang]) for _ in range(n)), list(letters)
+
+
+def test_languages_of_several_scripts():
+    r = random.Random(9)
+    text, names = _scripts(r)
+    parser = CrossParser({lang: text(lang, 4000) for lang in names})
+    want = [lang for lang in names for _ in range(40)]
+    got = [lang for lang, _ in parser.predict([text(lang, 40) for lang in want])]
+    assert sum(x == y for x, y in zip(want, got, strict=True)) / len(want) > 0.98
+
+
+def test_phrases_of_rare_letters_by_brute_force():
+    r = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(120)] + list("abc ")
+    samples = {k: "".join(r.choice(letters) for _ in range(1500)) for k in "xyz"}
+    texts = ["".join(r.choice([*letters, "я"]) for _ in range(300)) + samples["y"][50:90] for _ in range(5)]
+    parser = CrossParser(samples)
+    known = {k: "".join(map(chr, _letters(v))) for k, v in samples.items()}
+    for text, row in zip(texts, parser.phrases(texts)[1].tolist(), strict=True):
+        data = "".join(map(chr, _letters(text)))
+        for k, n in zip(sorted(samples), row, strict=True):
+            at = count = 0
+            while at < len(data):
+                size = 1
+                while at + size < len(data) and data[at : at + size + 1] in known[k]:
+                    size += 1
+                at, count = at + size, count + 1
+            assert count == n
+
+
 DATA = "/root/testdata/sf0.01"
 
 
