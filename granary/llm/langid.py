@@ -234,10 +234,10 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame
 
 
 def keep_identified(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but those that ``identify`` finds ``und``.
+    """The rows of ``docs``, with all their columns, but null texts and texts without letters.
 
-    These are null texts and texts without letters. The prediction travels with the row, so the
-    texts are not shuffled.
+    Where nothing could be learned, or a learned label is ``und`` itself, texts with letters stay.
+    The prediction travels with the row, so the texts are not shuffled.
     """
     samples = labelled_sample(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), modulus, remainder))
     given, names = tuple(sorted(samples.items())), docs.columns
@@ -245,7 +245,9 @@ def keep_identified(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _parser(given).predict([text or "" for text in batch.column(place).to_pylist()])
-            yield batch.filter(pa.array([lang != UNDETERMINED for lang, _ in found], pa.bool_()))
+            texts = [text or "" for text in batch.column(place).to_pylist()]
+            found = _parser(given).predict(texts)
+            kept = [lang != UNDETERMINED or has_letter(text) for text, (lang, _) in zip(texts, found, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -78,3 +78,10 @@ def test_stage(spark, sf_dir, step):
 def test_run(spark, sf_dir):
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert 1 in got and 5 not in got and 6 not in got
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_texts_with_letters_stay_without_languages(spark, lang):
+    docs = frame(spark, [(i, text, lang) for i, text, _ in ROWS])
+    kept = [str(r.doc_id) for r in langid.keep_identified(docs).collect()]
+    assert sorted(kept) == sorted(["1", "1", "None", "4", "5", "7"])
