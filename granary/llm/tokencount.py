@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.bpe import Pieces, Vocabulary
-from granary.llm.common import held, id_and_text, map_rows, utf8
+from granary.llm.bpe import Cutter, Vocabulary
+from granary.llm.common import held, id_and_text, utf8
 
 ROOT = 0
 NONE = -1
@@ -81,12 +82,11 @@ class TextCounter:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         count = LongestMatchCounter(vocabulary.ranks).count
         # tokens in the upper bits, pieces in the lower ones: one sum adds up both
-        self._sum = Pieces(pattern, lambda piece: count(utf8(piece)) << 32 | 1, sum)
+        self._sums = Cutter(pattern, lambda pieces: [count(utf8(piece)) << 32 | 1 for piece in pieces], sum)
 
-    def count(self, text: str) -> tuple[int, int]:
-        """(tokens, pieces) of a text."""
-        total = self._sum(text)
-        return total >> 32, total & 0xFFFFFFFF
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(tokens, pieces) of each text."""
+        return [(total >> 32, total & 0xFFFFFFFF) for total in self._sums(texts)]
 
 
 def text_counter(path: str, pattern: str) -> TextCounter:
@@ -100,10 +100,14 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     n_tokens. A null or empty text has zero of each. Rows are independent.
     """
 
-    def rows(batch: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(path, pattern)
-        for doc_id, text in batch:
-            tokens, pieces = counter.count(text)
-            yield doc_id, len(utf8(text)), pieces, tokens
-
-    return map_rows(id_and_text(docs), rows, "doc_id long, n_bytes long, n_pieces long, n_tokens long")
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            tokens, pieces = zip(*counter.count(texts), strict=True) if texts else ((), ())
+            columns = [[len(utf8(text)) for text in texts], pieces, tokens]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_bytes", "n_pieces", "n_tokens"]
+            )
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, n_tokens long")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -19,7 +20,7 @@ TEXT = st.text(alphabet=st.sampled_from(list("ab  \n\té'st re1²2,.\x1c\x85 日
 @given(TEXT)
 def test_as_another_library_and_back(text):
     assert ENCODER.encode(text) == OTHER.encode_ordinary(text)
-    assert ENCODER.decode_bytes(ENCODER.encode_bytes(text)) == text.encode()
+    assert VOCABULARY.decode(ENCODER.encode(text)) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["", " ", "a" * 5000, "the  end ", " 's", "word's\n\n x", "don't stop, believing."])
@@ -27,6 +28,20 @@ def test_edges(text):
     assert ENCODER.encode(text) == OTHER.encode_ordinary(text)
 
 
+def test_many_texts_at_once_as_another_library():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeinorstlq\u00e9\u65e5-'9") for _ in range(r.choice((1, 3, 7, 9, 20, 70, 600))))
+    texts = [r.choice((" ", "  ", "\n", " \n ", ", ")).join(word() for _ in range(r.randint(0, 80))) for _ in range(150)]
+    codes = ENCODER.encode_texts(texts)
+    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == OTHER.encode_ordinary_batch(texts)
+    assert VOCABULARY.decode_all(codes) == [t.encode() for t in texts]
+
+
+def test_ids_that_no_token_has():
+    with pytest.raises(ValueError):
+        VOCABULARY.decode([60_000])
+
+
 def test_appends_and_edits_equal_a_fresh_encoding():
     r = random.Random(5)
     for _ in range(300):
@@ -61,8 +76,8 @@ COUNTER = TextCounter(VOCABULARY, P.PATTERN)
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
 def test_token_counts_equal_greedy_matching(text):
-    pieces = [p.encode() for p in ENCODER.encode_bytes.pattern.findall(text)]
-    assert COUNTER.count(text) == (sum(map(_greedy, pieces)), len(pieces))
+    pieces = [p.encode() for p in ENCODER.encode_texts.pattern.findall(text)]
+    assert COUNTER.count([text])[0] == (sum(map(_greedy, pieces)), len(pieces))
 
 
 def test_counter_needs_all_bytes():
