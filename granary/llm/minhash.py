@@ -34,12 +34,11 @@ BANDS = 24
 BAND_ROWS = 5
 #: Up to so many texts of one bucket are compared each with each.
 ALL_PAIRS = 32
-#: In larger ones, so many leaders and neighbours for each text come first.
+#: In larger ones, so many leaders for each text come first.
 LEADERS = 2
-NEIGHBOURS = 3
-#: 64-bit words of a sketch, and texts of a large bucket that are paired in one place.
+#: 64-bit words of a sketch, and texts of a large bucket on either side that are paired in one place.
 SKETCH = 32
-BLOCK = 256
+BLOCK = 512
 #: Characters whose words are worked on at once.
 PORTION = 1_500_000
 
@@ -226,31 +225,7 @@ def _each_with_each(members: DataFrame, key: str) -> DataFrame:
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs more than once, with n, its number of rows."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), key)
-
-
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Each row of a bucket with the next NEIGHBOURS ones, in the order of two further bands.
-
-    A range partitioning spreads a hot bucket over many tasks; rows at the seams of partitions
-    have neighbours on one side only, so these are a first guess that _across completes.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, bytes]] = []
-        for batch in batches:
-            left, right = [], []
-            for bucket, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for other, before in last:
-                    if other == bucket:
-                        left.append(min(before, node))
-                        right.append(max(before, node))
-                last = [*last[1 - NEIGHBOURS :], (bucket, node)]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    order = ["bucket", "second", "third", "node"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select("bucket", "node").mapInArrow(run, "a binary, b binary")
+    return rows.join(stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")), key)
 
 
 def _sketches(words: DataFrame, size: int) -> DataFrame:
@@ -276,26 +251,29 @@ def _sketches(words: DataFrame, size: int) -> DataFrame:
 def _across(large: DataFrame, found: DataFrame, words: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs a < b of large buckets that ``found`` leaves in different components and that may be alike.
 
-    Pairs within a component would change no class. Of the others only those are left out that
+    Pairs within a component would change no class. So in each bucket all texts outside of its
+    largest component meet all texts of the bucket. Of these pairs only those are left out that
     cannot be alike: shingles of one text alone flip at most one bit of the sketch each, so
-    the bits that differ are no more than the shingles that are not shared. Blocks of a bucket
-    meet two by two, so that a hot bucket is spread.
+    the bits that differ are no more than the shingles that are not shared. Both sides are dealt into
+    blocks that meet two by two, so that a hot bucket is spread.
     """
     labelled = large.join(components(found), "node", "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
-    mixed_ones = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = stored(labelled.join(mixed_ones.select("bucket"), "bucket"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket")
+    most = sizes.agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    rows = stored(labelled.join(stored(most.select("bucket", "most")), "bucket"))
     sketches = stored(_sketches(words.join(rows.select("node").distinct(), "node", "left_semi"), size))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.join(sketches, "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    x = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
-    y = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).alias("y")
+    blocks = {"x": F.ceil((F.col("n") - F.col("most.m")) / BLOCK).cast("int"), "y": F.ceil(F.col("n") / BLOCK).cast("int")}
+    rows = rows.join(sketches, "node").withColumns(blocks)
+    own = lambda side: F.pmod(F.xxhash64("node"), side).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    x = rows.where(F.col("label") != F.col("most.label")).withColumn("i", own("x")).withColumn("j", every("y")).alias("x")
+    y = rows.withColumn("j", own("y")).withColumn("i", every("x")).alias("y")
     total = F.col("x.total") + F.col("y.total")
     differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
     shorter, longer = F.least("x.total", "y.total"), F.greatest("x.total", "y.total")
     may_be = (shorter >= threshold * longer - 1e-6 * total) & ((total - differ) * (1 + threshold) >= (2 * threshold - 1e-6) * total)
-    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "i", "j")]
-    met = x.join(y, [*same, once, F.col("x.label") != F.col("y.label"), may_be])
+    met = x.join(y, [*same, F.col("x.label") != F.col("y.label"), may_be])
     return met.select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
 
 
@@ -305,12 +283,11 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, threshold: fl
     Texts that agree in a band are candidates. Up to ALL_PAIRS texts of a bucket are compared
     each with each. A larger bucket holds near copies of one text, or texts that share a long passage:
     there each text is first compared with the LEADERS texts that share most with all others, as the
-    original of many copies does, and with its neighbours in the order of two further bands. This links
-    most near copies at a few pairs a text; then all other pairs of such a bucket are looked at,
-    but those whose texts are in one component by now.
+    original of many copies does. This links most near copies at a few pairs a text; then all other
+    pairs of such a bucket are looked at, but those whose texts are in one component by now.
     """
-    texts = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"))
-    members = stored(_shared(texts.select("node", F.posexplode("bands").alias("band", "bucket")), "bucket"))
+    texts = stored(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands")))
+    members = stored(_shared(texts.select("node", F.explode("bands").alias("bucket")), "bucket"))
     words = stored(
         _words_of(docs).join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     )
@@ -318,17 +295,14 @@ def links(docs: DataFrame, signed: DataFrame, size: int = SHINGLE, threshold: fl
     large = members.where(F.col("n") > ALL_PAIRS)
     most = F.struct(F.col("shares"), F.col("node"))
     ranked = large.join(central, "node").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("half"))
-    leaders = ranked.agg(F.max(most)["node"].alias("leader")).select("bucket", "leader")
+    leaders = stored(ranked.agg(F.max(most)["node"].alias("leader")).select("bucket", "leader"))
     led = large.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(*_ordered(F.col("node"), F.col("leader")))
-    further = [F.element_at("bands", (F.pmod(F.col("band") + k, F.size("bands")) + 1).cast("int")).alias(name) for k, name in ((1, "second"), (7, "third"))]
-    beside = _neighbours(large.join(texts, "node").select("bucket", "node", *further))
     small = _each_with_each(members.where(F.col("n") <= ALL_PAIRS), "bucket")
-    pairs = small.unionByName(led).unionByName(beside).distinct()
-    found = stored(_compared(pairs, words, size, threshold)).where("alike").select("a", "b")
+    found = stored(_compared(stored(small.unionByName(led).distinct()), words, size, threshold)).where("alike").select("a", "b")
     if large.isEmpty():
         return found
     rest = _across(large, found, words, size, threshold)
-    return found.unionByName(stored(_compared(rest, words, size, threshold)).where("alike").select("a", "b"))
+    return found.unionByName(stored(_compared(stored(rest), words, size, threshold)).where("alike").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,13 +335,14 @@ def classify(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD)
     or more (a shorter text is one shingle), and classes are the components of links. Returns one
     row per row of ``docs``: doc_id, tag (hash of the text), class_id (the smallest doc_id of the class), class_size
     and kept (true for the row with the smallest doc_id of its class, the smallest tag among
-    equal ids). A document without words is a class of its own: its class_id is its id. Rows
+    equal ids). A null id comes after all others: class_id is null only where no row of the class has an
+    id. A document without words is a class of its own: its class_id is its id. Rows
     that repeat share their class and are all kept or not.
     """
     signed = stored(sign(docs, size))
     labels = components(links(docs, signed, size, threshold))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min(F.struct("doc_id", "tag")).alias("first"), F.count("*").alias("n")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"), F.count("*").alias("n")
     )
     placed = stored(nodes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")))
     classes = placed.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))

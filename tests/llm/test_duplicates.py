@@ -110,7 +110,7 @@ def test_classes_by_brute_force(spark):
 
 
 def test_large_bucket_of_many_classes(spark):
-    """All texts agree in the first band only, and most partners are neither leaders nor neighbours in it."""
+    """All texts agree in the first band only, and most partners aren't leaders in it."""
     r = random.Random(5)
     rows, bands = [], {}
     for g in range(150):
@@ -120,13 +120,45 @@ def test_large_bucket_of_many_classes(spark):
             bands[2 * g + c] = [1] + [r.getrandbits(62) for _ in range(23)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     given = spark.createDataFrame(list(bands.items()), "doc_id long, given array<long>")
-    signed = minhash.sign(df).join(given, "doc_id").select("doc_id", "tag", "node", F.col("given").alias("bands")).localCheckpoint()
+    signed = minhash.sign(df).join(given, "doc_id").select("doc_id", "tag", "node", F.col("given").alias("bands")).cache()
     assert len(rows) > 2 * minhash.ALL_PAIRS
     ids = {bytes(row.node): row.doc_id for row in signed.collect()}
     got = {tuple(sorted((ids[bytes(x.a)], ids[bytes(x.b)]))) for x in minhash.links(df, signed).collect()}
     assert got == {(2 * g, 2 * g + 1) for g in range(150)}
 
 
+@pytest.mark.parametrize("common", [70, 95, 106])
+def test_crowded_groups_of_several_classes(spark, common):
+    """Clusters around one passage, with a similarity of about 0.4, 0.6 and 0.75 to each other, in any partitioning."""
+    r = random.Random(common)
+    hot = ["h%d" % i for i in range(common)]
+    rows = []
+    for g in range(40):
+        base = [*hot, *("g%dx%d" % (g, i) for i in range(124 - common))]
+        for c in range(3):
+            words = list(base)
+            words[r.randrange(len(words))] = "own%d" % c
+            rows.append((3 * g + c, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = {i: new if x == old else x for i, x in label.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 7):
+        assert {x.doc_id: x.class_id for x in minhash.classify(df.repartition(n)).collect()} == label
+
+
+def test_classes_of_null_ids(spark):
+    rows = [(5, "five words are in here"), (None, "five words are in here"), (9, "nine other words are there"), (None, "nine other words are there"), (None, "x y")]
+    got = minhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), str(x.class_id), x.class_size, x.kept) for x in got) == [
+        ("5", "5", 2, True), ("9", "9", 2, True), ("None", "5", 2, False), ("None", "9", 2, False), ("None", "None", 1, True),
+    ]
+
+
 def _windows(rows, size):
     """(doc, start) of windows that also start earlier; rows of null id come first."""
     seen, out = set(), {}
