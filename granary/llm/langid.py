@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import has_letter, held, id_and_text
 
-#: Bounds of the labelled sample: documents, and letters, for each language.
+#: Bounds of the labelled sample: documents, and characters, for each language.
 SAMPLE_DOCUMENTS = 60
 SAMPLE_LETTERS = 16_000
 #: The most frequent letters have columns in the table of moves; moves by the others are searched in a sorted list.
 ALPHABET = 47
-#: A text is parsed in stretches of this many letters, so that a batch advances through many at once.
+#: Long texts advance in stretches of this many letters, many at once.
 STRETCH = 2048
 UNDETERMINED = "und"
 
@@ -41,28 +41,35 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus)) == remainder
 
 
-def labelled_sample(docs: DataFrame, usable: Column, per_language: int = SAMPLE_DOCUMENTS) -> dict[str, str]:
-    """language -> text of its first documents in hash order, at most ``per_language`` of them.
+def labelled_sample(docs: DataFrame, usable: Column, per_language: int = SAMPLE_DOCUMENTS, letters: int = SAMPLE_LETTERS) -> dict[str, str]:
+    """language -> whole texts of its first documents in hash order, up to so many documents and characters together.
 
-    Ranking sees ids and labels only and keeps the first few of each partition before
-    anything is shuffled; only the chosen documents' texts reach the driver.
+    Texts longer than ``letters`` come last: one is taken only if the language has no other, and then
+    the sample ends within it. Ranking sees ids, labels and lengths only and keeps the first few of each
+    partition before they are shuffled; only the chosen documents' texts reach the driver, one for an id.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    long_ = F.length("text") > letters
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        named.select("doc_id", "lang")
+        named.select("doc_id", "lang", long_.alias("long"))
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= per_language)
         .collect()
     )
     ids = sorted({row.doc_id for row in chosen})
-    texts: dict[str, list[str]] = {}
-    picked = named.where(F.col("doc_id").isin(ids)).select(
-        "lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_LETTERS).alias("text")
-    )
-    for row in sorted(picked.collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.text)) if ids else []:
-        texts.setdefault(row.lang, []).append(row.text)
-    return {lang: " ".join(parts) for lang, parts in texts.items()}
+    places = {(row.lang, row.doc_id, row.long): row.place for row in chosen}
+    picked = named.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id", long_.alias("long")).agg(F.min("text").alias("text")) if ids else None
+    found = [(row.lang, places[key], row.text) for row in (picked.collect() if ids else []) if (key := (row.lang, row.doc_id, row.long)) in places]
+    texts: dict[str, str] = {}
+    for lang, _, text in sorted(found):
+        before = texts.get(lang, "")
+        if not before:
+            texts[lang] = text[:letters]
+        elif len(before) + 1 + len(text) <= letters:
+            texts[lang] = f"{before} {text}"
+    return texts
 
 
 def _letters(text: str) -> np.ndarray:
@@ -117,7 +124,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        parts = {lang: _letters(samples[lang])[:SAMPLE_LETTERS] for lang in self.languages}
+        parts = {lang: _letters(samples[lang]) for lang in self.languages}
         common = Counter(x for part in parts.values() for x in part.tolist())
         self.size = len(common) + 1
         self.code = np.zeros(0x110000, np.min_scalar_type(self.size))
@@ -158,7 +165,12 @@ class CrossParser:
         return np.where(self.keys[at] == key, self.values[at], self.rare_first[:, symbols.astype(np.int64) - ALPHABET - 1])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(letters of each text, phrases of each text and language)."""
+        """(letters of each text, phrases of each text and language).
+
+        All stretches of a text advance at once, as if each opened with a phrase of its own. Those
+        that a phrase from the stretch before goes on into are parsed again from there, until
+        every stretch has begun as the one before it has ended.
+        """
         coded = [self.code[_letters(text)] for text in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
         letters = np.concatenate([*coded, np.zeros(1, self.code.dtype)])
@@ -167,12 +179,27 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         start = np.repeat(np.cumsum(sizes) - sizes, counts) + nth * STRETCH
         length = np.minimum(STRETCH, np.repeat(sizes, counts) - nth * STRETCH)
+        roots = np.array(self.roots, np.int32)[:, None]
+        enter = np.repeat(roots, len(owner), 1)
+        leave, total = np.zeros_like(enter), np.zeros_like(enter)
+        todo = np.arange(len(owner))
+        while len(todo):
+            leave[:, todo], total[:, todo] = self._parse(letters, start[todo], length[todo], enter[:, todo])
+            true = np.where(nth > 0, np.roll(leave, 1, 1), roots)
+            todo = np.flatnonzero((true != enter).any(axis=0))
+            enter = true
+        out = np.zeros((len(texts), len(self.roots)), np.int64)
+        for k in range(len(self.roots)):
+            out[:, k] = np.bincount(owner, weights=total[k], minlength=len(texts))
+        return sizes, out
+
+    def _parse(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state behind, phrases opened) of stretches, by language, from the states before them."""
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        total = np.zeros((len(self.roots), len(owner)), np.int32)
+        start, length, state = start[order], length[order], enter[:, order]
+        total = np.zeros_like(state)
         width, any_rare = ALPHABET + 1, bool(len(self.roots)) and int(letters.max()) > ALPHABET
-        active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
+        active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
         for step, n in enumerate(active.tolist()):
             symbols = letters[start[:n] + step]
             rare = np.flatnonzero(symbols >= width) if any_rare else ()
@@ -181,10 +208,8 @@ class CrossParser:
                 moved[:, rare] = self._rare_moves(state[:, rare], symbols[rare])
             total[:, :n] += moved >> 30
             state[:, :n] = moved
-        out = np.zeros((len(texts), len(self.roots)), np.int64)
-        for k in range(len(self.roots)):
-            out[:, k] = np.bincount(owner, weights=total[k], minlength=len(texts))
-        return sizes, out
+        back = np.argsort(order)
+        return (state & (_BREAK - 1))[:, back], total[:, back]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         sizes, phrases = self.phrases(texts)

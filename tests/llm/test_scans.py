@@ -7,10 +7,11 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import licenses, media
 from granary.llm.common import ascii_lower_words
-from granary.llm.langid import CrossParser, SuffixAutomaton, _letters, identify
+from granary.llm.langid import CrossParser, SuffixAutomaton, _letters, identify, labelled_sample
 from granary.llm.quality import score_documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -141,6 +142,36 @@ def test_phrases_of_rare_letters_by_brute_force():
             assert count == n
 
 
+def _phrases(data, known):
+    at = count = 0
+    while at < len(data):
+        size = 1
+        while at + size < len(data) and data[at : at + size + 1] in known:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
+def test_phrases_of_long_texts_by_brute_force():
+    """No phrase ends where a stretch does."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+    samples = {"x": " ".join(word() for _ in range(400)), "y": "a" * 700 + " ab" * 200}
+    parser = CrossParser(samples)
+    texts = [" ".join(word() for _ in range(2200)), "a" * 10_000, samples["x"] * 6, "ab " * 3400, "short"]
+    assert all(len(t) > 10_000 - 1 for t in texts[:-1])
+    for text, row in zip(texts, parser.phrases(texts)[1].tolist(), strict=True):
+        assert row == [_phrases(re.sub(" +", " ", text), re.sub(" +", " ", samples[k])) for k in "xy"]
+
+
+def test_sample_holds_whole_texts_once(spark):
+    rows = [(1, "ab " * 10, "x")] * 50 + [(2, "c" * 90, "x"), (3, "d" * 30, "x"), (4, "e" * 200, "y"), (5, "f" * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = labelled_sample(docs, F.lit(True), letters=61)
+    assert sorted(got["x"].split(" d")[0].split()) == sorted(("ab " * 10).split()) or got["x"].startswith("d")
+    assert len(got["x"]) == 61 and got["y"] == "e" * 61
+
+
 DATA = "/root/testdata/sf0.01"
 
 
