@@ -122,7 +122,7 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase, label in {**NOTICE_PHRASES, **BASE_PHRASES}.items():
-        found.add_word(f" {phrase} ", (len(phrase) + 2, label, phrase in BASE_PHRASES))
+        found.add_word(f" {phrase} ", (phrase.count(" ") + 2, label, phrase in BASE_PHRASES))
     for words in TAG_WORDS:
         found.add_word(f" {words} ", (0, "", False))
     found.make_automaton()
@@ -136,17 +136,18 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     base: set[str] = set()
     labels: set[str] = set()
     starts: list[int] = []
-    scores: list[float] = []
     tagged = False
-    for end, (length, label, is_base) in _automaton().iter(joined):
-        if not length:
+    spaces = before = 0  # spaces up to the last place looked at
+    for end, (borders, label, is_base) in _automaton().iter(joined):
+        if not borders:
             tagged = True
             continue
         labels.add(label)
-        scores.append(permissiveness(label))
         if is_base:
             base.add(label)
-            starts.append(joined.count(" ", 0, end - length + 1))
+            spaces, before = spaces + joined.count(" ", before, end + 1), end + 1
+            starts.append(spaces - borders)
+    scores = [permissiveness(label) for label in labels]
     if tagged:
         for expression in _TAG.findall(text.lower()):
             if postfix := to_postfix(expression):
