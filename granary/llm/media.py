@@ -8,7 +8,9 @@ true type, whatever was declared; what starts later is embedded and can be carve
 
 from __future__ import annotations
 
+import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import id_and_text, map_rows, sha256_hex, utf8
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
+GZIP_STEP = 1 << 16
 #: Payloads of texts are padded to a multiple of this many samples.
 ROW = 576
 
@@ -32,6 +35,46 @@ def _le(data: bytes, at: int, n: int) -> int:
     return int.from_bytes(data[at : at + n], "little")
 
 
+class Places:
+    """Where marks stand in a value, and what was learned about it: each is worked out once, however many hits ask."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self._zips: dict[int, int] | None = None
+        self.gif_ends: dict[int, int | None] = {}
+        self.block_ends: dict[int, int] = {}
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self._marks:
+            self._marks[mark] = [found.start() for found in re.finditer(re.escape(mark), self.data)]
+        return self._marks[mark]
+
+    def first(self, mark: bytes, start: int) -> int:
+        """The first one from ``start`` on, -1 without any."""
+        places = self.of(mark)
+        n = bisect_left(places, start)
+        return places[n] if n < len(places) else -1
+
+    def last(self, mark: bytes, start: int, stop: int) -> int:
+        """The last one from ``start`` on and before ``stop``, -1 without any."""
+        places = self.of(mark)
+        n = bisect_left(places, stop)
+        return places[n - 1] if n and places[n - 1] >= start else -1
+
+    def zip_end(self, at: int) -> int | None:
+        """End of the archive that begins here: an end record tells where its directory and its archive begin."""
+        if self._zips is None:
+            self._zips = {}
+            for end in self.of(b"PK\x05\x06"):
+                size, offset, comment = (_le(self.data, end + k, n) for k, n in ((12, 4), (16, 4), (20, 2)))
+                directory, stop = end - size, end + 22 + comment
+                sound = stop <= len(self.data) and (not size or self.data[directory : directory + 4] == b"PK\x01\x02")
+                if sound and 0 <= directory - offset:
+                    self._zips[directory - offset] = stop
+        return self._zips.get(at)
+
+
 def png_chunks(data: bytes, at: int) -> Iterator[tuple[bytes, bytes, int]]:
     """(kind, body, end) of the chunks of a PNG that begins at ``at``, as long as their checksums hold."""
     at += 8
@@ -44,7 +87,7 @@ def png_chunks(data: bytes, at: int) -> Iterator[tuple[bytes, bytes, int]]:
         at = end
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, places: Places) -> int | None:
     for n, (kind, body, end) in enumerate(png_chunks(data, at)):
         if (n == 0) != (kind == b"IHDR") or n == 0 and len(body) != 13:
             return None
@@ -53,43 +96,54 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, places: Places) -> int | None:
     if len(data) < at + 13:
         return None
     here = at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 0x80 else 0)
+    ends, walked, end = places.gif_ends, [], None
 
     def blocks(i: int) -> int:
-        while i < len(data) and data[i]:
+        passed = []
+        while i < len(data) and data[i] and i not in places.block_ends:
+            passed.append(i)
             i += data[i] + 1
-        return i + 1
+        stop = places.block_ends.get(i, i + 1)
+        places.block_ends.update(dict.fromkeys(passed, stop))
+        return stop
 
     while here < len(data):
+        if here in ends:
+            end = ends[here]
+            break
+        walked.append(here)
         if data[here] == 0x3B:
-            return here + 1 - at
+            end = here + 1
+            break
         if data[here] == 0x21:
             here = blocks(here + 2)
         elif data[here] == 0x2C and here + 10 < len(data):
             flags = data[here + 9]
             here = blocks(here + 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0))
         else:
-            return None
-    return None
+            break
+    ends.update(dict.fromkeys(walked, end))
+    return end - at if end else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, places: Places) -> int | None:
     here = at + 2
     while here + 4 <= len(data) and data[here] == 0xFF:
         marker = data[here + 1]
         here += 2 + _be(data, here + 2, 2)
         if marker == 0xDA:
-            end = data.find(b"\xff\xd9", here)
+            end = places.first(b"\xff\xd9", here)
             return end + 2 - at if end >= 0 else None
         if not 0xC0 <= marker <= 0xFE:
             return None
     return None
 
 
-def _riff(data: bytes, at: int) -> int | None:
+def _riff(data: bytes, at: int, places: Places) -> int | None:
     size = _le(data, at + 4, 4) + 8
     if size < 20 or at + size > len(data) or data[at + 8 : at + 12] not in (b"WAVE", b"AVI ", b"WEBP"):
         return None
@@ -99,41 +153,40 @@ def _riff(data: bytes, at: int) -> int | None:
     return size if here == at + size else None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, places: Places) -> int | None:
     size, offset, header = _le(data, at + 2, 4), _le(data, at + 10, 4), _le(data, at + 14, 4)
     sound = header in (12, 40, 52, 56, 108, 124) and 14 + header <= offset <= size and not _le(data, at + 6, 4)
     return size if sound and at + size <= len(data) else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(data: bytes, at: int, places: Places) -> int | None:
+    """Up to the last end mark before another PDF begins: each save in place adds one."""
     if not data[at + 5 : at + 6].isdigit():
         return None
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 else None
+    other = places.first(b"%PDF-", at + 1)
+    end = places.last(b"%%EOF", at, other if other >= 0 else len(data))
+    return end + 5 - at if end >= 0 and places.last(b"startxref", at, end) >= 0 else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return None
-    size = end + 22 + _le(data, end + 20, 2) - at
-    directory = at + _le(data, end + 16, 4)
-    return size if at + size <= len(data) and data[directory : directory + 4] in (b"PK\x01\x02", b"PK\x05\x06") else None
+def _zip(data: bytes, at: int, places: Places) -> int | None:
+    end = places.zip_end(at)
+    return end - at if end else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    stream = zlib.decompressobj(31)
+def _gzip(data: bytes, at: int, places: Places) -> int | None:
+    stream, here, rest = zlib.decompressobj(31), at, b""
     try:
-        rest = data[at:]
-        while rest and not stream.eof:
+        while not stream.eof and (rest or here < len(data)):
+            if not rest:
+                rest, here = data[here : here + GZIP_STEP], here + GZIP_STEP
             stream.decompress(rest, 1 << 20)
             rest = stream.unconsumed_tail
     except zlib.error:
         return None
-    return len(data) - at - len(stream.unused_data) if stream.eof else None
+    return min(here, len(data)) - len(stream.unused_data) - at if stream.eof else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
+def _ogg(data: bytes, at: int, places: Places) -> int | None:
     here = at
     while data[here : here + 4] == b"OggS" and here + 27 <= len(data):
         table = data[here + 27 : here + 27 + data[here + 26]]
@@ -174,11 +227,11 @@ def _automaton() -> ahocorasick.Automaton:
 def carve(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every sound medium, in order; what lies inside of one is part of it."""
     found: list[tuple[int, int, str]] = []
-    free = 0
+    free, places = 0, Places(data)
     for end, n in _automaton().iter(data.decode("latin-1")):
         magic, kind, validate = FORMATS[n]
         at = end + 1 - len(magic)
-        if at >= free and (length := validate(data, at)):
+        if at >= free and (length := validate(data, at, places)):
             found.append((at, length, _RIFF_TYPES.get(data[at + 8 : at + 12], kind) if magic == b"RIFF" else kind))
             free = at + length
     return found
@@ -224,7 +277,7 @@ def to_png(samples: bytes, width: int) -> bytes:
 
 def from_png(data: bytes) -> tuple[bytes, int, int]:
     """Samples, width and height of an unfiltered 8-bit grey PNG."""
-    if not data.startswith(PNG_MAGIC) or _png(data, 0) != len(data):
+    if not data.startswith(PNG_MAGIC) or _png(data, 0, Places(data)) != len(data):
         raise ValueError("not a sound PNG")
     chunks = list(png_chunks(data, 0))
     header = chunks[0][1]
