@@ -89,7 +89,9 @@ def _first(labels: DataFrame, quality: int, n: int) -> list[int]:
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> Model:
     """Fit on labelled documents that aren't held out; without both labels every score is 0.5.
 
-    Labels other than 0 and 1, null ids and null texts are left out.
+    Labels other than 0 and 1, null ids and null texts are left out. An id that repeats counts once, with
+    the smallest of its texts. For the dictionaries texts of more than DICTIONARY_LONGEST characters
+    are left out; every text is scored whole.
     """
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)).select(
         F.col("doc_id").cast("long").alias("doc_id"), "quality"
@@ -103,8 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
     for quality, ids in chosen.items():
         # at most half of a small sample, so that the calibration sees something new
         part = ids[: min(DICTIONARY_DOCUMENTS, (len(ids) + 1) // 2)]
-        found = texts.where(F.col("doc_id").isin(part) & (F.length("text") <= DICTIONARY_LONGEST)).collect() if part else []
-        samples = [utf8(row.text) for row in sorted(found, key=lambda r: (part.index(r.doc_id), r.text))]
+        short = texts.where(F.col("doc_id").isin(part) & (F.length("text") <= DICTIONARY_LONGEST))
+        found = short.groupBy("doc_id").agg(F.min("text").alias("text")).collect() if part else []
+        samples = [utf8(row.text) for row in sorted(found, key=lambda r: part.index(r.doc_id))]
         dictionary[quality] = _dictionary(samples)
     rest = {i: q for q, ids in chosen.items() for i in ids[min(DICTIONARY_DOCUMENTS, (len(ids) + 1) // 2) :]}
     if not rest or not dictionary[1] or not dictionary[0]:
@@ -117,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int =
 
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in sorted(rest)], "doc_id long")
-    sample = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
+    sample = texts.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = sorted(map_rows(sample, measured, "doc_id long, x double, size double").collect())
     if len({rest[row.doc_id] for row in rows}) < 2:
         return Model(b"", b"", [])

@@ -1,18 +1,23 @@
 """Licences, media, languages and quality: rules and held-out accuracy."""
 
+import hashlib
 import io
+import math
 import random
 import re
+import struct
+import time
 import zipfile
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from granary.llm import licenses, media
 from granary.llm.common import ascii_lower_words
 from granary.llm.langid import CrossParser, SuffixAutomaton, _letters, identify, labelled_sample
-from granary.llm.quality import score_documents
+from granary.llm.quality import score_documents, train
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -39,6 +44,28 @@ def test_license_places_by_brute_force(text):
     assert licenses.scan(text)[:4] == _base(text)
 
 
+def test_license_scan_by_brute_force():
+    r = random.Random(8)
+    phrases = {**licenses.NOTICE_PHRASES, **licenses.BASE_PHRASES}
+    words = sorted({w for p in phrases for w in p.split()}) + ["x"]
+    for _ in range(400):
+        picked = [r.choice([*phrases, *words]) for _ in range(r.randint(0, 12))]
+        text = "".join(w.upper() + r.choice((" ", "-", "\n")) for p in picked for w in p.split())
+        found = WORD.findall(text.lower())
+        joined = f" {' '.join(found)} "
+        labels = {label for phrase, label in phrases.items() if f" {phrase} " in joined}
+        base = {label for phrase, label in licenses.BASE_PHRASES.items() if f" {phrase} " in joined}
+        score = min((licenses.PERMISSIVENESS[x] for x in labels), default=0.0)
+        assert licenses.scan(text) == (*_base(text), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+
+
+def test_many_hits_take_linear_time():
+    began = time.process_time()
+    assert licenses.scan("mit license cc by " * 60_000)[1] == 120_000
+    assert media.carve(b"%PDF-1 PK\x03\x04 GIF89a1234567,12345678 \xff\xd8\xff\xe0\x00\x02\xff\xda\x00\x02" * 40_000) == []
+    assert time.process_time() - began < 8
+
+
 def test_expressions():
     assert licenses.to_postfix("mit or (apache-2.0 and gpl-3.0 with classpath-exception)") == ["mit", "apache-2.0", "gpl-3.0", "classpath-exception", "with", "and", "or"]
     assert licenses.to_postfix("mit or") is None and licenses.to_postfix("(mit") is None and licenses.to_postfix("") is None
@@ -73,6 +100,34 @@ def test_sniff_correct_and_carve(kind):
     assert media.carve(b"junk " + data + b" tail") == [(5, len(data), kind)]
 
 
+def test_nested_archives_and_saved_pdfs():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("inner.zip", _zip())
+        z.comment = b"with a comment"
+    data = out.getvalue()
+    assert media.carve(data + b" tail") == [(0, len(data), "application/zip")]
+    saved = b"%PDF-1.4 one startxref 0 %%EOF two startxref 9 %%EOF"
+    assert media.carve(saved + b" \n " + saved) == [(0, len(saved), "application/pdf"), (len(saved) + 3, len(saved), "application/pdf")]
+    big = zlib.compress(random.Random(1).randbytes(300_000), wbits=31)
+    assert media.carve(b"z" + big + b"rest") == [(1, len(big), "application/gzip")]
+
+
+def test_stored_texts_by_brute_force(spark):
+    texts = ["", None, "abc", "é" * 400, "x" * 576, "y" * 577, "日本" * 5000, "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in media.store_texts(docs).collect():
+        data = (texts[row.doc_id] or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+        header = struct.pack(">IIBBBBB", 576, len(payload) // 576, 8, 0, 0, 0, 0)
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        assert tuple(row)[1:7] == (len(data), len(payload), digest(payload), zlib.crc32(payload[-32:]), len(png), digest(png))
+        assert row.feature.startswith(f"image/png 576x{len(payload) // 576} embedded=0[] mean={sum(payload) / len(payload):.4f} entropy=")
+
+
 def test_broken_media_are_not_media():
     assert media.carve(SAMPLES["image/png"][:-3]) == [] and media.carve(b"BM just text") == [] and media.sniff(None, "a/b") == ("a/b", False, [])
 
@@ -179,5 +234,15 @@ def test_held_out_languages_and_quality(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     right = identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").selectExpr("avg(cast(lang = lang_pred as double))").first()[0]
     assert right > 0.98
+    model = train(docs, labels)
+    sizes = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    texts = {row.doc_id: row.text or "" for row in docs.collect()}
+    for row in score_documents(docs, labels).where("doc_id % 25 = 0").collect():
+        good, bad = (len(c.compress(texts[row.doc_id].encode())) for c in sizes)
+        x, size = (bad - good) / (bad + good), min(good, bad) / (len(texts[row.doc_id].encode()) + 16)
+        a, b, c, d = model.weights
+        want = 1 / (1 + math.exp(-(a + b * 10 * x + c * size + d * size**2)))
+        assert row.score == pytest.approx(want, abs=2e-2) and row.predicted == (row.score >= 0.3)
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
     scored = score_documents(docs, labels).where("held_out").join(labels, "doc_id")
     assert scored.selectExpr("avg(cast(quality = predicted as double))").first()[0] > 0.85
