@@ -4,7 +4,7 @@ Every Arrow batch of documents is a shard: its words become numbers, and a suffi
 orders the places of the shard by the words that follow. Each suffix of the benchmark is
 found in it by binary search, one word deeper at a time, which gives its
 longest verbatim match and all locations. The benchmark is the side that is sent to
-the shards; if it is larger than BLOCK_CHARS it goes there in blocks.
+the shards; if it is larger than BLOCK_CHARS it goes there in blocks, one after the other.
 
 Only words of the benchmark get numbers. A place is indexed if at least as many
 benchmark words follow as the shortest window has, since nothing shorter can match.
@@ -13,17 +13,18 @@ benchmark words follow as the shortest window has, since nothing shorter can mat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_hex
+from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_hex, stored
 
 WINDOW = 10
-#: Benchmark text that is sent to the tasks at once.
-BLOCK_CHARS = 32_000_000
+#: Characters of the benchmark that the driver holds, and sends to the tasks, at once.
+BLOCK_CHARS = 4_000_000
 
 
 class _Numbers(dict):
@@ -141,10 +142,8 @@ def match(texts: list[str], block: Block, window: int) -> list[tuple[int, list[i
     np.add.at(edge, place, 1)
     np.add.at(edge, place + block.lengths[which], -1)
     hit = np.flatnonzero(np.cumsum(edge) > 0)
-    owner = shard.document(hit)
-    places: list[list[int]] = [[] for _ in texts]
-    for doc in np.unique(owner).tolist():
-        places[doc] = (hit[owner == doc] - shard.starts[doc]).tolist()
+    border = np.searchsorted(hit, np.append(shard.starts, len(shard.words)))
+    places = [(hit[a:b] - start).tolist() for a, b, start in zip(border[:-1], border[1:], shard.starts.tolist(), strict=True)]
     items: list[set[str]] = [set() for _ in texts]
     if len(place):
         for doc, w in np.unique(np.column_stack([shard.document(place), which]), axis=0).tolist():
@@ -153,25 +152,35 @@ def match(texts: list[str], block: Block, window: int) -> list[tuple[int, list[i
 
 
 def longest_matches(texts: list[str], block: Block, window: int) -> list[tuple[int, str | None, int, int, int]]:
-    """(text, item id, word of the item, word of the text, words) of every maximal match of a window or more."""
+    """(text, item id, word of the item, word of the text, words) of every maximal match of a window or more.
+
+    Every suffix of every item is searched. Places of the text that stand one behind the other, for
+    suffixes that do, too, are one match.
+    """
     shard = Shard(texts, block, window)
-    out = []
-    for item, words in block.items:
-        rows = np.zeros((len(words), window), np.int64)
-        for d in range(window):
-            rows[: max(0, len(words) - d), d] = words[d:]
-        matched, low, high = shard.search(rows)
-        good = np.flatnonzero((matched == min(window, len(words))) & (matched > 0))
-        row, at = _expand(low[good], high[good])
-        for start, place in zip(good[row].tolist(), shard.order[at].tolist(), strict=True):
-            if start and place and shard.words[place - 1] == words[start - 1]:
-                continue  # goes on to the left, found from there
-            n = int(matched[start])
-            while start + n < len(words) and shard.words[place + n] == words[start + n]:
-                n += 1
-            doc = int(shard.document(np.array([place]))[0])
-            out.append((doc, item, start, place - int(shard.starts[doc]), n))
-    return sorted(out, key=lambda x: (x[0], x[3], str(x[1]), x[2]))
+    sizes = np.array([len(words) for _, words in block.items], np.int64)
+    if not sizes.sum():
+        return []
+    end = np.cumsum(sizes + window)  # items end to end, with so many zeros behind each
+    laid = np.zeros(int(end[-1]), np.int64)
+    for (_, words), stop in zip(block.items, end.tolist(), strict=True):
+        laid[stop - window - len(words) : stop - window] = words
+    least = np.repeat(np.minimum(sizes, window), sizes + window)
+    suffix = np.flatnonzero(laid)
+    matched, low, high = shard.search(laid[suffix[:, None] + np.arange(window)])
+    good = np.flatnonzero(matched >= least[suffix])
+    row, at = _expand(low[good], high[good])
+    item_word, place = suffix[good[row]], shard.order[at]
+    order = np.lexsort((place, place - item_word))
+    item_word, place = item_word[order], place[order]
+    opens = np.ones(len(place), bool)
+    opens[1:] = (place[1:] != place[:-1] + 1) | (item_word[1:] != item_word[:-1] + 1)
+    head = np.flatnonzero(opens)
+    n = np.diff(np.append(head, len(place))) - 1 + least[item_word[head]] if len(head) else head
+    item = np.searchsorted(end, item_word[head], "right")
+    doc = shard.document(place[head])
+    found = zip(doc.tolist(), item.tolist(), (item_word[head] - (end - window - sizes)[item]).tolist(), (place[head] - shard.starts[doc]).tolist(), n.tolist(), strict=True)
+    return sorted(((d, block.items[i][0], a, b, k) for d, i, a, b, k in found), key=lambda x: (x[0], x[3], str(x[1]), x[2]))
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -184,6 +193,34 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str |
         yield [(row.item_id, row.text) for row in part.collect()]
 
 
+def locate_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """All maximal verbatim matches of benchmark items in whole texts.
+
+    Returns doc_id, item_id (as text), item_word and doc_word (where the match begins, words from
+    0) and n_words: ``window`` words or more, or all of a shorter item. A document without a match has no
+    row; null texts have no words; rows that repeat, of either table, have a row each.
+    """
+    schema = "doc_id long, item_id string, item_word long, doc_word long, n_words long"
+    names, types = ["doc_id", "item_id", "item_word", "doc_word", "n_words"], [pa.int64(), pa.string(), *[pa.int64()] * 3]
+    texts, found = id_and_text(docs), None
+
+    def of(block: Block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[doc], *rest) for doc, *rest in longest_matches(batch.column(1).to_pylist(), block, window)]
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        return run
+
+    for items in _blocks(benchmark, block_chars):
+        part = stored(texts.mapInArrow(of(Block(items, window)), schema))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
@@ -196,68 +233,76 @@ def find_hits(
     words; a null item id hits but isn't listed; rows that repeat an item add nothing.
     """
     texts = id_and_text(docs)
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    blocks = [Block(items, window) for items in _blocks(benchmark, block_chars)]
-
-    def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            found = match(batch.column(1).to_pylist(), blocks[0], window)
-            columns = [
-                batch.column(0),
-                pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array([len(p) for _, p, _ in found], pa.int64()),
-                pa.array([len(i) for _, _, i in found], pa.int64()),
-                pa.array([sha256_hex(",".join(i).encode()) for _, _, i in found], pa.string()),
-                pa.array([bool(p) for _, p, _ in found], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    if len(blocks) == 1:
-        return texts.mapInArrow(one_block, schema)
+    blocks = _blocks(benchmark, block_chars)
+    first, second = Block(next(blocks), window), next(blocks, None)
+    if second is None:
+        return texts.mapInArrow(_hits(first, window), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
     # each block marks the words that it hits; a document's marks are put together afterwards
     keyed = texts.withColumn("tag", F.xxhash64("text"))
     marked = None
-    for block in blocks:
-        part = keyed.mapInArrow(_marks(block, window), "doc_id long, tag long, n_words long, places array<int>, items array<string>")
+    for block in chain([first, Block(second, window)], (Block(items, window) for items in blocks)):
+        part = stored(keyed.mapInArrow(_marks(block, window), "doc_id long, tag long, places array<int>, items array<string>"))
         marked = part if marked is None else marked.unionByName(part)
-    copies = keyed.groupBy("doc_id", "tag").agg(F.count("*").alias("copies"))
-    whole = marked.groupBy("doc_id", "tag", "n_words").agg(
+    marks = marked.groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("of")).agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    n_hit, n_items = F.coalesce(F.size("places"), F.lit(0)), F.coalesce(F.size("items"), F.lit(0))
     return (
-        whole.join(copies, whole["doc_id"].eqNullSafe(copies["doc_id"]) & (whole["tag"] == copies["tag"]))
-        .select(whole["doc_id"], "n_words", "places", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        keyed.mapInArrow(_counts, "doc_id long, tag long, n_words long")
+        .join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")), "left")
         .select(
             "doc_id",
             "n_words",
-            F.size("places").cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-            (F.size("places") > 0).alias("contaminated"),
+            F.greatest(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+            F.greatest(n_items, F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+            (n_hit > 0).alias("contaminated"),
         )
     )
 
 
-def _marks(block: Block, window: int):
+def _hits(block: Block, window: int):
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = match(batch.column(1).to_pylist(), block, window)
             columns = [
                 batch.column(0),
-                batch.column(2),
                 pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array([p for _, p, _ in found], pa.list_(pa.int32())),
-                pa.array([i for _, _, i in found], pa.list_(pa.string())),
+                pa.array([len(p) for _, p, _ in found], pa.int64()),
+                pa.array([len(i) for _, _, i in found], pa.int64()),
+                pa.array([sha256_hex(",".join(i).encode()) for _, _, i in found], pa.string()),
+                pa.array([bool(p) for _, p, _ in found], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "n_words", "places", "items"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def _marks(block: Block, window: int):
+    """Of the texts that the block hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            found = match(batch.column(1).to_pylist(), block, window)
+            hit = pa.array([bool(p) for _, p, _ in found], pa.bool_())
+            columns = [pa.array([p for _, p, _ in found], pa.list_(pa.int32())), pa.array([i for _, _, i in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "tag", "places", "items"]).filter(hit)
+
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = pa.array([len(ascii_lower_words(text)) for text in batch.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["doc_id", "tag", "n_words"])
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns.
 
