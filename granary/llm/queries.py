@@ -99,7 +99,7 @@ x AS (
   SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
 ),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, rank() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
 per AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,

@@ -179,14 +179,15 @@ def anchors(words: np.ndarray, sizes: np.ndarray, window: int, rounds: int = ROU
         good = good[waiting[low[good] + 1] > waiting[np.maximum(high[good] - window, 0)]]
         unit, low, high, at = unit[good], low[good], high[good], at[good]
         # smallest name, then leftmost, for every window that holds it
-        key = (mixed(unit) >> np.uint64(24) << np.uint64(24)) | (np.arange(len(unit), dtype=np.uint64) & np.uint64((1 << 24) - 1))
+        low_bits = np.uint64((1 << max(24, len(unit).bit_length())) - 1)
+        key = (mixed(unit) & ~low_bits) | np.arange(len(unit), dtype=np.uint64)
         best, start = np.full(n, _MOST), np.maximum(high - window, 0)
         for d in range(window):
             reached = start + d
             holds = reached <= low
             np.minimum.at(best, reached[holds], key[holds])
         new = np.flatnonzero(open_ & (best != _MOST))
-        which = (best[new] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        which = (best[new] & low_bits).astype(np.int64)
         name[new], place[new] = unit[which], at[which] * 64 + depth * 2 + together - 1
     change = np.ones(n, bool)
     change[1:] = (place[1:] != place[:-1]) | first[1:]
@@ -316,11 +317,14 @@ def _pack(texts: pd.Series) -> pd.Series:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with ``__id`` (null as the smallest long), ``__tag`` (bits of the text's hash) and text, null as empty."""
+    """The rows with ``__id``, ``__tag`` (bits of the text's hash) and text, null as empty.
+
+    In place of a null id stands a hash of the text, from -2**63 to -2**62: smaller than other ids are.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.withColumns(
         {
-            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)),
+            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)),
             "__tag": F.xxhash64(text).bitwiseAND(F.lit((1 << _TAG_BITS) - 1)),
             "__text": text,
         }
@@ -363,9 +367,9 @@ def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; earlier is a smaller doc_id, or the same document
     further left. Windows are judged on the input. Returns doc_id, n_words, n_removed and
-    kept_sha256, of the words kept, joined by one space. A null text has no words; a null doc_id
-    comes before all others; rows that repeat count as one document and get the same result, as
-    do rows of one doc_id with different texts among themselves.
+    kept_sha256, of the words kept, joined by one space. A null text has no words. Different texts
+    without an id are different documents, before all others in the order of a hash. Rows that
+    repeat are the same document and get the same result.
     """
     found = repeats(docs, window)
 

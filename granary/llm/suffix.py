@@ -34,7 +34,6 @@ PIECES = 2000
 ARRAY_BYTES = 1_000_000
 PORTION = 1_000_000
 
-_TAG_BITS = 20
 _MOST_WINDOWS = 511
 _PAD = b"\0" * 8
 
@@ -174,14 +173,13 @@ def _settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) ->
 
 
 def _piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """name, span, id, packed: the gram, hash of the text, document; and start, strings, kind, repeated and tag."""
+    """name, span, id, packed: the gram, hash of the text, document; and start, strings, kind and repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            ids, tags = np.array(batch.column(0), np.int64), np.array(batch.column(1), np.int64)
-            parts = []
-            for first, data, sizes in _joined([utf8(x) for x in batch.column(2).to_pylist()]):
+            ids, parts = np.array(batch.column(0), np.int64), []
+            for first, data, sizes in _joined([utf8(x) for x in batch.column(1).to_pylist()]):
                 doc, *rest = pieces(data, sizes, length, gram)
                 parts.append((doc + first, *rest))
             if not parts:
@@ -194,7 +192,7 @@ def _piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             new = np.ones(len(order), bool)
             new[1:] = name[order][1:] != name[order][:-1]
             kind[order] = np.where(new, np.where(np.append(new[1:], True), ALONE, ONE_OF_SEVERAL), FURTHER)
-            packed = start << 32 | count << 23 | (kind * 2 + several) << _TAG_BITS | tags[doc]
+            packed = start << 12 | count << 3 | kind * 2 + several
             columns = [pa.array(x) for x in (name.view(np.int64), span.view(np.int64), ids[doc], packed)]
             yield pa.RecordBatch.from_arrays(columns, names=["name", "span", "id", "packed"])
 
@@ -204,28 +202,26 @@ def _piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _field(name: str) -> Column:
     packed = F.col("packed")
     return {
-        "start": F.shiftright(packed, 32),
-        "count": F.shiftright(packed, 23).bitwiseAND(F.lit(511)),
-        "kind": F.shiftright(packed, _TAG_BITS + 1).bitwiseAND(F.lit(3)),
-        "several": F.shiftright(packed, _TAG_BITS).bitwiseAND(F.lit(1)) == 1,
-        "tag": packed.bitwiseAND(F.lit((1 << _TAG_BITS) - 1)),
+        "start": F.shiftright(packed, 12),
+        "count": F.shiftright(packed, 3).bitwiseAND(F.lit(511)),
+        "kind": F.shiftright(packed, 1).bitwiseAND(F.lit(3)),
+        "several": packed.bitwiseAND(F.lit(1)) == 1,
     }[name]
 
 
 def _parts_of_texts(docs: DataFrame, length: int) -> DataFrame:
     """The text of listed pieces, or for hot grams two hashes of each of their strings.
 
-    name, h2, id, tag, start, count, known, text: with text null, name and h2 are hashes of one string.
+    name, h2, id, start, count, known, text: with text null, name and h2 are hashes of one string.
     ``known`` pieces are there to be compared with; what they hold is settled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             plain: list[tuple] = []
             hot = []
-            for id_, tag, blob, listed in zip(ids, tags, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for id_, blob, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = unpack(blob)
                 ranges = None
                 for x in listed:
@@ -234,31 +230,31 @@ def _parts_of_texts(docs: DataFrame, length: int) -> DataFrame:
                         ranges = ranges or [Ranges(np.frombuffer(data, np.uint8).astype(np.uint64), salt) for salt in (1, 2)]
                         at = np.arange(start, start + count)
                         both = [r(at, at + length) for r in ranges]
-                        hot.append((*both, np.full(count, id_), np.full(count, tag), at, np.full(count, x["known"])))
+                        hot.append((*both, np.full(count, id_), at, np.full(count, x["known"])))
                     else:
-                        plain.append((x["name"], 0, id_, tag, start, count, x["known"], data[start : start + count + length - 1]))
+                        plain.append((x["name"], 0, id_, start, count, x["known"], data[start : start + count + length - 1]))
             if hot:
-                h1, h2, id_, tag, at, known = (np.concatenate(x) for x in zip(*hot, strict=True))
+                h1, h2, id_, at, known = (np.concatenate(x) for x in zip(*hot, strict=True))
                 # of equal strings of this batch the first and the last one say all that others need to know
                 copy, several = _settle((h1, h2), id_, at)
                 keep = ~copy | (several & ~known)
                 out = zip(
                     np.where(copy, mixed(h1 + at.astype(np.uint64)), h1).view(np.int64)[keep].tolist(),
-                    h2.view(np.int64)[keep].tolist(), id_[keep].tolist(), tag[keep].tolist(), at[keep].tolist(),
+                    h2.view(np.int64)[keep].tolist(), id_[keep].tolist(), at[keep].tolist(),
                     # a negative count: repeated within the batch
                     np.where(several, -1, 1)[keep].tolist(), known[keep].tolist(), strict=True,
                 )
                 plain += [(*x, None) for x in out]
             if plain:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-                names = ["name", "h2", "id", "tag", "start", "count", "known", "text"]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                names = ["name", "h2", "id", "start", "count", "known", "text"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*plain, strict=True), types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, "name long, h2 long, id long, tag long, start long, count int, known boolean, text binary")
+    return docs.mapInArrow(run, "name long, h2 long, id long, start long, count int, known boolean, text binary")
 
 
-def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int, int]]:
-    """(id, tag, first string, number of strings) that stand at several places of these rows."""
+def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
+    """(id, first string, number of strings) that stand at several places of these rows."""
     out = []
     plain = [r for r in rows if r["text"] is not None]
     if plain:
@@ -281,23 +277,23 @@ def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int, int]]:
                 head = np.flatnonzero(opens)
                 for i, n in zip(at[head].tolist(), np.diff(np.append(head, len(at))).tolist(), strict=True):
                     r = plain[owner[i]]
-                    out.append((r["id"], r["tag"], r["start"] + i - int(offset[owner[i]]), n))
+                    out.append((r["id"], r["start"] + i - int(offset[owner[i]]), n))
     hashed = [r for r in rows if r["text"] is None]
     if hashed:
         key = [np.array([r[k] for r in hashed], np.int64) for k in ("name", "h2", "id", "start")]
         _, several = _settle((key[0], key[1]), key[2], key[3])
-        out += [(r["id"], r["tag"], r["start"], 1) for r, x in zip(hashed, several.tolist(), strict=True) if (x or r["count"] < 0) and not r["known"]]
+        out += [(r["id"], r["start"], 1) for r, x in zip(hashed, several.tolist(), strict=True) if (x or r["count"] < 0) and not r["known"]]
     return out
 
 
 def _compared(parts: DataFrame, length: int) -> DataFrame:
-    """id, tag, run: strings that stand at several places; all rows of a name meet in one task, in turn."""
+    """id, run: strings that stand at several places; all rows of a name meet in one task, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: list[dict]) -> pa.RecordBatch:
             found = _repeated(rows, length)
-            columns = [[x[0] for x in found], [x[1] for x in found], [x[2] << 9 | min(x[3], _MOST_WINDOWS) for x in found]]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "tag", "run"])
+            columns = [[x[0] for x in found], [x[1] << 9 | min(x[2], _MOST_WINDOWS) for x in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "run"])
 
         held: list[dict] = []
         size = 0
@@ -311,12 +307,12 @@ def _compared(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield answer(held)
 
-    return parts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "id long, tag long, run long")
+    return parts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "id long, run long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id, tag and runs (first string times 512 plus number of strings) that start at several places."""
-    texts = keyed(docs).withColumn("__tag", F.col("__tag").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))).select("__id", "__tag", "__text")
+    """id (of ``_named``) and runs (first string times 512 plus number of strings) that start at several places."""
+    texts = _named(docs).select("__id", "__text")
     rows = _piece_rows(texts, length, min(gram, length))
     kind, start = _field("kind"), _field("start")
     rows = rows.withColumn(
@@ -327,27 +323,32 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     same = Window.partitionBy("part", "span").orderBy("id", "packed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nth = F.row_number().over(Window.partitionBy("part", "span").orderBy("id", "packed"))
     several = (F.first("id").over(same) != F.last("id").over(same)) | (
-        F.shiftright(F.first("packed").over(same), 32) != F.shiftright(F.last("packed").over(same), 32)
+        F.shiftright(F.first("packed").over(same), 12) != F.shiftright(F.last("packed").over(same), 12)
     )
     settled = stored(
         rows.withColumn("n", F.count("*").over(group))
         .withColumn("copy", _field("several") | several)
         .withColumn("stands", (kind != COPY) & (nth == 1) & ((F.col("n") > 1) | kind.isin(ONE_OF_SEVERAL, FURTHER)))
         .where("copy or stands")
-        .select("name", "id", _field("tag").alias("tag"), start.alias("start"), _field("count").alias("count"), "copy", "stands")
+        .select("name", "id", start.alias("start"), _field("count").alias("count"), "copy", "stands")
     )
     standing = settled.where("stands")
     hot = standing.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("name", F.lit(True).alias("hot"))
     listed = (
         standing.join(hot, "name", "left")
-        .groupBy("id", "tag")
+        .groupBy("id")
         .agg(F.collect_list(F.struct("name", "start", "count", F.col("copy").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("listed"))
     )
-    packed = texts.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), _pack("__text").alias("text")).dropDuplicates(["id", "tag"])
-    parts = _parts_of_texts(packed.join(listed, ["id", "tag"]).select("id", "tag", "text", "listed"), length)
+    packed = texts.select(F.col("__id").alias("id"), _pack("__text").alias("text")).dropDuplicates(["id"])
+    parts = _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length)
     single = _compared(parts, length)
-    whole = settled.where("copy").select("id", "tag", (F.shiftleft("start", 9) + F.col("count")).alias("run"))
-    return whole.unionByName(single).groupBy("id", "tag").agg(F.collect_list("run").alias("runs"))
+    whole = settled.where("copy").select("id", (F.shiftleft("start", 9) + F.col("count")).alias("run"))
+    return whole.unionByName(single).groupBy("id").agg(F.collect_list("run").alias("runs"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The rows with ``__text``, null as empty, and ``__id``, a hash of id and text: rows that repeat share it."""
+    return keyed(docs).withColumn("__id", F.xxhash64("__id", "__text"))
 
 
 def covered(n: int, runs: list[int] | None, length: int) -> np.ndarray:
@@ -366,7 +367,7 @@ def measure(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     Texts are UTF-8; matches never cross documents but count within one, overlaps too. All copies
     go, the first one as well; strings are judged on the input. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs) and kept_sha256 of the remaining bytes. A null text is
-    empty; rows that repeat count as one document and get the same result.
+    empty. Each row is a document, with or without an id: a row that repeats stands elsewhere with all its strings.
     """
     found = repeats(docs, length, gram)
 
@@ -374,9 +375,9 @@ def measure(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for blob, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for blob, runs, several in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 data = unpack(blob)
-                gone = covered(len(data), runs, length)
+                gone = np.ones(len(data), bool) if several and len(data) >= length else covered(len(data), runs, length)
                 if gone.any():
                     edges = np.diff(np.concatenate([[0], gone.view(np.int8)]))
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -387,8 +388,9 @@ def measure(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    texts = keyed(docs).withColumn("__tag", F.col("__tag").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)))
-    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "__id", "__tag", _pack("__text").alias("text"))
-    joined = texts.join(found, (F.col("__id") == F.col("id")) & (F.col("__tag") == F.col("tag")), "left")
+    named = _named(docs)
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), "__id", _pack("__text").alias("text"))
+    several = named.groupBy(F.col("__id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1")
+    joined = texts.join(found, F.col("__id") == F.col("id"), "left").join(several, F.col("__id") == F.col("twice"), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "runs", F.col("n").isNotNull().alias("several")).mapInArrow(run, schema)

@@ -61,6 +61,30 @@ def test_longest_matches():
     assert decontaminate.longest_matches(["x a b c d y", "d e f"], block, 3) == [(0, "7", 0, 1, 4), (1, "7", 3, 0, 3)]
 
 
+def test_located_matches_by_brute_force(spark, docs):
+    rows, df = docs
+    items = [(1, rows[3][1] or "w1"), (2, "w1 w2"), (3, " ".join((rows[5][1] or "w1 w2").split()[:30])), (4, None), (5, rows[-1][1])]
+    want = set()
+    for doc_id, text in rows:
+        w = [x.decode() for x in ascii_lower_words(text or "")]
+        for item, other in items:
+            v = [x.decode() for x in ascii_lower_words(other or "")]
+            for i in range(len(v)):
+                for j in range(len(w)):
+                    if v[i] != w[j] or i and j and v[i - 1] == w[j - 1]:
+                        continue
+                    n = 1
+                    while i + n < len(v) and j + n < len(w) and v[i + n] == w[j + n]:
+                        n += 1
+                    if n >= min(10, len(v)):
+                        want.add((doc_id, str(item), i, j, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 10
+    for block in (10**9, 40):
+        got = [tuple(x) for x in decontaminate.locate_matches(df, bench, block_chars=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 200).astype(np.uint64)
@@ -230,6 +254,56 @@ def test_byte_repeats_by_brute_force(spark, monkeypatch, pieces):
         assert got[k] == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_many_null_ids_are_many_documents(spark):
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    words = lambda n: " ".join(letters(7) for _ in range(n))
+    passage, texts = words(70), [words(62) for _ in range(2990)]
+    texts += [f"{passage} {words(3)}" for _ in range(10)]
+    rows = [(None, t) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    n = len(passage) + 1
+    got = sorted((x.n_bytes, x.n_removed) for x in suffix.measure(df).collect())
+    assert len(got) == 3000 and sum(x == 0 for _, x in got) == 2990
+    assert {x for _, x in got} <= {0, n, n + 1, n + 2, n + 3}  # the words behind may begin alike
+    assert sorted(x.n_removed for x in substring.measure(df).collect()) == [0] * 2991 + [70] * 9
+
+
+def test_repeated_rows(spark):
+    """For op8 a row that repeats stands elsewhere, too; for op7 it is the same document."""
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(60))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "short"), (2, "short"), (3, "x" + text[:399]), (None, "y" * 399)], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.n_removed) for x in suffix.measure(df).collect()) == [(0, 0), (1, len(text)), (1, len(text)), (2, 0), (2, 0), (3, 0)]
+    assert sorted((x.doc_id or 0, x.n_removed) for x in substring.measure(df).collect())[:3] == [(0, 0), (1, 0), (1, 0)]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_byte_repeats_of_the_contract_by_brute_force(spark, monkeypatch, hot):
+    """Strings of 400 bytes, with the grams of 64 that the query uses."""
+    if hot:
+        monkeypatch.setattr(suffix, "PIECES", 3)
+    r = random.Random(12)
+    base = "".join(r.choice("abcdefghijk é") for _ in range(3000))
+    rows = []
+    for i in range(60):
+        a, n = r.randint(0, 2000), r.choice((200, 390, 400, 410, 900))
+        rows.append((i if i % 5 else None, "".join(r.choice("xyz ") for _ in range(r.randint(0, 300))) + base[a : a + n] + "%d" % i))
+    rows += [(100, "a" * 2000), (101, "ab" * 450), (102, ""), (103, None), (104, base), (104, base), (104, base[:1500])]
+    data = [(k, (t or "").encode()) for k, t in rows]
+    counts = Counter(t[i : i + 400] for _, t in data for i in range(len(t) - 399))
+    want = []
+    for k, t in data:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if counts[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
+        want.append((str(k), len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = suffix.measure(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((str(x[0]), *x[1:]) for x in got) == sorted(want)
+
+
 def test_longest_previous_factors():
     r = random.Random(0)
     for _ in range(80):
