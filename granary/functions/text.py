@@ -37,7 +37,13 @@ def squash(c: Column) -> Column:
 
 def tokens(c: Column, shortest: int = 3) -> Column:
     """Folded words of at least ``shortest`` characters, in order."""
-    return F.filter(F.regexp_extract_all(fold(c), F.lit(TOKEN), 0), lambda t: F.length(t) >= shortest)
+    return folded_tokens(fold(c), shortest)
+
+
+def folded_tokens(folded: Column, shortest: int = 3) -> Column:
+    """The same of a text that is folded already; the pattern itself leaves shorter words out."""
+    pattern = TOKEN if shortest <= 1 else rf"{TOKEN[:-1]}{{{shortest},}}"
+    return F.regexp_extract_all(folded, F.lit(pattern), 0)
 
 
 def phrases(words: Column) -> Column:

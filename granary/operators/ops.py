@@ -5,17 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.shared import stored
+
+
+def percentiles(samples: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each key, with linear interpolation.
+
+    Different values are counted and dealt by range, so that each task ranks a part of a key's values; a
+    hot key is spread. Only the sizes of the parts meet.
+    """
+    counted = samples.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    parts = stored(counted.repartitionByRange(key, "v").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy(key, "part").agg(F.sum("n").alias("size"))
+    order = Window.partitionBy(key).orderBy("part")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumns({"before": before, "all": F.sum("size").over(Window.partitionBy(key))})
+    within = Window.partitionBy(key, "part").orderBy("v")
+    sizes = sizes.select(F.col(key).alias("__key"), F.col("part").alias("__part"), "before", "all")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("part") == F.col("__part"))
+    ranked = parts.withColumn("stop", F.sum("n").over(within)).join(sizes, same).withColumn("stop", F.col("stop") + F.col("before"))
+    holds = lambda place: (F.col("stop") - F.col("n") <= place) & (place < F.col("stop"))
+    found = []
+    for name, share in shares.items():
+        at = (F.col("all") - 1) * share
+        found += [F.max(F.when(holds(F.floor(at)), F.col("v"))).alias(f"{name}_low"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias(f"{name}_high"), F.max(at - F.floor(at)).alias(f"{name}_rest")]
+    rows = ranked.groupBy(key).agg(*found)
+    return rows.select(key, *[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * F.col(f"{k}_rest")).alias(k) for k in shares])
+
 
 def latency_report(samples: DataFrame, key: str, ms: str) -> DataFrame:
     """Count, exact p50 and p95 (linear interpolation) and maximum for each key and for ``*``, all."""
-    stats = [
-        F.count("*").alias("n"),
-        F.round(F.percentile(ms, 0.5), 2).alias("p50"),
-        F.round(F.percentile(ms, 0.95), 2).alias("p95"),
-        F.max(ms).alias("max"),
-    ]
-    every = samples.agg(*stats).select(F.lit("*").alias(key), "n", "p50", "p95", "max")
-    return samples.groupBy(key).agg(*stats).unionByName(every)
+    twice = samples.select(F.explode(F.array(F.col(key), F.lit("*"))).alias(key), F.col(ms).alias(ms))
+    counts = twice.groupBy(key).agg(F.count("*").alias("n"), F.max(ms).alias("max"))
+    ranks = percentiles(twice, key, ms, {"p50": 0.5, "p95": 0.95}).withColumnRenamed(key, "__key")
+    joined = counts.join(ranks, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.select(key, "n", F.round("p50", 2).alias("p50"), F.round("p95", 2).alias("p95"), "max")
 
 
 def ring_buffer(log: DataFrame, stream: str, at: str, tie: str, n: int) -> DataFrame:

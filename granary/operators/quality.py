@@ -63,8 +63,8 @@ def gate(sources: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return scored.withColumns(review(level, F.col("quality_score"), F.col("warnings"), policy))
 
 
-def source_quality(sources: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """Report row of each source; ``sources`` has chunk_count and avg_chunk_chars, null without chunks."""
+def source_quality(sources: DataFrame, *also: str, policy: Policy = POLICY) -> DataFrame:
+    """Report row of each source; ``sources`` has chunk_count and avg_chunk_chars, null without chunks. ``also`` names columns to keep."""
     title, url, raw, cleaned = (F.col(c) for c in ("title", "url", "raw_text", "cleaned_text"))
     ratios = sources.withColumns(
         {
@@ -98,7 +98,7 @@ def source_quality(sources: DataFrame, policy: Policy = POLICY) -> DataFrame:
         F.length(raw).alias("raw_char_count"), F.length(cleaned).alias("cleaned_char_count"),
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.round(F.coalesce("avg_chunk_chars", F.lit(0.0)), 1).alias("avg_chunk_chars"),
         "duplicate_line_ratio", "noise_line_ratio", "vietnamese_signal_ratio", "quality_score", "warnings",
-        "review_status", "indexing_status", "decision_reason",
+        "review_status", "indexing_status", "decision_reason", *also,
     )
 
 

@@ -8,22 +8,27 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.config import DOMAIN_PHRASES, RELIABILITY_BOOST, SEARCH_STOPWORDS
-from granary.functions.text import fold, once, phrases, squash, tokens, total
+from granary.functions.text import fold, folded_tokens, once, phrases, squash, tokens, total
 from granary.sources import policy as P
+from granary.sources.shared import stored
 
 DIMENSIONS = 256
 MIN_SCORE = 0.02
 #: Queries that a task holds at once.
 QUERY_BLOCK = 2000
+#: Chunks that are scored at once.
+ROWS = 1000
+#: Hits, a few numbers each, that may be sent to all tasks.
+BROADCAST_HITS = 200_000
 
 
 def bucket(token: Column) -> Column:
@@ -32,11 +37,21 @@ def bucket(token: Column) -> Column:
 
 
 def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bucket and weight of the unit-length bag-of-words vector of each text, in long form."""
-    rows = docs.select(key, F.explode(F.transform(tokens(F.col(text)), bucket)).alias("bucket"))
-    counts = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+    """key, bucket and weight of the unit-length bag-of-words vector of each row's text, in long form; nothing is shuffled."""
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = _Embedder()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                vectors = embed(_Words(part.column(1)))
+                row, place = np.nonzero(vectors)
+                columns = [part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(vectors[row, place])]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "bucket", "weight"])
+
+    return docs.select(key, tokens(F.col(text)).alias("words")).mapInArrow(run, schema)
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -86,60 +101,95 @@ def domain_phrase_boost(query: Column, text: Column) -> Column:
     return F.least(F.lit(1.1), total(each))
 
 
+class _Words:
+    """A column of lists of words: its different words, and for each place its row and which of them it is."""
+
+    def __init__(self, lists: pa.Array):
+        coded = lists.flatten().dictionary_encode()
+        self.rows = len(lists)
+        self.words: list[str] = coded.dictionary.to_pylist()
+        self.which = coded.indices.to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
 class _Embedder:
-    """Counts of token buckets, with a bounded memory of tokens."""
+    """Unit vectors of token buckets, with a bounded memory of words."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        vector = np.zeros(DIMENSIONS)
-        for word, n in Counter(words).items():
-            place = self.known.get(word)
-            if place is None:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                place = self.known[word] = hashlib.md5(word.encode()).digest()[-1]
-            vector[place] += n
-        norm = np.sqrt((vector * vector).sum())
-        return vector / norm if norm else vector
+    def _bucket(self, word: str) -> int:
+        place = self.known.get(word)
+        if place is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            place = self.known[word] = hashlib.md5(word.encode()).digest()[-1]
+        return place
+
+    def __call__(self, words: _Words) -> np.ndarray:
+        places = np.array([self._bucket(w) for w in words.words], np.int64)
+        at = words.row * DIMENSIONS + (places[words.which] if len(places) else 0)
+        vectors = np.bincount(at, minlength=words.rows * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float64)
+        norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
+class _Index:
+    """Terms and the queries that have them: counts, for rows that hold terms, how many each query has."""
+
+    def __init__(self, terms: list[list[str]]):
+        self.n = len(terms)
+        owners: dict[str, list[int]] = {}
+        for query, own in enumerate(terms):
+            for term in own:
+                owners.setdefault(term, []).append(query)
+        self.number = {term: k for k, term in enumerate(owners)}
+        self.sizes = np.array([len(x) for x in owners.values()], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.owner = np.array([q for x in owners.values() for q in x], np.int64)
+
+    def count(self, rows: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """rows x queries; a term that a row holds several times counts once, for a query that has it twice, twice."""
+        pair = np.unique(row * max(1, len(self.sizes)) + term)
+        row, term = np.divmod(pair, max(1, len(self.sizes)))
+        n = self.sizes[term]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        query = self.owner[np.repeat(self.first[term], n) + nth]
+        return np.bincount(np.repeat(row, n) * self.n + query, minlength=rows * self.n).reshape(rows, self.n)
 
 
 class _Queries:
     """A block of queries, ready to be scored against chunks."""
 
     def __init__(self, rows: list[tuple]):
-        embed = _Embedder()
+        import ahocorasick
+
         self.ids = [r[0] for r in rows]
-        self.vectors = np.array([embed(r[1]) for r in rows]).reshape(-1, DIMENSIONS)
-        self.words: dict[str, list[int]] = {}
-        self.phrases: dict[str, list[int]] = {}
+        self.vectors = _Embedder()(_Words(pa.array([r[1] for r in rows], pa.list_(pa.string()))))
         self.important = np.array([max(1, len(r[2])) for r in rows])
         self.empty = np.array([not r[1] for r in rows])
         self.domain = np.array([[v if p in " ".join(r[1]) else 0.0 for p, v in DOMAIN_PHRASES.items()] for r in rows]).reshape(len(rows), -1)
-        for n, (_, _, important, runs) in enumerate(rows):
-            for word in important:
-                self.words.setdefault(word, []).append(n)
-            for run in runs:
-                self.phrases.setdefault(run, []).append(n)
-        # a phrase can only occur where its first two words do
-        self.starts: dict[str, list[str]] = {}
-        for run in self.phrases:
-            self.starts.setdefault(" ".join(run.split(" ")[:2]), []).append(run)
-
-    def hits(self, words: set[str], text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Important words and phrases of each query that occur in a text."""
-        word, phrase = np.zeros(len(self.ids)), np.zeros(len(self.ids))
-        for w in words:
-            for n in self.words.get(w, ()):
-                word[n] += 1
-        for start, runs in self.starts.items():
-            if start in text:
-                for run in runs:
-                    if run in text:
-                        for n in self.phrases[run]:
-                            phrase[n] += 1
-        return word, phrase
+        self.words, self.phrases = _Index([r[2] for r in rows]), _Index([r[3] for r in rows])
+        self.automaton = ahocorasick.Automaton()
+        for phrase, k in self.phrases.number.items():
+            self.automaton.add_word(phrase, k)
+        self.automaton.make_automaton()
+
+    def word_hits(self, words: _Words) -> np.ndarray:
+        """Important words of each query in each row."""
+        number = np.array([self.words.number.get(w, -1) for w in words.words], np.int64)
+        term = number[words.which] if len(number) else words.which
+        return self.words.count(words.rows, words.row[term >= 0], term[term >= 0])
+
+    def phrase_hits(self, texts: list[str]) -> np.ndarray:
+        """Phrases of each query in each text; every text is read once."""
+        found = [{k for _, k in self.automaton.iter(text)} if self.phrases.number else () for text in texts]
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        return self.phrases.count(len(texts), row, np.array([k for x in found for k in x], np.int64))
+
+    def domain_hits(self, texts: list[str]) -> np.ndarray:
+        holds = np.array([[p in text for p in DOMAIN_PHRASES] for text in texts], np.float64).reshape(len(texts), -1)
+        return np.minimum(1.1, holds @ self.domain.T)
 
 
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
@@ -147,16 +197,19 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
     title, url, text = F.col("title"), F.col("url"), F.col("text")
     warnings = P.source_warnings(title, url, text)
     level = P.infer_reliability(url, F.coalesce("reliability_level", F.lit("internet")))
-    return chunks.select(
+    folded = chunks.select(
         "chunk_id",
         "source_id",
         F.coalesce(fold(text), F.lit("")).alias("folded"),
         F.coalesce(fold(title), F.lit("")).alias("folded_title"),
-        tokens(text).alias("tokens"),
         F.sha2(F.lower(squash(F.substring(text, 1, 240))).cast("binary"), 256).alias("text_key"),
         F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in RELIABILITY_BOOST.items()], F.lit(0.0)).alias("reliability"),
         P.source_penalty(warnings).alias("penalty"),
     )
+    return folded.select(
+        F.col("chunk_id").cast("long").alias("chunk_id"), F.col("source_id").cast("string").alias("source_id"), "text_key", "reliability", "penalty",
+        "folded", "folded_title", folded_tokens(F.col("folded")).alias("tokens"), folded_tokens(F.col("folded_title")).alias("title_tokens"),
+    )
 
 
 def query_block(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -168,64 +221,84 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, key: str, text: str, po
     """query_id, chunk_id, source_id, place, score and its six parts: the ``pool`` best hits of each query.
 
     Scores above MIN_SCORE count, rounded to four places, ties by chunk_id; of hits with the same
-    source and the same first 240 characters only the best stays. Chunks are partitioned by source before
-    scoring, so that this holds within each task already.
+    source and the same first 240 characters only the best stays. Chunks are scored where they
+    are; only the best hits of each task are shuffled, never a text.
     """
-    prepared = prepare_chunks(chunks).repartition("source_id")
+    prepared = prepare_chunks(chunks)
     asked = query_block(queries, key, text)
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    if blocks > 1:
+        prepared = stored(prepared)
     found = None
     for k in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
         part = prepared.mapInArrow(_scorer([tuple(r) for r in rows], pool), _HITS)
+        part = part if blocks == 1 else stored(part)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= pool).drop("text_key")
+    best = [F.desc("score"), "chunk_id"]
+    once_ = F.row_number().over(Window.partitionBy("query_id", "source_id", "text_key").orderBy(*best))
+    different = found.withColumn("nth", once_).where("nth = 1").drop("nth", "text_key")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best)).cast("long")
+    return different.withColumn("place", place).where(F.col("place") <= pool)
+
+
+def texts_of(hits: DataFrame, texts: DataFrame, key: str, most: int) -> DataFrame:
+    """Hits with their texts. ``most`` bounds the hits: up to BROADCAST_HITS of them go to the texts, which then stay where they are."""
+    return texts.join(F.broadcast(hits), key) if most <= BROADCAST_HITS else texts.join(hits, key)
 
 
 _PARTS = ("vector", "keyword", "title", "domain", "reliability", "penalty")
 _HITS = "query_id long, chunk_id long, source_id string, text_key string, score double, " + ", ".join(f"s_{p} double" for p in _PARTS)
 
 
+def _scored(queries: _Queries, embed: _Embedder, batch: pa.RecordBatch) -> list[np.ndarray]:
+    """rows x queries: score and its parts."""
+    column = {name: batch.column(name) for name in batch.schema.names}
+    words, folded, folded_title = _Words(column["tokens"]), column["folded"].to_pylist(), column["folded_title"].to_pylist()
+    vector = embed(words) @ queries.vectors.T
+    hit, phrase = queries.word_hits(words), queries.phrase_hits(folded)
+    keyword = np.minimum(1.4, hit * 0.08 + phrase * 0.18 + hit / queries.important * 0.32)
+    keyword[:, queries.empty] = 0.0
+    keyword[np.array([not text for text in folded], bool)] = 0.0
+    hit, phrase = queries.word_hits(_Words(column["title_tokens"])), queries.phrase_hits(folded_title)
+    title = np.minimum(0.5, hit * 0.08 + phrase * 0.12)
+    domain = queries.domain_hits([f"{a} {b}" for a, b in zip(folded_title, folded, strict=True)])
+    reliability, penalty = (np.repeat(np.array(column[c], np.float64)[:, None], len(queries.ids), 1) for c in ("reliability", "penalty"))
+    return [vector + keyword + title + domain + reliability - penalty, vector, keyword, title, domain, reliability, penalty]
+
+
 def _scorer(rows: list[tuple], pool: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        queries, embed, word = _Queries(rows), _Embedder(), re.compile(r"\w+")
-        # best hit of each (source, text) and query; pruned to the pool now and then
+        if not rows:
+            return
+        queries, embed = _Queries(rows), _Embedder()
+        # best hit of each source and text, for each query; never more than the pool stay
         best: list[dict[tuple, tuple]] = [{} for _ in rows]
-
-        def prune(hits: dict[tuple, tuple]) -> dict[tuple, tuple]:
-            kept = heapq.nlargest(pool, hits.items(), key=lambda x: (x[1][0], -x[1][1]))
-            return dict(kept)
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                vector = queries.vectors @ embed(r["tokens"])
-                hit, phrase = queries.hits(set(word.findall(r["folded"])), r["folded"])
-                keyword = np.minimum(1.4, hit * 0.08 + phrase * 0.18 + hit / queries.important * 0.32)
-                keyword[queries.empty] = 0.0
-                if not r["folded"]:
-                    keyword[:] = 0.0
-                hit, phrase = queries.hits(set(word.findall(r["folded_title"])), r["folded_title"])
-                title = np.minimum(0.5, hit * 0.08 + phrase * 0.12)
-                both = f"{r['folded_title']} {r['folded']}"
-                domain = np.minimum(1.1, queries.domain @ np.array([float(p in both) for p in DOMAIN_PHRASES]))
-                score = vector + keyword + title + domain + r["reliability"] - r["penalty"]
-                for n in np.flatnonzero(score > MIN_SCORE).tolist():
-                    # half up, as Spark and SQL round
-                    rounded = float(np.floor(score[n] * 10000 + 0.5 + 1e-9) / 10000)
-                    place = (r["source_id"], r["text_key"])
-                    old = best[n].get(place)
-                    if old is None or (rounded, -r["chunk_id"]) > (old[0], -old[1]):
-                        best[n][place] = (rounded, r["chunk_id"], vector[n], keyword[n], title[n], domain[n], r["reliability"], r["penalty"])
-                    if len(best[n]) > 8 * pool:
-                        best[n] = prune(best[n])
-        out = []
-        for query, hits in zip(queries.ids, best, strict=True):
-            for (source, key), (score, chunk, *parts) in prune(hits).items():
-                out.append((query, chunk, source, key, score, *parts))
+        step = max(1, ROWS * 100 // (100 + len(rows)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                score, *parts = _scored(queries, embed, batch)
+                # half up, as Spark and SQL round
+                rounded = np.floor(score * 10000 + 0.5 + 1e-9) / 10000
+                chunk = np.array(batch.column("chunk_id"), np.int64)
+                places = list(zip(batch.column("source_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True))
+                for n, hits in enumerate(best):
+                    good = np.flatnonzero(score[:, n] > MIN_SCORE)
+                    if len(hits) >= pool:
+                        good = good[rounded[good, n] >= min(x[0] for x in hits.values())]
+                    new: set[tuple] = set()
+                    for r in good[np.lexsort((chunk[good], -rounded[good, n]))].tolist():
+                        if places[r] not in new:  # the first one of its place is the best of this batch
+                            new.add(places[r])
+                            old, hit = hits.get(places[r]), (float(rounded[r, n]), int(chunk[r]))
+                            if old is None or (hit[0], -hit[1]) > (old[0], -old[1]):
+                                hits[places[r]] = (*hit, *(float(p[r, n]) for p in parts))
+                            if len(new) >= pool:
+                                break
+                    if len(hits) > pool:
+                        best[n] = dict(heapq.nlargest(pool, hits.items(), key=lambda x: (x[1][0], -x[1][1])))
+        out = [(query, hit[1], *place, hit[0], *hit[2:]) for query, hits in zip(queries.ids, best, strict=True) for place, hit in hits.items()]
         if out:
             names = [x.split()[0] for x in _HITS.split(", ")]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * (1 + len(_PARTS))]

@@ -8,7 +8,7 @@ from granary.functions import sql as S
 from granary.functions import text as T
 from granary.operators import answers as A
 from granary.plans.logs import TURNS, turns
-from granary.plans.retrieval import hits
+from granary.plans.retrieval import top_texts
 from granary.plans.tables import SOURCES, read, sources
 
 QUERIES: dict = {}
@@ -75,6 +75,6 @@ def q_extract(spark, sf):
 @query("batch_answers")
 def q_answers(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    found = hits(spark, sf).join(texts, "chunk_id").select("query_id", "place", "score", "source_id", "text")
+    found = top_texts(spark, sf, texts).select("query_id", "place", "score", "source_id", "text")
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"), 5)).alias("words"))
     return A.batch_answers(asked, found, F.col("words"))

@@ -106,15 +106,15 @@ REPORT = f"""{SOURCES}, {CHUNKS}, r0 AS (
 
 
 def chunk_sizes(src: DataFrame) -> DataFrame:
-    """Lines of 40 characters or more as chunks: their number and mean size by source."""
-    rows = src.select("source_id", F.explode(F.split("raw_text", "\n")).alias("x")).where(F.length(F.trim("x")) >= 40)
-    return rows.groupBy("source_id").agg(F.count("*").alias("chunk_count"), F.avg(F.length("x")).alias("avg_chunk_chars"))
+    """Lines of 40 characters or more as chunks: their number and mean size, null without any, within each source's row."""
+    sized = src.withColumn("sizes", F.transform(F.filter(F.split("raw_text", "\n"), lambda x: F.length(F.trim(x)) >= 40), F.length))
+    n, all_ = F.nullif(F.size("sizes"), F.lit(0)), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sized.withColumns({"chunk_count": n.cast("long"), "avg_chunk_chars": all_ / n}).drop("sizes")
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = sources(spark, sf_dir)
-    rows = src.join(chunk_sizes(src), "source_id", "left")
-    return quality.source_quality(rows)
+    """One row for each source, from its own row; ``host_group`` and ``doc_id`` stay with it."""
+    return quality.source_quality(chunk_sizes(sources(spark, sf_dir)), "doc_id", "host_group")
 
 
 # ---------------------------------------------------------------- predicates on sources
@@ -361,8 +361,7 @@ def q_upsert(spark, sf):
 # ---------------------------------------------------------------- reports
 @query("source_quality_inputs", f"WITH {SOURCES}, {CHUNKS} SELECT s.source_id, len(raw_text) AS raw_chars, len(cleaned_text) AS cleaned_chars, coalesce(chunk_count, 0) AS chunk_count, round(coalesce(avg_chunk_chars, 0), 3) AS avg_chars FROM s LEFT JOIN c ON s.source_id = c.source_id")
 def q_inputs(spark, sf):
-    src = sources(spark, sf)
-    rows = src.join(chunk_sizes(src), "source_id", "left")
+    rows = chunk_sizes(sources(spark, sf))
     return rows.select("source_id", F.length("raw_text").cast("long").alias("raw_chars"), F.length("cleaned_text").cast("long").alias("cleaned_chars"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.round(F.coalesce("avg_chunk_chars", F.lit(0.0)), 3).alias("avg_chars"))
 
 
@@ -413,9 +412,8 @@ def _covered(topics) -> str:
 
 
 def _matched(spark, sf, topics):
-    """Title and group of each source against the topics; reliability and score come from the report."""
-    src = sources(spark, sf).select("source_id", "doc_id", F.lower(F.concat_ws(" ", "title", "host_group")).alias("t"))
-    rows = report(spark, sf).select("source_id", "reliability_level", "quality_score").join(src, "source_id")
+    """Title and group of each report row against the topics."""
+    rows = report(spark, sf).select("source_id", "doc_id", "reliability_level", "quality_score", F.lower(F.concat_ws(" ", "title", "host_group")).alias("t"))
     return taxonomy.coverage(rows, F.col("t"), topics)
 
 
@@ -442,18 +440,20 @@ def q_topic_top(spark, sf):
 
 def trust(spark: SparkSession, sf: str) -> DataFrame:
     """One row: shares, densities, coverage and the score with its six truncated deductions."""
-    rows = report(spark, sf).select("reliability_level", "warnings", P.bare_host(F.col("url")).alias("domain"))
+    t = F.lower(F.concat_ws(" ", "title", "host_group"))
+    rows = report(spark, sf).select("reliability_level", "warnings", P.bare_host(F.col("url")).alias("domain"), t.alias("t"))
     high = F.size(F.filter("warnings", lambda w: w.isin(*POLICY.high_risk)))
-    domain = rows.groupBy("domain").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("top_domain_share"))
-    facts = rows.agg(
-        F.count("*").alias("sources"),
-        F.avg((F.col("reliability_level") != "internet").cast("double")).alias("reviewed_share"),
-        F.sum(F.size("warnings")).alias("warning_total"),
-        F.sum(high).alias("high_risk_total"),
-    )
-    topic = q_topics(spark, sf).agg(F.avg((F.col("n") > 0).cast("double")).alias("topic_rate"))
-    region = q_regions(spark, sf).agg(F.avg((F.col("n") > 0).cast("double")).alias("region_rate"))
-    row = facts.join(F.broadcast(domain)).join(F.broadcast(topic)).join(F.broadcast(region))
+    covered = {f"{kind}_{n}": F.max(T.contains_any(F.col("t"), terms)) for kind, topics in (("topic", config.TOPICS), ("region", config.REGIONS)) for n, terms in enumerate(topics.values())}
+    # one pass: a row for each domain, then one for all
+    domains = rows.groupBy("domain").agg(
+        F.count("*").alias("n"), F.count_if(F.col("reliability_level") != "internet").alias("reviewed"), F.sum(F.size("warnings")).alias("warnings"),
+        F.sum(high).alias("high"), *[c.alias(k) for k, c in covered.items()],
+    )
+    rate = lambda kind: T.total([F.coalesce(F.max(k), F.lit(False)).cast("double") for k in covered if k.startswith(kind)]) / sum(k.startswith(kind) for k in covered)
+    row = domains.agg(
+        F.sum("n").alias("sources"), (F.sum("reviewed") / F.sum("n")).alias("reviewed_share"), F.sum("warnings").alias("warning_total"),
+        F.sum("high").alias("high_risk_total"), (F.max("n") / F.sum("n")).alias("top_domain_share"), rate("topic").alias("topic_rate"), rate("region").alias("region_rate"),
+    )
 
     def cut(limit: int, value) -> F.Column:
         return F.least(F.lit(limit), F.floor(F.round(value, 9)).cast("int"))
@@ -515,7 +515,7 @@ def q_funnel(spark, sf):
 
 @query("chunk_stats", f"WITH {SOURCES}, {CHUNKS} SELECT source_id, chunk_count, round(avg_chunk_chars, 3) AS avg_chars FROM c")
 def q_chunk_stats(spark, sf):
-    return chunk_sizes(sources(spark, sf)).select("source_id", "chunk_count", F.round("avg_chunk_chars", 3).alias("avg_chars"))
+    return chunk_sizes(sources(spark, sf)).where("chunk_count > 0").select("source_id", "chunk_count", F.round("avg_chunk_chars", 3).alias("avg_chars"))
 
 
 @query("chunk_previews", "SELECT doc_id, CAST(i AS INT) AS ordinal, substr(ls[i], 1, 900) AS preview FROM (SELECT doc_id, ls, unnest(range(1, least(12, len(ls)) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: len(trim(x)) >= 40) AS ls FROM documents))")

@@ -146,12 +146,17 @@ ev AS (SELECT c.item_id, expected, top, coalesce(n, 0) AS n, len(list_filter(exp
 _CASES = f"SELECT item_id, CASE WHEN len(expected) > 0 THEN coalesce(m, 0) / len(expected) ELSE CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END END AS recall, coalesce(1.0 / p, 0) AS rr, n > 0 AS cited, n > 0 AND (len(expected) = 0 OR m >= greatest(1, len(expected) // 2)) AND (len(top) = 0 OR len(list_filter(top, lambda i: contains(x1, i))) = len(top)) AS passed FROM ev"
 
 
+def top_texts(spark, sf, texts, k=5):
+    """query_id, chunk_id, place and what ``texts`` has of the k best chunks."""
+    top = hits(spark, sf).where(F.col("place") <= k).select("query_id", "chunk_id", "place", "score", "source_id")
+    return search.texts_of(top, texts, "chunk_id", read(spark, sf, "benchmark").count() * k)
+
+
 def evaluation(spark, sf):
     words = lambda n: F.array_sort(F.array_distinct(T.tokens(F.col("text"), n)))
     cases = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words(6), 1, 4).alias("expected"), F.slice(words(3), 1, 1).alias("top"))
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lower("text").alias("text"))
-    top = hits(spark, sf).where("place <= 5").select("query_id", "chunk_id", "place").join(texts, "chunk_id")
-    return search.evaluate(cases, top)
+    return search.evaluate(cases, top_texts(spark, sf, texts))
 
 
 @query("retrieval_eval", f"WITH {_EVAL}, c AS ({_CASES}) SELECT count(*) AS cases, round(avg(CASE WHEN passed THEN 1.0 ELSE 0 END), 3) AS pass_rate, round(avg(recall), 3) AS recall, round(avg(rr), 3) AS mrr, round(avg(CASE WHEN cited THEN 1.0 ELSE 0 END), 3) AS cite_rate, round(1 - avg(CASE WHEN cited THEN 1.0 ELSE 0 END), 3) AS refusal_rate FROM c")
@@ -171,7 +176,7 @@ _GATE_SQL = f"{_SEARCH}, g AS (SELECT item_id, string_agg({S.fold('text')}, ' '
 def q_gate(spark, sf):
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"), 5)).alias("ws"))
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), T.fold(F.col("text")).alias("x"))
-    top = hits(spark, sf).where("place <= 5").select("query_id", "chunk_id", "place").join(texts, "chunk_id")
+    top = top_texts(spark, sf, texts)
     joined = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda h: h["x"]), " ").alias("x"))
     matched = F.size(F.filter("ws", lambda t: F.contains(F.col("x"), t)))
     return asked.join(joined, "query_id").select("query_id", matched.cast("long").alias("matched"), (matched >= F.least(F.lit(2), F.size("ws"))).alias("enough"))
@@ -183,6 +188,6 @@ def q_filter(spark, sf):
 
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"), 5)).alias("ws"))
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), T.fold(F.col("text")).alias("x"))
-    top = hits(spark, sf).where("place <= 5").select("query_id", "chunk_id", "place").join(texts, "chunk_id").join(asked, "query_id")
+    top = top_texts(spark, sf, texts).join(asked, "query_id")
     flagged = top.withColumn("good", F.exists("ws", lambda t: F.contains(F.col("x"), t))).withColumn("some", F.max("good").over(Window.partitionBy("query_id")))
     return flagged.where(F.col("good") | (~F.col("some") & (F.col("place") == 1))).select("query_id", "chunk_id")

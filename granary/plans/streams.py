@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.tables import read
+from granary.sources.shared import new_path
 from granary.streaming import jobs
 
 QUERIES: dict = {}
@@ -15,17 +14,27 @@ SQL: dict[str, str] = {}
 
 
 def _to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Drain a stream into a table in memory: results of these jobs are small aggregates."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if shared := stream.sparkSession.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{shared}/streams/{name}")
+    """Drain a stream into a table in the shared folder: a part for each batch, written anew if the batch is repeated.
+
+    Of a complete result the last batch holds all; updates of all batches are returned.
+    """
+    path = new_path(stream.sparkSession)
+    last = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        last.append(batch)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     query = writer.start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    part = f"/batch={last[-1]}" if mode == "complete" else ""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows{part}")
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
