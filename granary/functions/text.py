@@ -83,19 +83,20 @@ def clean_noise(c: Column) -> Column:
 
 def duplicate_line_ratio(c: Column) -> Column:
     """Share of lines of 24 characters or more that repeat an earlier one."""
-    long = F.transform(F.filter(lines(c), lambda x: F.length(F.trim(x)) >= 24), lambda x: squash(F.lower(x)))
-    return F.when(F.size(long) > 0, 1 - F.size(F.array_distinct(long)) / F.size(long)).otherwise(0.0)
+    long = F.transform(F.filter(lines(F.lower(c)), lambda x: F.length(F.trim(x)) >= 24), squash)
+    return once(long, lambda x: F.when(F.size(x) > 0, 1 - F.size(F.array_distinct(x)) / F.size(x)).otherwise(0.0))
 
 
 def noise_line_ratio(c: Column, pattern: str = config.NOISE_LINE) -> Column:
     kept = F.filter(lines(F.lower(c)), lambda x: F.length(F.trim(x)) > 0)
-    return F.when(F.size(kept) > 0, F.size(F.filter(kept, lambda x: x.rlike(pattern))) / F.size(kept)).otherwise(0.0)
+    return once(kept, lambda k: F.when(F.size(k) > 0, F.size(F.filter(k, lambda x: x.rlike(pattern))) / F.size(k)).otherwise(0.0))
 
 
 def signal_ratio(c: Column, letters: str = config.VIETNAMESE) -> Column:
-    """Share of words that hold one of the letters."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.rlike(letters))) / F.size(words)).otherwise(0.0)
+    """Share of words that hold one of the letters, a class of characters."""
+    holding = rf"{letters}{TOKEN[:-1]}*+"  # from the first such letter to the end of the word
+    n = F.regexp_count(F.lower(c), F.lit(f"{TOKEN}+"))
+    return F.when(n > 0, F.regexp_count(F.lower(c), F.lit(holding)) / n).otherwise(0.0)
 
 
 def flags(pairs) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary import config
-from granary.functions.text import fold, hits, once, squash
+from granary.functions.text import fold, hits, once, squash, total
 
 
 def _folded(term: str) -> str:
@@ -28,12 +28,15 @@ def classify(text: Column, categories=FOLDED, fallback: str = config.FALLBACK_CA
 
 
 def _best(folded: Column, categories, fallback: str) -> Column:
-    scored = []
-    for place, (key, terms) in enumerate(categories.items()):
-        found = hits(folded, terms)
-        score = F.size(found) + 1.5 * F.size(F.filter(found, lambda t: F.contains(t, F.lit(" "))))
-        scored.append(F.struct(score.alias("score"), F.lit(-place).alias("order"), F.lit(key).alias("category"), F.size(found).alias("n_terms")))
-    return once(F.array_max(F.array(*scored)), lambda best: F.struct(
+    def scored(place: int, key: str, terms) -> Column:
+        # each term is looked for once: terms of several words count in the thousands
+        found = total([F.when(F.contains(folded, F.lit(t)), 1001 if " " in t else 1).otherwise(0) for t in terms])
+        return once(found, lambda n: F.struct(
+            (n % 1000 + 1.5 * F.floor(n / 1000)).alias("score"), F.lit(-place).alias("order"), F.lit(key).alias("category"), (n % 1000).alias("n_terms")
+        ))
+
+    scores = [scored(place, key, terms) for place, (key, terms) in enumerate(categories.items())]
+    return once(F.array_max(F.array(*scores)), lambda best: F.struct(
         F.when(best["score"] > 0, best["category"]).otherwise(fallback).alias("category"),
         F.round(F.least(F.lit(1.0), best["score"] / 4.0), 3).alias("confidence"),
         best["n_terms"].alias("n_terms"),
