@@ -94,9 +94,11 @@ def noise_line_ratio(c: Column, pattern: str = config.NOISE_LINE) -> Column:
 
 def signal_ratio(c: Column, letters: str = config.VIETNAMESE) -> Column:
     """Share of words that hold one of the letters, a class of characters."""
-    holding = rf"{letters}{TOKEN[:-1]}*+"  # from the first such letter to the end of the word
-    n = F.regexp_count(F.lower(c), F.lit(f"{TOKEN}+"))
-    return F.when(n > 0, F.regexp_count(F.lower(c), F.lit(holding)) / n).otherwise(0.0)
+    own = letters[1:-1]
+    one = F.translate(F.lower(c), own, own[0] * len(own))
+    holding = rf"{own[0]}{TOKEN[:-1]}*+"  # from the first such letter to the end of the word
+    counts = F.struct(F.regexp_count(one, F.lit(holding)).alias("holding"), F.regexp_count(one, F.lit(TOKEN)).alias("all"))
+    return once(counts, lambda n: F.when(n["all"] > 0, n["holding"] / n["all"]).otherwise(0.0))
 
 
 def flags(pairs) -> Column:
