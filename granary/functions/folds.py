@@ -193,6 +193,16 @@ def html_links_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([html_links(h, b) for h, b in zip(html, base, strict=True)])
 
 
+def line_udf(fold):
+    """One of the folds above over a column of texts; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(fold, na_action="ignore")
+
+    return run
+
+
 def chunk_documents(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """One row a chunk: chunk_id (from key and ordinal, so that it is the same each time), key, ordinal, text."""
     rows = docs.select(key, F.posexplode(chunk_text_udf(text)).alias("ordinal", "text"))

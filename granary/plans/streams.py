@@ -13,7 +13,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _to_end(stream: DataFrame, mode: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Drain a stream into a table in the shared folder: a part for each batch, written anew if the batch is repeated.
 
     Of a complete result the last batch holds all; updates of all batches are returned.
@@ -45,11 +45,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return _to_end(jobs.latency(_events(spark, sf), span="1 day", late="1 hour"), "complete").select(F.unix_millis("start").alias("start_ms"), "event_type", "n", "max")
+    return drain(jobs.latency(_events(spark, sf), span="1 day", late="1 hour"), "complete").select(F.unix_millis("start").alias("start_ms"), "event_type", "n", "max")
 
 
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _to_end(jobs.over_limit(_events(spark, sf), 2, span="1 hour"), "update")
+    rows = drain(jobs.over_limit(_events(spark, sf), 2, span="1 hour"), "update")
     latest = rows.groupBy("user_id", "start").agg(F.max("n").alias("n"))
     return latest.select("user_id", F.unix_millis("start").alias("start_ms"), "n", (F.col("n") - 2).alias("rejected"))
 

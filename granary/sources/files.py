@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,15 +16,31 @@ RAW = f"metadata struct<{METADATA.replace(' string', ':string').replace(' int',
 CHUNK = "chunk_id string, text string, metadata struct<source_id:string,title:string,url:string,reliability_level:string,category:string>"
 
 
-def read_raw_docs(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file a document, flattened; an unreadable file gives a row of nulls with an empty text."""
-    rows = spark.read.schema(RAW).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_raw_docs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON file, or line, a document, flattened; an unreadable one gives a row of nulls with an empty text."""
+    rows = spark.read.schema(RAW).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     return rows.select("metadata.*", F.coalesce("raw_text", F.lit("")).alias("raw_text"))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of chunks, one row a chunk."""
-    return spark.read.schema(CHUNK).option("multiLine", True).json(path).select("chunk_id", "text", "metadata.*")
+def _nested(df: DataFrame, struct: T.StructType) -> Column:
+    """The columns that the struct names; those that are missing are null."""
+    return F.struct(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct])
+
+
+def write_raw_docs(docs: DataFrame, path: str) -> None:
+    """One JSON line a document: metadata and raw_text."""
+    struct = T.StructType.fromDDL(RAW)["metadata"].dataType
+    docs.select(_nested(docs, struct).alias("metadata"), "raw_text").write.json(path)
+
+
+def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON arrays of chunks, or a chunk a line, one row a chunk."""
+    return spark.read.schema(CHUNK).option("multiLine", not lines).json(path).select("chunk_id", "text", "metadata.*")
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    struct = T.StructType.fromDDL(CHUNK)["metadata"].dataType
+    chunks.select("chunk_id", "text", _nested(chunks, struct).alias("metadata")).write.json(path)
 
 
 def read_event_log(spark: SparkSession, path: str, schema: str, newest: int | None = None, at: str = "logged_at") -> DataFrame:
@@ -41,6 +57,10 @@ def read_report_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def write_report_csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).csv(path)
+
+
 def decode_text_files(spark: SparkSession, path: str) -> DataFrame:
     """file_name, source_type by suffix, and the text of files as UTF-8, bytes that aren't left out."""
     rows = spark.read.format("binaryFile").load(path)
