@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.shared import stored  # noqa: F401  the operators' own name for it
+
 #: Bytes that end a word for the lower-casing word rule: everything in ASCII but digits and letters.
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -119,23 +119,6 @@ def _arrow_fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
     return [n for n, _ in pairs], [_ARROW[t.strip()] for _, t in pairs]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # a single machine, as in tests
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and go on from there: it cuts the lineage, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/granary/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _held: dict = {}
 
 
