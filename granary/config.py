@@ -76,6 +76,25 @@ SEARCH_STOPWORDS = (
     "cách", "cho", "cây", "như", "thế", "nào", "với", "theo", "của", "trong", "ngoài", "phần", "giúp", "tăng", "rõ", "rệt",
     "nghi", "nên", "nen", "khi",
 )
+# fixed values: words of a question that say nothing about its topic, as written and folded
+CHAT_STOPWORDS = (
+    "cách", "bón", "phân", "cho", "cây", "như", "thế", "nào", "theo", "trong", "cà", "phê", "coffee", "thông", "tin", "dựa", "trên", "tài",
+    "liệu", "truy", "xuất", "điều", "kiện",
+)
+FOLDED_STOPWORDS = ("mot", "cac", "nhung", "neu", "nen", "duoc", "khong", "hien", "he", "thong", "ket", "luan", "tham", "khao")
+# fixed values: what questions on varieties and on diseases hold, and what a text on harvest must hold
+SEED_TERMS = ("giong", "lua", "chon", "tr4", "trs1", "cay con", "tai canh", "ghep")
+DISEASE_TERMS = ("than", "thu", "gi", "sat", "dom", "mat", "cua", "sau", "benh", "nam", "tuyen", "trung")
+BEFORE_HARVEST_TERMS = ("truoc thu hoach", "ve sinh vuon", "ty le qua chin", "san phoi", "thu hai")
+HARVEST_TERMS = ("thu hoach", "qua chin", "che bien", "bao quan", "san phoi")
+# fixed values: triggers in a folded context, and the item that they put on the checklist before harvest
+HARVEST_CHECKLIST = (
+    (("ve sinh dong ruong", "ve sinh vuon cay", "kiem tra vuon cay"), "Kiểm tra vườn cây và vệ sinh đồng ruộng trước khi vào đợt hái."),
+    (("ty le qua chin", "qua chin", "thu hai"), "Quan sát tỷ lệ quả chín để lên kế hoạch thu hái đúng thời điểm."),
+    (("tinh hinh thoi tiet", "thoi tiet"), "Theo dõi thời tiết để bố trí ngày hái và tránh ảnh hưởng đến chất lượng quả."),
+    (("san phoi", "che bien", "phoi qua"), "Chuẩn bị sân phơi, khu vực chế biến và điều kiện làm khô quả ngay sau thu hoạch."),
+    (("canh la", "tap chat", "qua xanh"), "Lượm sạch cành lá, quả xanh và tạp chất lẫn trong quả sau khi thu hái."),
+)
 RELIABILITY_BOOST = {"official": 0.45, "semi_official": 0.22, "manual": 0.12}
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.text import contains_any, flags, fold, once, squash
+from granary import config
+from granary.functions.text import contains_any, flags, fold, folded_tokens, once, squash
 
 # fixed values
 DISCLAIMER = "Thông tin chỉ mang tính hỗ trợ, không thay thế chuyên gia nông nghiệp."
@@ -34,6 +36,11 @@ OTHER_SCRIPT = "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af]"
 PRODUCTS = r"(^|[^\p{L}\p{N}_])(nucafe|sa\s+kali|kali\s+sun)($|[^\p{L}\p{N}_])"
 
 
+def folded_word(word: str) -> str:
+    marks = unicodedata.normalize("NFD", word.lower())
+    return "".join(c for c in marks if unicodedata.category(c) != "Mn").replace("đ", "d")
+
+
 def sanitize(text: Column) -> Column:
     """Instruction-like phrases of crawled text become a marker."""
     for pattern in INSTRUCTIONS:
@@ -68,6 +75,47 @@ def candidate_is_relevant(hay: Column, query_terms: Column, penalty: Column, sco
     return ~contains_any(hay, OFF_TOPIC) & contains_any(hay, ANCHORS) & ~((penalty >= 0.45) & (score < 3.0)) & ~((score < 1.2) & (hits < 1))
 
 
+def important_terms(question: Column) -> Column:
+    """Different folded words of a question that may say something about its topic."""
+    words = F.array_distinct(folded_tokens(fold(question)))
+    stop = [*dict.fromkeys(folded_word(w) for w in config.CHAT_STOPWORDS), *config.FOLDED_STOPWORDS]
+    return F.array_except(words, F.array(*[F.lit(w) for w in stop]))
+
+
+def matched_terms(terms: Column, folded: Column) -> Column:
+    """Terms that a folded text holds; one of three letters must be a word of its own."""
+    words = folded_tokens(folded, 1)
+    return once(F.struct(terms.alias("t"), folded.alias("f"), words.alias("w")), lambda x: F.filter(
+        x["t"], lambda t: F.when(F.length(t) <= 3, F.array_contains(x["w"], t)).otherwise(F.contains(x["f"], t))
+    ))
+
+
+def is_enough(terms: Column, matched: Column, context: Column) -> Column:
+    """Do the first hits cover a question: a term for varieties, if the context speaks of them, and for diseases; two, or all, for others."""
+    has = lambda vocabulary: F.arrays_overlap(terms, F.array(*[F.lit(t) for t in vocabulary]))
+    seeds = contains_any(context, config.SEED_TERMS) & (F.size(matched) >= 1)
+    least = F.when(has(config.DISEASE_TERMS), 1).otherwise(F.least(F.lit(2), F.size(terms)))
+    return F.when(F.size(terms) == 0, True).when(has(config.SEED_TERMS), seeds).otherwise(F.size(matched) >= least)
+
+
+def is_on_topic(question: Column, folded: Column) -> Column:
+    """What questions on harvest, and before harvest, ask of a text."""
+    asked = fold(question)
+    return F.when(F.contains(asked, F.lit("truoc thu hoach")), contains_any(folded, config.BEFORE_HARVEST_TERMS)).when(
+        F.contains(asked, F.lit("thu hoach")), contains_any(folded, config.HARVEST_TERMS)
+    ).otherwise(True)
+
+
+def label_query(label: Column, symptoms: Column) -> Column:
+    """The retrieval query of a label and what was seen."""
+    return F.concat_ws(" ", label, symptoms, F.lit("cà phê triệu chứng nguyên nhân xử lý"))
+
+
+def checklist(context: Column) -> Column:
+    """Items of the checklist before harvest that a context calls for."""
+    return once(fold(context), lambda f: F.array_compact(F.array(*[F.when(contains_any(f, triggers), item) for triggers, item in config.HARVEST_CHECKLIST])))
+
+
 def scrub(answer: Column, question: Column) -> Column:
     """An answer without lines on another crop or on products, and with one disclaimer at its end."""
 

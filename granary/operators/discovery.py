@@ -100,7 +100,8 @@ def query_variants(topic: Column, extra: list[str], crop: str, most: int = 8) ->
     """The topic and its variants, the crop added where it is missing, distinct without regard to case."""
     every = [topic] + [F.concat(topic, F.lit(f" {x}")) for x in extra]
     named = F.array(*[F.when(F.contains(F.lower(v), F.lit(crop)), v).otherwise(F.concat(v, F.lit(f" {crop}"))) for v in every])
-    return F.slice(named, 1, most)
+    low = F.transform(named, F.lower)
+    return F.slice(F.filter(named, lambda v, i: F.array_position(low, F.lower(v)) == i + 1), 1, most)
 
 
 def triage(links: DataFrame, seeds: DataFrame, seen: DataFrame) -> DataFrame:

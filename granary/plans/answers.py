@@ -54,9 +54,9 @@ def q_relevant(spark, sf):
 _LINES = "list_filter(string_split(a, chr(10)), lambda l: NOT (contains(q, 'ca phe') AND contains(" + S.fold("l") + ", 'ho tieu') AND NOT contains(" + S.fold("l") + ", 'ca phe')) AND NOT regexp_matches(lower(l), '" + A.PRODUCTS + "'))"
 
 
-@query("scrub_answer", f"WITH {SOURCES}, k AS (SELECT source_id, {S.squash(S.fold('title'))} AS q, title || chr(10) || 'Dùng NUCAFE nhé' || chr(10) || 'hồ tiêu khác' || chr(10) || substr(raw_text, 1, 80) || '{A.DISCLAIMER}' AS a FROM s), b AS (SELECT source_id, trim(regexp_replace(replace(array_to_string({_LINES}, chr(10)), '{A.DISCLAIMER}', ''), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS body FROM k) SELECT source_id, CASE WHEN body = '' THEN '{A.DISCLAIMER}' ELSE body || chr(10) || chr(10) || '{A.DISCLAIMER}' END AS answer FROM b")
+@query("scrub_answer", f"WITH {SOURCES}, k AS (SELECT source_id, {S.squash(S.fold('title'))} AS q, title || chr(10) || 'Dùng NUCAFE nhé' || chr(10) || 'hồ tiêu khác' || chr(10) || raw_text || '{A.DISCLAIMER}' AS a FROM s), b AS (SELECT source_id, trim(regexp_replace(replace(array_to_string({_LINES}, chr(10)), '{A.DISCLAIMER}', ''), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS body FROM k) SELECT source_id, CASE WHEN body = '' THEN '{A.DISCLAIMER}' ELSE body || chr(10) || chr(10) || '{A.DISCLAIMER}' END AS answer FROM b")
 def q_scrub(spark, sf):
-    answer = F.concat("title", F.lit("\nDùng NUCAFE nhé\nhồ tiêu khác\n"), F.substring("raw_text", 1, 80), F.lit(A.DISCLAIMER))
+    answer = F.concat("title", F.lit("\nDùng NUCAFE nhé\nhồ tiêu khác\n"), "raw_text", F.lit(A.DISCLAIMER))
     return sources(spark, sf).select("source_id", A.scrub(answer, F.col("title")).alias("answer"))
 
 

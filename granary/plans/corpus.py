@@ -9,6 +9,7 @@ from granary import config
 from granary.config import POLICY
 from granary.functions import sql as S
 from granary.functions import text as T
+from granary.operators import answers as A
 from granary.operators import dedupe, quality, taxonomy
 from granary.plans.tables import HOSTS, SOURCES, read, sources
 from granary.sources import policy as P
@@ -275,13 +276,12 @@ def q_terms(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_union(raw, T.tokens(F.col("text")))), " ").alias("terms"))
 
 
-_STOP = ("the", "and", "for", "that", "with", "this", "are")
+_STOP = [*dict.fromkeys(A.folded_word(w) for w in config.CHAT_STOPWORDS), *config.FOLDED_STOPWORDS]
 
 
 @query("important_query_terms", f"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct({S.tokens('text')}), lambda t: NOT list_contains({S.listed(_STOP)}, t))), ' ') AS terms FROM benchmark")
 def q_important(spark, sf):
-    stop = F.array(*[F.lit(t) for t in _STOP])
-    return read(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_except(F.array_distinct(T.tokens(F.col("text"))), stop)), " ").alias("terms"))
+    return read(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(A.important_terms(F.col("text"))), " ").alias("terms"))
 
 
 @query("duplicate_line_ratio", f"SELECT doc_id, round({S.duplicate_line_ratio('text')}::DOUBLE, 6) AS ratio FROM documents")
@@ -327,10 +327,10 @@ def q_canonical(spark, sf):
     return dedupe.canonical(read(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("find_duplicates", f"WITH {_CANON}, st AS (SELECT * FROM h WHERE doc_id % 2 = 0), i AS (SELECT * FROM h WHERE doc_id % 3 = 0) SELECT i.doc_id, i.content_hash, CASE WHEN min(st.doc_id) <> i.doc_id THEN min(st.doc_id) WHEN max(st.doc_id) <> i.doc_id THEN max(st.doc_id) END AS duplicate_of, coalesce(min(st.doc_id) <> i.doc_id OR max(st.doc_id) <> i.doc_id, false) AS is_duplicate FROM i LEFT JOIN st USING (content_hash) GROUP BY i.doc_id, i.content_hash")
+@query("find_duplicates", f"WITH {_CANON}, st AS (SELECT * FROM h WHERE doc_id % 2 = 0), i AS (SELECT * FROM h) SELECT i.doc_id, i.content_hash, CASE WHEN min(st.doc_id) <> i.doc_id THEN min(st.doc_id) WHEN max(st.doc_id) <> i.doc_id THEN max(st.doc_id) END AS duplicate_of, coalesce(min(st.doc_id) <> i.doc_id OR max(st.doc_id) <> i.doc_id, false) AS is_duplicate FROM i LEFT JOIN st USING (content_hash) GROUP BY i.doc_id, i.content_hash")
 def q_find_duplicates(spark, sf):
     h = read(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
-    return dedupe.new_documents(h.where("doc_id % 3 = 0"), h.where("doc_id % 2 = 0"), "doc_id")
+    return dedupe.new_documents(h, h.where("doc_id % 2 = 0"), "doc_id")
 
 
 @query("duplicate_report", f"WITH {_CANON}, {SOURCES}, {CHUNKS}, f AS (SELECT content_hash, min(doc_id) AS first FROM h GROUP BY 1) SELECT h.doc_id, first AS existing, s.title AS existing_title, coalesce(chunk_count, 0) AS chunks FROM h JOIN f USING (content_hash) JOIN s ON s.doc_id = first LEFT JOIN c ON c.source_id = s.source_id WHERE h.doc_id <> first")
@@ -352,10 +352,10 @@ def q_dedupe_index(spark, sf):
     return dedupe.dedupe_index(rows.select("source", "x", (F.col("doc_id") * 1000000 + F.col("i") + 1).alias("ordinal")), "source", "x", "ordinal")
 
 
-@query("upsert_chunks", "WITH st AS (SELECT o_custkey AS src, o_orderkey AS id, 'old' AS v FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT o_custkey AS src, o_orderkey AS id, 'new' AS v FROM orders WHERE o_orderkey % 7 = 0), kept AS (SELECT * FROM st WHERE src NOT IN (SELECT src FROM i)) SELECT * FROM kept UNION ALL SELECT * FROM i WHERE id NOT IN (SELECT id FROM kept)")
+@query("upsert_chunks", "WITH st AS (SELECT o_custkey AS src, o_orderkey AS id, 'old' AS v FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT o_custkey AS src, o_orderkey AS id, 'new' AS v FROM orders WHERE o_orderkey % 2 <> 0), kept AS (SELECT * FROM st WHERE src NOT IN (SELECT src FROM i)) SELECT * FROM kept UNION ALL SELECT * FROM i WHERE id NOT IN (SELECT id FROM kept)")
 def q_upsert(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("id"))
-    return dedupe.upsert(o.where("id % 2 = 0").withColumn("v", F.lit("old")), o.where("id % 7 = 0").withColumn("v", F.lit("new")), "src", "id")
+    return dedupe.upsert(o.where("id % 2 = 0").withColumn("v", F.lit("old")), o.where("id % 2 <> 0").withColumn("v", F.lit("new")), "src", "id")
 
 
 # ---------------------------------------------------------------- reports

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.config import DISEASE_TERMS, HARVEST_CHECKLIST, SEED_TERMS
 from granary.functions import folds
 from granary.functions import sql as S
 from granary.functions import text as T
+from granary.operators import answers as A
 from granary.operators import discovery as D
 from granary.plans.corpus import _PENALTY, _level, _pairs
 from granary.plans.tables import SOURCES, read, sources
@@ -77,11 +79,14 @@ def q_unwrap(spark, sf):
     return read(spark, sf, "pages").select("page_id", D.unwrap_redirect(wrapped).alias("target"))
 
 
-@query("query_variants", f"SELECT item_id, CAST(i - 1 AS INT) AS variant, CASE WHEN contains(lower(v[i]), 'ca phe') THEN v[i] ELSE v[i] || ' ca phe' END AS query FROM (SELECT item_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT item_id, [t, t || ' pdf', t || ' khuyen nong', t || ' ca phe'] AS v FROM (SELECT item_id, {S.squash('substr(text, 1, 20)')} AS t FROM benchmark)))")
+_VARIANTS = ("khuyến nông", "tài liệu kỹ thuật", "PDF", "pdf", "phân bón", "cà phê")
+
+
+@query("query_variants", f"""WITH t AS (SELECT item_id, {S.squash('text')} AS t FROM benchmark), v AS (SELECT item_id, list_transform([t, {", ".join(f"t || ' {x}'" for x in _VARIANTS)}], lambda x: CASE WHEN contains(lower(x), 'cà phê') THEN x ELSE x || ' cà phê' END) AS v FROM t),
+  k AS (SELECT item_id, list_filter(v, lambda x, i: list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i)[1:8] AS v FROM v) SELECT item_id, CAST(i - 1 AS INT) AS variant, v[i] AS query FROM (SELECT item_id, v, unnest(range(1, len(v) + 1)) AS i FROM k)""")
 def q_variants(spark, sf):
-    topic = T.squash(F.substring("text", 1, 20))
-    rows = read(spark, sf, "benchmark").select("item_id", F.posexplode(D.query_variants(topic, ["pdf", "khuyen nong", "ca phe"], "ca phe")).alias("variant", "query"))
-    return rows
+    found = D.query_variants(T.squash(F.col("text")), list(_VARIANTS), "cà phê")
+    return read(spark, sf, "benchmark").select("item_id", F.posexplode(found).alias("variant", "query"))
 
 
 @query("triage_links", "WITH l AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url, page_id FROM pages), h AS (SELECT url, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') AS host, min(page_id) AS p FROM l GROUP BY ALL), seeds AS (SELECT DISTINCT host FROM h WHERE p % 3 = 0), seen AS (SELECT DISTINCT url FROM l WHERE page_id % 5 = 0) SELECT url, CASE WHEN host NOT IN (SELECT host FROM seeds) THEN 'candidate_external' WHEN url IN (SELECT url FROM seen) THEN 'seen' ELSE 'queued' END AS state FROM h")
@@ -100,7 +105,10 @@ def q_html(spark, sf):
 
 @query("extract_links")
 def q_links(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.slice(folds.html_links_udf("html", "url"), 1, 25).alias("l")).select("page_id", F.array_join("l", " ").alias("links"))
+    links = F.transform(folds.html_links_udf("html", "url"), D.normalize_link)
+    kept = F.filter(links, lambda x: (x != "") & D.is_relevant(x))
+    first = F.slice(F.array_sort(F.array_distinct(kept)), 1, 25)
+    return read(spark, sf, "pages").select("page_id", F.array_join(first, " ").alias("links"))
 
 
 @query("clean_text")
@@ -113,12 +121,15 @@ def q_chunks(spark, sf):
     return folds.chunk_documents(read(spark, sf, "documents"), "doc_id", F.regexp_replace("text", "\n", "\n\n"))
 
 
-@query("chunk_metadata", f"WITH {SOURCES} SELECT sha1(source_id || '#0') AS chunk_id, coalesce(nullif(title, 'Untitled'), 'Tài liệu chưa đặt tên') AS title, coalesce(reliability_level, 'manual') AS reliability_level FROM s")
+@query("chunk_metadata", f"WITH {SOURCES}, c AS (SELECT *, list_filter(string_split(raw_text, chr(10)), lambda x: len(trim(x)) >= 40) AS ls FROM s) SELECT sha1(source_id || '#' || (i - 1)) AS chunk_id, coalesce(nullif(title, 'Untitled'), 'Tài liệu chưa đặt tên') AS title, coalesce(reliability_level, 'manual') AS reliability_level, CAST(i - 1 AS INT) AS ordinal FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM c)")
 def q_metadata(spark, sf):
-    return sources(spark, sf).select(
-        F.sha1(F.concat("source_id", F.lit("#0")).cast("binary")).alias("chunk_id"),
+    lines = F.filter(F.split("raw_text", "\n"), lambda x: F.length(F.trim(x)) >= 40)
+    rows = sources(spark, sf).select("source_id", "title", "reliability_level", F.posexplode(lines).alias("ordinal", "text"))
+    return rows.select(
+        F.sha1(F.concat("source_id", F.lit("#"), F.col("ordinal").cast("string")).cast("binary")).alias("chunk_id"),
         F.coalesce(F.nullif(F.col("title"), F.lit("Untitled")), F.lit("Tài liệu chưa đặt tên")).alias("title"),
         F.coalesce("reliability_level", F.lit("manual")).alias("reliability_level"),
+        "ordinal",
     )
 
 
@@ -126,10 +137,15 @@ def q_metadata(spark, sf):
 PLACES = ("Tây Nguyên", "Đắk Lắk", "Đắk Nông", "Gia Lai", "Lâm Đồng", "Kon Tum", "Tây Bắc", "Sơn La", "Điện Biên", "Lai Châu")
 
 
-@query("mentions", f"WITH {SOURCES} SELECT source_id, array_to_string(list_filter({S.listed(PLACES)}, lambda p: contains(lower(title || raw_text), lower(p))), ',') AS places FROM s")
+_ITEMS = ", ".join(f"CASE WHEN {S.has_any('f', triggers)} THEN {S.quoted(item)} END" for triggers, item in HARVEST_CHECKLIST)
+_TALK = "title || ' ' || raw_text || CASE WHEN doc_id % 5 = 0 THEN ' sân phơi, quả xanh ở Gia Lai' ELSE '' END"
+
+
+@query("mentions", f"WITH {SOURCES}, k AS (SELECT source_id, lower({_TALK}) AS l, {S.fold('(' + _TALK + ')')} AS f FROM s) SELECT source_id, array_to_string(list_filter({S.listed(PLACES)}, lambda p: contains(l, lower(p))), ',') AS places, array_to_string(list_filter([{_ITEMS}], lambda x: x IS NOT NULL), ' ') AS checklist FROM k")
 def q_mentions(spark, sf):
-    low = F.lower(F.concat("title", "raw_text"))
-    return sources(spark, sf).select("source_id", F.array_join(F.filter(F.array(*[F.lit(p) for p in PLACES]), lambda p: F.contains(low, F.lower(p))), ",").alias("places"))
+    talk = F.concat("title", F.lit(" "), "raw_text", F.when(F.col("doc_id") % 5 == 0, " sân phơi, quả xanh ở Gia Lai").otherwise(""))
+    places = T.once(F.lower(talk), lambda low: F.filter(F.array(*[F.lit(p) for p in PLACES]), lambda p: F.contains(low, F.lower(p))))
+    return sources(spark, sf).select("source_id", F.array_join(places, ",").alias("places"), F.array_join(A.checklist(talk), " ").alias("checklist"))
 
 
 _OLD, _MIXED = "[ƣƢ]", "[a-zàáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệ][A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸ]{2,}"
@@ -164,13 +180,17 @@ def q_safe(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(F.slice(ok, 1, 4), "|").alias("items"))
 
 
-@query("label_query", "SELECT doc_id, concat_ws(' ', CASE WHEN quality = 1 THEN 'cay khoe' ELSE 'gi sat' END, CASE WHEN toxic = 1 THEN 'trieu chung' END, 'ca phe') AS q FROM labels")
+@query("label_query", "SELECT doc_id, concat_ws(' ', CASE WHEN quality = 1 THEN 'cây khỏe' ELSE 'gỉ sắt' END, CASE WHEN toxic = 1 THEN 'lá vàng' END, 'cà phê triệu chứng nguyên nhân xử lý') AS q FROM labels")
 def q_label(spark, sf):
-    label = F.when(F.col("quality") == 1, "cay khoe").otherwise("gi sat")
-    return read(spark, sf, "labels").select("doc_id", F.concat_ws(" ", label, F.when(F.col("toxic") == 1, "trieu chung"), F.lit("ca phe")).alias("q"))
+    label = F.when(F.col("quality") == 1, "cây khỏe").otherwise("gỉ sắt")
+    return read(spark, sf, "labels").select("doc_id", A.label_query(label, F.when(F.col("toxic") == 1, "lá vàng")).alias("q"))
+
+
+_FOLDED = f"list_distinct({S.tokens('text')})"
 
 
-@query("term_overlap", f"SELECT item_id, len(list_intersect(list_distinct({S.tokens('text')}), ['the', 'that', 'and', 'with', 'for'])) AS n FROM benchmark")
+@query("term_overlap", f"WITH q AS (SELECT doc_id, {_FOLDED} AS w FROM documents) SELECT doc_id, len(list_intersect(w, {S.listed(SEED_TERMS)})) AS seeds, len(list_intersect(w, {S.listed(DISEASE_TERMS)})) AS diseases FROM q")
 def q_overlap(spark, sf):
-    seeds = F.array(*[F.lit(x) for x in ("the", "that", "and", "with", "for")])
-    return read(spark, sf, "benchmark").select("item_id", F.size(F.array_intersect(T.tokens(F.col("text")), seeds)).cast("long").alias("n"))
+    words = F.array_distinct(T.tokens(F.col("text")))
+    common = lambda terms: F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))).cast("long")
+    return read(spark, sf, "documents").select("doc_id", common(SEED_TERMS).alias("seeds"), common(DISEASE_TERMS).alias("diseases"))

@@ -240,9 +240,9 @@ def q_distinct(spark, sf):
     return ops.first_seen(rows, "url", "pos").orderBy("pos").limit(100)
 
 
-@query("distinct_topics", f"SELECT topic, min(pos) AS pos FROM (SELECT {S.squash('substr(text, 1, 12)')} AS topic, conv_id * 1000 + turn AS pos FROM conversations) WHERE topic <> '' GROUP BY 1")
+@query("distinct_topics", f"SELECT topic, min(pos) AS pos FROM (SELECT {S.squash('text')} AS topic, conv_id * 1000 + turn AS pos FROM conversations) WHERE topic <> '' GROUP BY 1")
 def q_distinct_topics(spark, sf):
-    rows = read(spark, sf, "conversations").select(T.squash(F.substring("text", 1, 12)).alias("topic"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    rows = read(spark, sf, "conversations").select(T.squash(F.col("text")).alias("topic"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
     return ops.first_seen(rows.where("topic <> ''"), "topic", "pos")
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.config import DOMAIN_PHRASES, RELIABILITY_BOOST, SEARCH_STOPWORDS
+from granary.config import (
+    BEFORE_HARVEST_TERMS, CHAT_STOPWORDS, DISEASE_TERMS, DOMAIN_PHRASES, FOLDED_STOPWORDS, HARVEST_TERMS, RELIABILITY_BOOST, SEARCH_STOPWORDS, SEED_TERMS,
+)
 from granary.functions import sql as S
 from granary.functions import text as T
+from granary.operators import answers as A
 from granary.operators import search, taxonomy
 from granary.plans.corpus import _PENALTY, _classified, _level, _pairs
 from granary.plans.tables import SOURCES, read, sources
@@ -169,25 +172,42 @@ def q_cite(spark, sf):
     return hits(spark, sf).where("place <= 10").groupBy("query_id", "source_id").agg(F.min("place").alias("rank"))
 
 
-_GATE_SQL = f"{_SEARCH}, g AS (SELECT item_id, string_agg({S.fold('text')}, ' ' ORDER BY place) AS x FROM hits JOIN documents USING (doc_id) WHERE place <= 5 GROUP BY 1), qt AS (SELECT item_id, list_distinct({S.tokens('text', 5)}) AS ws FROM benchmark)"
+_STOPS = S.listed([*dict.fromkeys(A.folded_word(w) for w in CHAT_STOPWORDS), *FOLDED_STOPWORDS])
+_TERMS = f"list_filter(list_distinct({S.tokens('b.text')}), lambda t: NOT list_contains({_STOPS}, t))"
+_MATCHED = "list_filter(ws, lambda t: CASE WHEN len(t) <= 3 THEN list_contains(regexp_extract_all(x, '[\\p{L}\\p{N}_]+'), t) ELSE contains(x, t) END)"
+_ASKED = f"qt AS (SELECT item_id, {S.fold('b.text')} AS q, {_TERMS} AS ws FROM benchmark b)"
+_GATE_SQL = f"""{_SEARCH}, {_ASKED}, g AS (SELECT item_id, string_agg({S.fold("(raw_text || ' ' || title || ' ' || url)")}, ' ' ORDER BY place) AS x FROM hits JOIN s USING (doc_id) WHERE place <= 5 GROUP BY 1),
+m AS (SELECT item_id, ws, x, {_MATCHED} AS matched FROM qt JOIN g USING (item_id))"""
 
 
-@query("relevance_gate", f"WITH {_GATE_SQL} SELECT item_id AS query_id, len(list_filter(ws, lambda i: contains(x, i))) AS matched, len(list_filter(ws, lambda i: contains(x, i))) >= least(2, len(ws)) AS enough FROM qt JOIN g USING (item_id)")
+def asked_terms(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), A.important_terms(F.col("text")).alias("ws"))
+
+
+@query("relevance_gate", f"""WITH {_GATE_SQL} SELECT item_id AS query_id, len(matched) AS matched, CASE WHEN len(ws) = 0 THEN true
+  WHEN len(list_intersect(ws, {S.listed(SEED_TERMS)})) > 0 THEN {S.has_any('x', SEED_TERMS)} AND len(matched) >= 1
+  WHEN len(list_intersect(ws, {S.listed(DISEASE_TERMS)})) > 0 THEN len(matched) >= 1 ELSE len(matched) >= least(2, len(ws)) END AS enough FROM m""")
 def q_gate(spark, sf):
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"), 5)).alias("ws"))
-    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), T.fold(F.col("text")).alias("x"))
-    top = top_texts(spark, sf, texts)
-    joined = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda h: h["x"]), " ").alias("x"))
-    matched = F.size(F.filter("ws", lambda t: F.contains(F.col("x"), t)))
-    return asked.join(joined, "query_id").select("query_id", matched.cast("long").alias("matched"), (matched >= F.least(F.lit(2), F.size("ws"))).alias("enough"))
+    texts = sources(spark, sf).select(F.col("doc_id").alias("chunk_id"), T.fold(F.concat_ws(" ", "raw_text", "title", "url")).alias("x"))
+    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda h: h["x"]), " ")
+    joined = top_texts(spark, sf, texts).groupBy("query_id").agg(together.alias("x"))
+    rows = asked_terms(spark, sf).join(joined, "query_id").withColumn("matched", A.matched_terms(F.col("ws"), F.col("x")))
+    return rows.select("query_id", F.size("matched").cast("long").alias("matched"), A.is_enough(F.col("ws"), F.col("matched"), F.col("x")).alias("enough"))
+
+
+_LOW = "|".join(A.TRAINING_NOISE)
+_ON_TOPIC = f"CASE WHEN contains(q, 'truoc thu hoach') THEN {S.has_any('x', BEFORE_HARVEST_TERMS)} WHEN contains(q, 'thu hoach') THEN {S.has_any('x', HARVEST_TERMS)} ELSE true END"
+_IS_LOW = rf"(regexp_matches(x, '(^|[^\p{{L}}\p{{N}}_])({_LOW})($|[^\p{{L}}\p{{N}}_])') AND NOT ((contains(q, 'truoc thu hoach') OR (contains(q, 'thu hoach') AND {S.has_any('q', ('luu y', 'cham soc', 'chuan bi'))})) AND {S.has_any('x', ('truoc thu hoach', 'qua chin'))}))"
 
 
-@query("filter_relevant_chunks", f"WITH {_SEARCH}, f AS (SELECT item_id, doc_id, place, len(list_filter(list_distinct({S.tokens('b.text', 5)}), lambda i: contains({S.fold('d.text')}, i))) > 0 AS good FROM hits JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE place <= 5) SELECT item_id AS query_id, doc_id AS chunk_id FROM (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS any_good FROM f) WHERE good OR (NOT any_good AND place = 1)")
+@query("filter_relevant_chunks", f"""WITH {_SEARCH}, {_ASKED}, h5 AS (SELECT item_id, doc_id, place, q, ws, {S.squash(S.fold("(title || ' ' || url || ' ' || raw_text)"))} AS x FROM hits JOIN s USING (doc_id) JOIN qt USING (item_id) WHERE place <= 5),
+f AS (SELECT *, len(ws) = 0 OR (len({_MATCHED}) > 0 AND {_ON_TOPIC} AND NOT {_IS_LOW}) AS good FROM h5) SELECT item_id AS query_id, doc_id AS chunk_id FROM (SELECT *, bool_or(good) OVER (PARTITION BY item_id) AS any_good FROM f) WHERE good OR (NOT any_good AND place = 1)""")
 def q_filter(spark, sf):
     from pyspark.sql import Window
 
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"), 5)).alias("ws"))
-    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), T.fold(F.col("text")).alias("x"))
-    top = top_texts(spark, sf, texts).join(asked, "query_id")
-    flagged = top.withColumn("good", F.exists("ws", lambda t: F.contains(F.col("x"), t))).withColumn("some", F.max("good").over(Window.partitionBy("query_id")))
+    texts = sources(spark, sf).select(F.col("doc_id").alias("chunk_id"), T.squash(T.fold(F.concat_ws(" ", "title", "url", "raw_text"))).alias("x"))
+    top = top_texts(spark, sf, texts).join(asked_terms(spark, sf), "query_id")
+    question, x, ws = F.col("question"), F.col("x"), F.col("ws")
+    good = (F.size(ws) == 0) | ((F.size(A.matched_terms(ws, x)) > 0) & A.is_on_topic(question, x) & ~A.is_low_value(question, x))
+    flagged = top.withColumn("good", good).withColumn("some", F.max("good").over(Window.partitionBy("query_id")))
     return flagged.where(F.col("good") | (~F.col("some") & (F.col("place") == 1))).select("query_id", "chunk_id")
