@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 from granary import config
 from granary.functions.text import contains_any, flags, fold, folded_tokens, once, squash
+from granary.operators.chatlog import advice_issues
 
 # fixed values
 DISCLAIMER = "Thông tin chỉ mang tính hỗ trợ, không thay thế chuyên gia nông nghiệp."
 FILTERED = "[đã lọc]"
+NO_ADVICE = "Theo dõi triệu chứng, cải thiện vệ sinh vườn và hỏi chuyên gia khi bệnh lan nhanh."
 INSTRUCTIONS = (
     r"(ignore|disregard|forget)\s+(previous|all|system|above|prior)\s+(instructions?|rules?|prompt)",
     r"(you are now|act as|pretend to be|switch to|new role)\b",
@@ -106,6 +108,13 @@ def is_on_topic(question: Column, folded: Column) -> Column:
     ).otherwise(True)
 
 
+def recommendations(context: Column) -> Column:
+    """The first four sentences of a context that give no risky advice; a general one if there is none."""
+    parts = F.transform(F.split(F.replace(context, F.lit("\n"), F.lit(" ")), r"\."), lambda x: F.trim(x))
+    safe = F.filter(parts, lambda x: F.length(x).between(45, 220) & (F.size(advice_issues(x)) == 0))
+    return once(F.slice(safe, 1, 4), lambda x: F.when(F.size(x) == 0, F.array(F.lit(NO_ADVICE))).otherwise(x))
+
+
 def label_query(label: Column, symptoms: Column) -> Column:
     """The retrieval query of a label and what was seen."""
     return F.concat_ws(" ", label, symptoms, F.lit("cà phê triệu chứng nguyên nhân xử lý"))

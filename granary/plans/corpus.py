@@ -212,10 +212,17 @@ def q_band(spark, sf):
     return read(spark, sf, "events").select("event_id", F.when(score >= 0.22, "cao").when(score >= 0.12, "trung_binh").otherwise("thap").alias("band"))
 
 
-@query("handbook_articles", f"WITH {SOURCES} SELECT source_id, coalesce(nullif(nullif(title, 'Untitled'), ''), host_group || '.txt') AS title, concat_ws(' | ', reliability_level, url) AS description FROM s")
+_NAMES = {key: name for key, (name, _) in config.CATEGORIES.items()}
+_KEYS = (*_NAMES, "other", None)
+
+
+@query("handbook_articles", f"""WITH {SOURCES}, k AS (SELECT *, [{", ".join(S.quoted(k) if k else "NULL" for k in _KEYS)}][CAST(doc_id % {len(_KEYS)} AS INT) + 1] AS key FROM s) SELECT source_id, coalesce(nullif(nullif(title, 'Untitled'), ''), host_group || '.txt', 'Tài liệu') AS title, CASE key {" ".join(f"WHEN '{k}' THEN {S.quoted(v)}" for k, v in _NAMES.items())} ELSE coalesce(key, 'Tổng hợp') END AS category, concat_ws(' | ', reliability_level, url) AS description FROM k""")
 def q_handbook(spark, sf):
-    title = F.coalesce(F.nullif(F.nullif(F.col("title"), F.lit("Untitled")), F.lit("")), F.concat("host_group", F.lit(".txt")))
-    return sources(spark, sf).select("source_id", title.alias("title"), F.concat_ws(" | ", "reliability_level", "url").alias("description"))
+    """Category by its label, an unknown one by its key, without any the default."""
+    key = F.element_at(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % len(_KEYS) + 1).cast("int"))
+    title = F.coalesce(F.nullif(F.nullif(F.col("title"), F.lit("Untitled")), F.lit("")), F.concat("host_group", F.lit(".txt")), F.lit("Tài liệu"))
+    category = F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in _NAMES.items()], key, F.lit("Tổng hợp"))
+    return sources(spark, sf).select("source_id", title.alias("title"), category.alias("category"), F.concat_ws(" | ", "reliability_level", "url").alias("description"))
 
 
 @query("valid_feedback", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click', 'signup')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.config import DISEASE_TERMS, HARVEST_CHECKLIST, SEED_TERMS
+from granary.config import CHAT_STOPWORDS, DISEASE_TERMS, HARVEST_CHECKLIST, SEED_TERMS
 from granary.functions import folds
 from granary.functions import sql as S
 from granary.functions import text as T
@@ -154,30 +154,49 @@ _BROKEN = "[bcdfghjklmnpqrstvwxyz] [ạảãáàắằẳẵặấầẩẫậ
 
 @query("ocr_garbage_flag", f"SELECT doc_id, regexp_matches(text, '{_OLD}') OR regexp_matches(text, '{_MIXED}') OR (n > 0 AND (CASE WHEN len(text) < 120 THEN true ELSE n >= 3 OR n / greatest(1, len(text)) > 0.010 END)) AS garbage FROM (SELECT doc_id, text, len(regexp_extract_all(lower(text), '{_BROKEN}')) AS n FROM documents)")
 def q_ocr(spark, sf):
-    text, n = F.col("text"), F.regexp_count(F.lower("text"), F.lit(_BROKEN))
-    dense = F.when(F.length(text) < 120, n >= 1).otherwise((n >= 3) | (n / F.greatest(F.lit(1), F.length(text)) > 0.010))
-    return read(spark, sf, "documents").select("doc_id", (text.rlike(_OLD) | text.rlike(_MIXED) | ((n > 0) & dense)).alias("garbage"))
+    return read(spark, sf, "documents").select("doc_id", _garbage(F.col("text")).alias("garbage"))
 
 
-@query("summarize_extractive", f"""WITH p AS (SELECT doc_id, text, unnest(range(1, len(ps) + 1)) AS i, ps FROM (SELECT doc_id, text, string_split_regex(text, '[.\\n]') AS ps FROM documents)),
-  s AS (SELECT doc_id, i, {S.squash('ps[i]')} AS x FROM p), k AS (SELECT *, len(list_filter(['the', 'tion', 'ing', 'eau'], lambda t: contains(lower(x), t))) AS hits FROM s WHERE len(x) BETWEEN 35 AND 260),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS place FROM k) SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY i)) AS summary, count(*) AS sentences FROM r WHERE place <= 4 GROUP BY 1""")
+# fixed values: starts and parts of sentences that carry nothing
+LOW_VALUE_LINES = (
+    r"^\s*h\d+\s*:", r"^\s*hình\s+\d+", r"^\s*bài\s+\d+", r"^\s*kế hoạch bài giảng", r"^\s*\(?phút\)?\s*$", r"^\s*stt($|[^\p{L}\p{N}_])",
+    r"^\s*toggle($|[^\p{L}\p{N}_])", r"^\s*menu($|[^\p{L}\p{N}_])", r"\.{4,}", r"^\s*\d+\.\d+\.\d*\s", r"^\s*(ths|ts|pgs|gs|cn|ks)\.\s",
+    r"^\s*\d+\s*[-–.]\s*(ths|ts|pgs|gs|cn|ks)($|[^\p{L}\p{N}_])", r"[-–]\s*(giz|wasi|ipsard|fao|undp|jica)($|[^\p{L}\p{N}_])",
+    r"(viện trưởng|phó viện trưởng|nguyên phó viện trưởng)\s+(wasi|ipsard|vaas)($|[^\p{L}\p{N}_])", r"^\s*trang\s+\d+",
+)
+_LOW = "|".join(f"({p})" for p in LOW_VALUE_LINES)
+
+
+def _garbage_sql(x: str) -> str:
+    n = f"len(regexp_extract_all(lower({x}), '{_BROKEN}'))"
+    return f"(regexp_matches({x}, '{_OLD}') OR regexp_matches({x}, '{_MIXED}') OR ({n} > 0 AND (len({x}) < 120 OR {n} >= 3 OR {n} / greatest(1, len({x})) > 0.010)))"
+
+
+def _garbage(x):
+    n = F.regexp_count(F.lower(x), F.lit(_BROKEN))
+    dense = F.when(F.length(x) < 120, n >= 1).otherwise((n >= 3) | (n / F.greatest(F.lit(1), F.length(x)) > 0.010))
+    return x.rlike(_OLD) | x.rlike(_MIXED) | ((n > 0) & dense)
+
+
+_ASKED = "list_filter(list_distinct(string_split_regex(lower(title || ' the with from'), '[^\\p{L}\\p{N}_]+')), lambda t: len(t) >= 4 AND NOT list_contains(" + S.listed(CHAT_STOPWORDS) + ", t))"
+
+
+@query("summarize_extractive", f"""WITH {SOURCES}, p AS (SELECT doc_id, {_ASKED} AS ask, unnest(range(1, len(ps) + 1)) AS i, ps FROM (SELECT *, string_split_regex(raw_text, '[.\n]') AS ps FROM s)),
+  s1 AS (SELECT doc_id, ask, i, {S.squash('ps[i]')} AS x FROM p), k AS (SELECT *, len(list_filter(ask, lambda t: contains(lower(x), t))) AS hits FROM s1 WHERE len(x) BETWEEN 35 AND 260 AND NOT starts_with(x, ',') AND NOT regexp_matches(lower(x), {S.quoted(_LOW)}) AND NOT {_garbage_sql('x')}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS place FROM k) SELECT doc_id, md5(string_agg('- ' || x || '.', chr(10) ORDER BY i)) AS summary, count(*) AS sentences FROM r WHERE place <= 4 GROUP BY 1""")
 def q_summary(spark, sf):
-    """Row-local: sentences are ranked within the array of their document."""
-    parts = F.transform(F.split("text", r"[.\n]"), lambda x, i: F.struct(i.alias("i"), T.squash(x).alias("x")))
-    kept = F.filter(parts, lambda p: F.length(p["x"]).between(35, 260))
-    scored = F.transform(kept, lambda p: F.struct((-F.size(T.hits(F.lower(p["x"]), ("the", "tion", "ing", "eau")))).alias("k"), p["i"].alias("i"), p["x"].alias("x")))
-    best = F.slice(F.array_sort(scored), 1, 4)
-    ordered = F.array_sort(F.transform(best, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"))))
-    rows = read(spark, sf, "documents").select("doc_id", ordered.alias("s")).where(F.size("s") > 0)
-    return rows.select("doc_id", F.md5(F.array_join(F.transform("s", lambda p: p["x"]), "\n")).alias("summary"), F.size("s").cast("long").alias("sentences"))
-
-
-@query("safe_recommendations", f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda x: {S.squash('x')}), lambda x: len(x) BETWEEN 45 AND 220 AND NOT regexp_matches(lower(x), '[0-9]+ ?(ml|kg|g|l)'))[1:4], '|') AS items FROM documents")
-def q_safe(spark, sf):
-    parts = F.transform(F.split("text", r"[.\n]"), lambda x: T.squash(x))
-    ok = F.filter(parts, lambda x: F.length(x).between(45, 220) & ~F.lower(x).rlike("[0-9]+ ?(ml|kg|g|l)"))
-    return read(spark, sf, "documents").select("doc_id", F.array_join(F.slice(ok, 1, 4), "|").alias("items"))
+    """Row-local: sentences are ranked within the array of their document, by words of the question, here title and three words."""
+    words = F.array_distinct(F.split(F.lower(F.concat("title", F.lit(" the with from"))), r"[^\p{L}\p{N}_]+"))
+    asked = F.filter(words, lambda t: (F.length(t) >= 4) & ~t.isin(*CHAT_STOPWORDS))
+    parts = F.transform(F.split("raw_text", r"[.\n]"), lambda x, i: F.struct(i.alias("i"), T.squash(x).alias("x")))
+    kept = F.filter(parts, lambda p: F.length(p["x"]).between(35, 260) & ~F.startswith(p["x"], F.lit(",")) & ~F.lower(p["x"]).rlike(_LOW) & ~_garbage(p["x"]))
+    rows = sources(spark, sf).select("doc_id", asked.alias("asked"), kept.alias("kept"))
+    found = lambda x: F.size(F.filter("asked", lambda t: F.contains(x, t)))
+    scored = F.transform("kept", lambda p: F.struct((-found(F.lower(p["x"]))).alias("k"), p["i"].alias("i"), p["x"].alias("x")))
+    ordered = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, 4), lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"))))
+    some = rows.select("doc_id", ordered.alias("s")).where(F.size("s") > 0)
+    body = F.array_join(F.transform("s", lambda p: F.concat(F.lit("- "), p["x"], F.lit("."))), "\n")
+    return some.select("doc_id", F.md5(body).alias("summary"), F.size("s").cast("long").alias("sentences"))
 
 
 @query("label_query", "SELECT doc_id, concat_ws(' ', CASE WHEN quality = 1 THEN 'cây khỏe' ELSE 'gỉ sắt' END, CASE WHEN toxic = 1 THEN 'lá vàng' END, 'cà phê triệu chứng nguyên nhân xử lý') AS q FROM labels")

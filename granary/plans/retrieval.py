@@ -211,3 +211,21 @@ def q_filter(spark, sf):
     good = (F.size(ws) == 0) | ((F.size(A.matched_terms(ws, x)) > 0) & A.is_on_topic(question, x) & ~A.is_low_value(question, x))
     flagged = top.withColumn("good", good).withColumn("some", F.max("good").over(Window.partitionBy("query_id")))
     return flagged.where(F.col("good") | (~F.col("some") & (F.col("place") == 1))).select("query_id", "chunk_id")
+
+
+_ISSUE = " OR ".join([
+    r"regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])(carbendazim|mancozeb|glyphosate|chlorpyrifos|copper oxychloride)($|[^\p{L}\p{N}_])')",
+    r"regexp_matches(lower(x), '(liều|pha|phun)\s+\d+.*(thuốc|hoạt chất|trừ|diệt|nấm|sâu|cỏ)')",
+    r"(regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])\d+([,.]\d+)?\s?(ml|g|kg|l|lit|lít|gram)($|[^\p{L}\p{N}_])') AND regexp_matches(lower(x), '(thuốc|hoạt chất|trừ sâu|trừ nấm|diệt cỏ|bảo vệ thực vật|bv tv)'))",
+    *(f"contains(lower(x), '{c}')" for c in ("chắc chắn khỏi", "đảm bảo khỏi", "không có rủi ro")),
+])
+
+
+@query("safe_recommendations", f"""WITH {_SEARCH}, c AS (SELECT item_id, string_agg(text, ' ' ORDER BY place) AS x FROM hits JOIN documents USING (doc_id) WHERE place <= 2 GROUP BY 1),
+p AS (SELECT item_id, list_filter(list_transform(string_split(replace(x, chr(10), ' '), '.'), lambda x: trim(x)), lambda x: len(x) BETWEEN 45 AND 220 AND NOT ({_ISSUE}))[1:4] AS ok FROM c)
+SELECT item_id AS query_id, CASE WHEN len(ok) = 0 THEN {S.quoted(A.NO_ADVICE)} ELSE array_to_string(ok, '|') END AS items FROM p""")
+def q_safe(spark, sf):
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    together = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda h: h["text"]), " ")
+    found = top_texts(spark, sf, texts, 2).groupBy("query_id").agg(together.alias("x"))
+    return found.select("query_id", F.array_join(A.recommendations(F.col("x")), "|").alias("items"))

@@ -19,8 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/granary/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/granary/{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
