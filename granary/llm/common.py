@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.shared import stored  # noqa: F401  the operators' own name for it
+from granary.sources.shared import stored  # noqa: F401  the operators take it from here
 
 #: Bytes that end a word for the lower-casing word rule: everything in ASCII but digits and letters.
 _WORD_BYTES = bytes(

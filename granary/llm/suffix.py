@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import mixed, release, sha256_hex, stored, utf8
-from granary.llm.substring import _M, _MOST, ALONE, COPY, FURTHER, ONE_OF_SEVERAL, Ranges, _pack, keyed
+from granary.llm.substring import _M, ALONE, COPY, FURTHER, ONE_OF_SEVERAL, Ranges, _pack, keyed
 
 LENGTH = 400
 GRAM = 64
