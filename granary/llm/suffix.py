@@ -5,6 +5,9 @@ earlier. In suffix order it is shared with the nearest smaller position before o
 after; so a position repeats an earlier one for ``length`` bytes or more if, among suffixes
 equal in their first ``length`` bytes, one with a smaller position stands beside it.
 
+In the arrays here the order is cut at ``length`` bytes, and equal strings stand by place. Then the
+nearest smaller place of a copy is the one before it, and a first copy is a nearest smaller place of another.
+
 One array over everything does not fit a cluster. Instead every string of ``length`` bytes
 chooses an anchor inside it, the gram with the smallest hash; copies choose the same gram.
 Consecutive strings with one anchor form a piece. Pieces that are equal as a whole are
@@ -157,18 +160,26 @@ def _joined(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             start, size = k + 1, 0
 
 
-def _settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Does a row with the same keys stand before it, in (id, start) order; do rows with its keys have several (id, start)?"""
+def _previous(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each place the nearest smaller place beside it, in suffix order, that has the same keys; -1 without any.
+
+    Equal strings stand in the order of their places, (id, start). So the nearest smaller place on the left is
+    the one before, if it is equal, and none on the right is both smaller and equal.
+    """
     order = np.lexsort((start, ids, *keys[::-1]))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    head, tail = order[lead], np.zeros(len(order), np.int64)
-    last = np.append(np.flatnonzero(new)[1:], len(order)) - 1
-    tail = order[last[np.cumsum(new) - 1]]
-    copy, several = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    copy[order] = lead != np.arange(len(order))
-    several[order] = (ids[head] != ids[tail]) | (start[head] != start[tail])
+    equal = np.all([k[order][1:] == k[order][:-1] for k in keys], axis=0)
+    equal &= (ids[order][1:] != ids[order][:-1]) | (start[order][1:] != start[order][:-1])
+    before = np.full(len(order), -1)
+    before[order[1:][equal]] = order[:-1][equal]
+    return before
+
+
+def _settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Has a place an earlier copy; does it stand at several places, that is, has it one or is it one?"""
+    before = _previous(keys, ids, start)
+    copy = before >= 0
+    several = copy.copy()
+    several[before[copy]] = True
     return copy, several
 
 
@@ -209,7 +220,7 @@ def _field(name: str) -> Column:
     }[name]
 
 
-def _parts_of_texts(docs: DataFrame, length: int) -> DataFrame:
+def _parts_of_texts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The text of listed pieces, or for hot grams two hashes of each of their strings.
 
     name, h2, id, start, count, known, text: with text null, name and h2 are hashes of one string.
@@ -237,12 +248,13 @@ def _parts_of_texts(docs: DataFrame, length: int) -> DataFrame:
                 h1, h2, id_, at, known = (np.concatenate(x) for x in zip(*hot, strict=True))
                 # of equal strings of this batch the first and the last one say all that others need to know
                 copy, several = _settle((h1, h2), id_, at)
-                keep = ~copy | (several & ~known)
+                gone = copy if keep_first else several
+                keep = ~copy | (gone & ~known)
                 out = zip(
                     np.where(copy, mixed(h1 + at.astype(np.uint64)), h1).view(np.int64)[keep].tolist(),
                     h2.view(np.int64)[keep].tolist(), id_[keep].tolist(), at[keep].tolist(),
-                    # a negative count: repeated within the batch
-                    np.where(several, -1, 1)[keep].tolist(), known[keep].tolist(), strict=True,
+                    # a negative count: to be removed, as the batch shows
+                    np.where(gone, -1, 1)[keep].tolist(), known[keep].tolist(), strict=True,
                 )
                 plain += [(*x, None) for x in out]
             if plain:
@@ -253,8 +265,8 @@ def _parts_of_texts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "name long, h2 long, id long, start long, count int, known boolean, text binary")
 
 
-def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
-    """(id, first string, number of strings) that stand at several places of these rows."""
+def _repeated(rows: list[dict], length: int, keep_first: bool) -> list[tuple[int, int, int]]:
+    """(id, first string, number of strings) that stand at several places of these rows, or have an earlier copy."""
     out = []
     plain = [r for r in rows if r["text"] is not None]
     if plain:
@@ -268,9 +280,9 @@ def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
         at = np.flatnonzero(rank >= 0)
         if len(at):
             where = start[owner[at]] + at - offset[owner[at]]
-            _, several = _settle((rank[at],), ids[owner[at]], where)
+            copy, several = _settle((rank[at],), ids[owner[at]], where)
             known = np.array([r["known"] for r in plain])
-            at = at[several & ~known[owner[at]]]
+            at = at[(copy if keep_first else several) & ~known[owner[at]]]
             if len(at):
                 opens = np.ones(len(at), bool)
                 opens[1:] = (at[1:] != at[:-1] + 1) | (owner[at][1:] != owner[at][:-1])
@@ -281,17 +293,17 @@ def _repeated(rows: list[dict], length: int) -> list[tuple[int, int, int]]:
     hashed = [r for r in rows if r["text"] is None]
     if hashed:
         key = [np.array([r[k] for r in hashed], np.int64) for k in ("name", "h2", "id", "start")]
-        _, several = _settle((key[0], key[1]), key[2], key[3])
-        out += [(r["id"], r["start"], 1) for r, x in zip(hashed, several.tolist(), strict=True) if (x or r["count"] < 0) and not r["known"]]
+        gone = _settle((key[0], key[1]), key[2], key[3])[0 if keep_first else 1]
+        out += [(r["id"], r["start"], 1) for r, x in zip(hashed, gone.tolist(), strict=True) if (x or r["count"] < 0) and not r["known"]]
     return out
 
 
-def _compared(parts: DataFrame, length: int) -> DataFrame:
-    """id, run: strings that stand at several places; all rows of a name meet in one task, in turn."""
+def _compared(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """id, run: strings that are to be removed; all rows of a name meet in one task, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: list[dict]) -> pa.RecordBatch:
-            found = _repeated(rows, length)
+            found = _repeated(rows, length, keep_first)
             columns = [[x[0] for x in found], [x[1] << 9 | min(x[2], _MOST_WINDOWS) for x in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "run"])
 
@@ -310,8 +322,11 @@ def _compared(parts: DataFrame, length: int) -> DataFrame:
     return parts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "id long, run long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id (of ``_named``) and runs (first string times 512 plus number of strings) that start at several places."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+    """id (of ``_named``) and runs (first string times 512 plus number of strings) that start at several places.
+
+    With ``keep_first`` only those that have an earlier copy, in the order of ``_named`` and place.
+    """
     texts = _named(docs).select("__id", "__text")
     rows = _piece_rows(texts, length, min(gram, length))
     kind, start = _field("kind"), _field("start")
@@ -322,12 +337,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     group = Window.partitionBy("part").orderBy("span", "id", "packed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = Window.partitionBy("part", "span").orderBy("id", "packed").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nth = F.row_number().over(Window.partitionBy("part", "span").orderBy("id", "packed"))
-    several = (F.first("id").over(same) != F.last("id").over(same)) | (
-        F.shiftright(F.first("packed").over(same), 12) != F.shiftright(F.last("packed").over(same), 12)
-    )
+    head = F.first("id").over(same), F.shiftright(F.first("packed").over(same), 12)
+    other = (F.col("id"), start) if keep_first else (F.last("id").over(same), F.shiftright(F.last("packed").over(same), 12))
+    gone = (head[0] != other[0]) | (head[1] != other[1]) | (kind == COPY if keep_first else _field("several"))
     settled = stored(
         rows.withColumn("n", F.count("*").over(group))
-        .withColumn("copy", _field("several") | several)
+        .withColumn("copy", gone)
         .withColumn("stands", (kind != COPY) & (nth == 1) & ((F.col("n") > 1) | kind.isin(ONE_OF_SEVERAL, FURTHER)))
         .where("copy or stands")
         .select("name", "id", start.alias("start"), _field("count").alias("count"), "copy", "stands")
@@ -340,8 +355,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         .agg(F.collect_list(F.struct("name", "start", "count", F.col("copy").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("listed"))
     )
     packed = texts.select(F.col("__id").alias("id"), _pack("__text").alias("text")).dropDuplicates(["id"])
-    parts = _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length)
-    single = _compared(parts, length)
+    parts = _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length, keep_first)
+    single = _compared(parts, length, keep_first)
     whole = settled.where("copy").select("id", (F.shiftleft("start", 9) + F.col("count")).alias("run"))
     return whole.unionByName(single).groupBy("id").agg(F.collect_list("run").alias("runs"))
 
@@ -394,3 +409,25 @@ def measure(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     joined = texts.join(found, F.col("__id") == F.col("id"), "left").join(several, F.col("__id") == F.col("twice"), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.select("doc_id", "text", "runs", F.col("n").isNotNull().alias("several")).mapInArrow(run, schema)
+
+
+def remove_later_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id and kept, the UTF-8 bytes of each text without those that a string with an earlier copy covers.
+
+    The first copy of every string stays: documents stand in the order of a hash of id and text, strings of one
+    document from left to right. Rows that repeat are one document and get the same bytes.
+    """
+    found = repeats(docs, length, gram, keep_first=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            kept = []
+            for blob, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = np.frombuffer(unpack(blob), np.uint8)
+                kept.append(data[~covered(len(data), runs, length)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
+
+    texts = _named(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__id", _pack("__text").alias("text"))
+    joined = texts.join(found, F.col("__id") == F.col("id"), "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(run, "doc_id long, kept binary")

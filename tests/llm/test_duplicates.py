@@ -304,6 +304,33 @@ def test_byte_repeats_of_the_contract_by_brute_force(spark, monkeypatch, hot):
     assert sorted((str(x[0]), *x[1:]) for x in got) == sorted(want)
 
 
+@pytest.mark.parametrize("pieces", [2000, 2])
+def test_first_copies_stay_by_brute_force(spark, monkeypatch, pieces):
+    monkeypatch.setattr(suffix, "PIECES", pieces)
+    r = random.Random(15)
+    base = "".join(r.choice("abcdefgh ") for _ in range(700))
+    rows = []
+    for i in range(40):
+        a = r.randint(0, 400)
+        rows.append((i if i % 7 else None, "".join(r.choice("xyz ") for _ in range(r.randint(0, 90))) + base[a : a + r.randint(50, 300)] + "%d" % i))
+    rows += [(100, "a" * 300), (101, "ab" * 150), (102, ""), (103, None), (104, base[:300]), (104, base[:300]), (104, base[:200])]
+    size = 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, want = set(), {}
+    for x in suffix._named(df).orderBy("__id").collect():
+        if x["__id"] in want:
+            continue
+        t = x["__text"].encode()
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - size + 1):
+            if t[i : i + size] in seen:
+                gone[i : i + size] = True
+            seen.add(t[i : i + size])
+        want[x["__id"]] = (str(x.doc_id), np.frombuffer(t, np.uint8)[~gone].tobytes())
+    got = {(str(x.doc_id), bytes(x.kept)) for x in suffix.remove_later_copies(df, size, 16).collect()}
+    assert got == set(want.values())
+
+
 def test_longest_previous_factors():
     r = random.Random(0)
     for _ in range(80):
