@@ -342,9 +342,8 @@ def q_find_duplicates(spark, sf):
 
 @query("duplicate_report", f"WITH {_CANON}, {SOURCES}, {CHUNKS}, f AS (SELECT content_hash, min(doc_id) AS first FROM h GROUP BY 1) SELECT h.doc_id, first AS existing, s.title AS existing_title, coalesce(chunk_count, 0) AS chunks FROM h JOIN f USING (content_hash) JOIN s ON s.doc_id = first LEFT JOIN c ON c.source_id = s.source_id WHERE h.doc_id <> first")
 def q_duplicate_report(spark, sf):
-    src = sources(spark, sf)
     dup = dedupe.canonical(read(spark, sf, "documents"), "doc_id", "text").where("is_duplicate").select("doc_id", F.col("duplicate_of").alias("existing"))
-    facts = src.join(chunk_sizes(src), "source_id", "left").select(F.col("doc_id").alias("existing"), F.col("title").alias("existing_title"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"))
+    facts = chunk_sizes(sources(spark, sf)).select(F.col("doc_id").alias("existing"), F.col("title").alias("existing_title"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"))
     return dup.join(facts, "existing").select("doc_id", "existing", "existing_title", "chunks")
 
 
