@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from granary.llm.common import held, id_and_text, portions, sha256_hex, utf8
+from granary.llm.common import held, id_and_text, portions, sha256_hex, tidied, utf8
 
 #: Words whose codes a worker remembers from one portion of texts to the next, and the longest of them.
 KNOWN_WORDS = 120_000
@@ -418,6 +418,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_encoder(path, pattern)
         for batch in batches:

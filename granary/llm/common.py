@@ -12,10 +12,12 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
     """Row generator over Arrow batches: ``rows`` gets the tuples of one batch and yields tuples."""
     names, types = _arrow_fields(schema)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -122,11 +125,36 @@ def _arrow_fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
 _held: dict = {}
 
 
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def release() -> None:
     """Let go of what operators that ran before in this worker process have kept."""
     _held.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same over Arrow batches; a worker that waits for its next task holds no free memory."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return task
 
 
 def held(key, build: Callable):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_hex, stored
+from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_hex, stored, tidied
 
 WINDOW = 10
 #: Characters of the benchmark that the driver holds, and sends to the tasks, at once.
@@ -205,6 +205,7 @@ def locate_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     texts, found = id_and_text(docs), None
 
     def of(block: Block):
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             for batch in batches:
@@ -266,6 +267,7 @@ def find_hits(
 def _hits(block: Block, window: int):
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -286,6 +288,7 @@ def _hits(block: Block, window: int):
 def _marks(block: Block, window: int):
     """Of the texts that the block hits."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:

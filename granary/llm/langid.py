@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import has_letter, held, id_and_text
+from granary.llm.common import has_letter, held, id_and_text, tidied
 
 #: Bounds of the labelled sample: documents, and characters, for each language.
 SAMPLE_DOCUMENTS = 60
@@ -233,6 +233,7 @@ def predict_column(df: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred and score for a frame of doc_id and text."""
     given = tuple(sorted(samples.items()))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _parser(given).predict(batch.column(1).to_pylist())
@@ -268,6 +269,7 @@ def keep_identified(docs: DataFrame, modulus: int = 4, remainder: int = 2) -> Da
     given, names = tuple(sorted(samples.items())), docs.columns
     place = names.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column(place).to_pylist()]

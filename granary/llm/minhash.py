@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, ascii_lower_words, id_and_text, mixed, portions, release, stored
+from granary.llm.common import WordHashes, ascii_lower_words, id_and_text, mixed, portions, release, stored, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -146,6 +146,7 @@ def _bands(texts: list[str], size: int, bands: int, rows: int, hashes: WordHashe
 def sign(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, tag (hash of the text), node (16-byte hash of its words) and its band hashes."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashes = WordHashes()
@@ -165,6 +166,7 @@ def sign(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = B
 def _words_of(docs: DataFrame) -> DataFrame:
     """node and its words, compressed."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -182,6 +184,7 @@ def _words_of(docs: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, words: DataFrame, size: int, threshold: float) -> DataFrame:
     """a, b and whether their sets of shingles have the similarity asked for."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
@@ -232,6 +235,7 @@ def _sketches(words: DataFrame, size: int) -> DataFrame:
     """node, total (its number of shingles) and w0, w1, ...: bit h says if an odd number of shingles hash to h."""
     names = [f"w{k}" for k in range(SKETCH)]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import WordHashes, mixed, portions, release, sha256_hex, space_words, stored
+from granary.llm.common import WordHashes, mixed, portions, release, sha256_hex, space_words, stored, tidied
 
 WINDOW = 20
 ROUNDS = 3
@@ -228,6 +228,7 @@ def _first_copies(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarr
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     """part, span, id, packed: what to group by, hash of the text, document, and start, windows, kind and tag."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashes = WordHashes()
@@ -263,6 +264,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """h1, h2, id, packed: hashes of a window, document, and its start, kind and tag; of the runs listed with the documents."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
@@ -373,6 +375,7 @@ def measure(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     found = repeats(docs, window)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:

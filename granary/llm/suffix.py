@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import mixed, release, sha256_hex, stored, utf8
+from granary.llm.common import mixed, release, sha256_hex, stored, tidied, utf8
 from granary.llm.substring import _M, ALONE, COPY, FURTHER, ONE_OF_SEVERAL, Ranges, _pack, keyed
 
 LENGTH = 400
@@ -186,6 +186,7 @@ def _settle(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) ->
 def _piece_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """name, span, id, packed: the gram, hash of the text, document; and start, strings, kind and repeated."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -227,6 +228,7 @@ def _parts_of_texts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame
     ``known`` pieces are there to be compared with; what they hold is settled.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -301,6 +303,7 @@ def _repeated(rows: list[dict], length: int, keep_first: bool) -> list[tuple[int
 def _compared(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """id, run: strings that are to be removed; all rows of a name meet in one task, in turn."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: list[dict]) -> pa.RecordBatch:
             found = _repeated(rows, length, keep_first)
@@ -386,6 +389,7 @@ def measure(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """
     found = repeats(docs, length, gram)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -419,6 +423,7 @@ def remove_later_copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """
     found = repeats(docs, length, gram, keep_first=True)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:

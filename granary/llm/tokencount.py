@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from granary.llm.bpe import Cutter, Vocabulary
-from granary.llm.common import held, id_and_text, utf8
+from granary.llm.common import held, id_and_text, tidied, utf8
 
 ROOT = 0
 NONE = -1
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     n_tokens. A null or empty text has zero of each. Rows are independent.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(path, pattern)
         for batch in batches:
