@@ -186,28 +186,20 @@ def _slots(rows: DataFrame, block, edges, k: int, scale: float) -> DataFrame:
     return _first(rows.mapInArrow(run, "anchor long, slot long, score long, id long"), k, "anchor", "slot")
 
 
-def merged(slots: pd.DataFrame, positives: pd.DataFrame, k: int, low: int, high: int) -> pd.DataFrame:
-    """All windows of one anchor: from the lowest slot up, the best k so far are those below the slot's upper limit."""
-    lower, upper = limits(positives["score"].to_numpy(), low, high)
+def merged(slots: np.ndarray, positives: np.ndarray, k: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(positive, its negatives) of one anchor, either side as rows of score and id.
+
+    From the lowest slot up, the best k so far are those below the slot's upper limit.
+    """
+    lower, upper = limits(positives[:, 0], low, high)
     edges = np.unique(upper)
-    cut = np.searchsorted(edges, slots["score"].to_numpy(), "left")
-    best, out = slots.iloc[:0], []
-    for nth, edge in enumerate(edges.tolist()):
-        best = pd.concat([slots[cut == nth], best]).sort_values(["score", "id"], ascending=[False, True]).iloc[:k]
-        for at in np.flatnonzero(upper == edge):
-            found = best[best["score"] >= lower[at]]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "positive_id": positives["id"].iloc[at],
-                        "rank": np.arange(1, len(found) + 1, dtype=np.int32),
-                        "negative_id": found["id"].to_numpy(),
-                        "positive_score": positives["score"].iloc[at],
-                        "negative_score": found["score"].to_numpy(),
-                    }
-                )
-            )
-    return pd.concat(out)
+    cut = np.searchsorted(edges, slots[:, 0], "left")
+    best = slots[:0]
+    for nth, edge in enumerate(edges):
+        rows = np.concatenate([slots[cut == nth], best])
+        best = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:k]]
+        for at in np.flatnonzero(upper == edge).tolist():
+            yield at, best[best[:, 0] >= lower[at]]
 
 
 def _answers(slots: DataFrame, block, positives, k: int, low: int, high: int) -> DataFrame:
@@ -215,8 +207,13 @@ def _answers(slots: DataFrame, block, positives, k: int, low: int, high: int) ->
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         place = int(group["anchor"].iloc[0])
-        found = merged(group[["score", "id"]], positives.value[place], k, low, high)
-        return found.assign(anchor_id=block.value.ids[place])[names]
+        own, parts = positives.value[place], [np.zeros((0, 5), np.int64)]
+        for at, found in merged(group[["score", "id"]].to_numpy(np.int64), own, k, low, high):
+            rank = np.arange(1, len(found) + 1)
+            score, positive = (np.full(len(found), x) for x in own[at])
+            parts.append(np.column_stack([positive, rank, found[:, 1], score, found[:, 0]]))
+        rows = pd.DataFrame(np.concatenate(parts), columns=names[1:])
+        return rows.assign(anchor_id=block.value.ids[place], rank=rows["rank"].astype(np.int32))[names]
 
     return slots.groupBy("anchor").applyInPandas(
         run, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -266,10 +263,10 @@ def mine(
     for table in _blocks(rows.where(whole), anchor, block_numbers):
         block = spark.sparkContext.broadcast(Anchors.of(table, scale))
         first = _positives(rows, block, positives, scale).toArrow().to_pandas()
-        by_anchor = {place: rows.sort_values(["score", "id"], ascending=[False, True]) for place, rows in first.groupby("anchor")}
+        by_anchor = {place: own[["score", "id"]].to_numpy() for place, own in first.groupby("anchor")}
         lowest, upper = np.full(len(block.value.ids), LARGEST), np.full((len(block.value.ids), max(1, positives)), -LARGEST - 1)
-        for place, rows_ in by_anchor.items():
-            lower, most = limits(rows_["score"].to_numpy(), low, high)
+        for place, own in by_anchor.items():
+            lower, most = limits(own[:, 0], low, high)
             lowest[place] = lower.min()
             upper[place, -len(most) :] = np.sort(most)
         edges, of_anchor = spark.sparkContext.broadcast((lowest, upper)), spark.sparkContext.broadcast(by_anchor)
