@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import alignment, bpe, decontaminate, langid, licenses, media, minhash, negatives, quality, substring, suffix, tokencount
+from granary.llm import alignment, bpe, decontaminate, langid, licenses, maxent, media, minhash, negatives, quality, substring, suffix, tokencount
 from granary.llm.common import documents
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +59,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_alignment": op11_alignment,
+    "op12_lm_scores": op12_lm_scores,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
