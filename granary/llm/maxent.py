@@ -21,15 +21,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, bounded_batches, portions, stored, tidied, utf8
+from granary.llm.common import bounded_batches, portions, stored, tidied, utf8
 
 #: The tree: so many levels of nodes with so many children.
 LEVELS, BRANCH = 3, 32
@@ -45,14 +47,14 @@ COUNTED = 1 << 20
 MARKERS, COMPONENTS = 256, 4
 #: Weights are shared by slots of about the same count; gradient rounds, and one fold of so many has their texts.
 BUCKETS = 16
-ROUNDS, FOLDS, STEP, RIDGE = 5, 8, 0.35, 20.0
+ROUNDS, FOLDS, STEP, RIDGE, LARGEST = 4, 16, 0.35, 20.0, 1.25
 #: Occurrences that a slot needs to count as much as its node.
 PRIOR = 4.0
-PORTION, TOKENS = 1_500_000, 4096
+PORTION, TOKENS = 1_000_000, 1024
 _BLOCK = 1 << 16
 #: Bytes of words, A-Z in lower case, white space as spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-_END_KEY = WordHashes()[b" "]  # no word has a space
+_END_KEY = xxhash.xxh3_64_intdigest(b" ")  # no word has a space
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _STARTS = np.cumsum([0, *(BRANCH**n for n in range(LEVELS))])  # the first node of each level
 
@@ -62,10 +64,11 @@ def words(text: str) -> list[bytes]:
     return utf8(text).translate(_BYTES).split()
 
 
-def _hashed(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, an end behind each text; tokens of each text)."""
-    parts = [hashes.array([*words(text), b" "]) for text in texts]
-    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
+    tokens = [[*words(text), b" "] for text in texts]
+    sizes = np.array(list(map(len, tokens)), np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(tokens)), np.uint64, int(sizes.sum())), sizes
 
 
 # sums of arrays over all tasks
@@ -123,7 +126,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, counts, open_, waiting = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        keys, counts, open_, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def merge():
             new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *open_]), return_counts=True)
@@ -134,7 +137,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.column(0).to_pylist()
             for start, stop in portions(rows, PORTION):
-                open_.append(_hashed(rows[start:stop], hashes)[0])
+                open_.append(_hashed(rows[start:stop])[0])
                 waiting += len(open_[-1])
                 if waiting > max(1_000_000, len(keys)):
                     (keys, counts), open_, waiting = merge(), [], 0
@@ -212,12 +215,12 @@ def encoded(texts: DataFrame, known) -> DataFrame:
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: Vocabulary = known.value
-        hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         find = lambda keys, table: np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
         for batch in batches:
             rows, out = batch.column(4).to_pylist(), []
             for start, stop in portions(rows, PORTION):
-                keys, sizes = _hashed(rows[start:stop], hashes)
+                keys, sizes = _hashed(rows[start:stop])
                 ids = np.full(len(keys), RARE, "<u2")
                 ids[np.cumsum(sizes) - 1] = END
                 if len(have.words):
@@ -370,7 +373,7 @@ def slot_counts(training: DataFrame, tree) -> tuple[np.ndarray, np.ndarray]:
                     some, features = leaves[start : start + TOKENS], keys[:, start : start + TOKENS]
                     for level in range(LEVELS):
                         at = own.slot(features, own.node(some, level)) * BRANCH + own.child(some, level)
-                        np.add.at(sums, at.ravel() + part * size, 1)
+                        np.add.at(sums, at.ravel() + part * size, np.int32(1))
 
     both = _gathered(training.select("ids", "fold"), add, "<i4", 2 * size).reshape(2, tree.value.slots, BRANCH)
     return both[0], both[1]
@@ -400,10 +403,8 @@ class Model:
             values = [self.value[s] for s in slot]
             for kind in range(KINDS):
                 score += self.weights[level, kind][bucket[kind]][:, None] * values[kind]
-            top = score.max(1)
-            own = score[every, child] - top
-            score -= top[:, None]
-            share = np.exp(score, out=score)
+            own = score[every, child]
+            share = np.exp(score, out=score)  # in the range of its type: weights are bounded
             total = share.sum(1)
             out += own - np.log(total)
             if sums is not None:
@@ -438,7 +439,7 @@ def trained_weights(training: DataFrame, tree: Tree, outside: np.ndarray, rounds
                 own.texts(ids, sizes, tuple(sums.reshape(2, *shape)))
 
         gradient, curvature = _gathered(fold, add, "<f8", 2 * math.prod(shape)).reshape(2, *shape)
-        weights = (weights + np.clip(STEP * gradient / (curvature + RIDGE), -0.5, 0.5)).astype(np.float32)
+        weights = np.clip(weights + STEP * gradient / (curvature + RIDGE), -LARGEST, LARGEST).astype(np.float32)
     model.unpersist()
     return weights
 
