@@ -2,8 +2,7 @@
 
 Both tokenizers encode the whole text. Places where a token of either begins with a space and both
 have a token end before it are anchors: they cut the document into windows of few tokens. A window's
-alignment depends on its token ids alone, so it is worked out once for each pair of id tuples and remembered;
-most windows are words that were seen before.
+alignment depends on its token ids alone, so it is worked out once for each pair of id tuples, and remembered.
 
 A pair of tokens is linked where both end at the same byte. How often a pair is linked is counted over the
 corpus. Of two linked tokens one is the end of the other, so there are no more pairs than the vocabularies have
@@ -14,22 +13,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_batches, held, id_and_text, portions, stored, tidied, utf8
+from granary.llm.common import bounded_batches, held, id_and_text, mixed, portions, stored, tidied, utf8
 
 #: Windows that a worker remembers, and the longest of them (bytes of ids).
 KNOWN_WINDOWS = 250_000
 KNOWN_BYTES = 256
 #: Characters that are tokenised at once.
-PORTION = 250_000
+PORTION = 500_000
 _SPACE = 0x20
 #: Fixed by the piece format: the mark of a space.
 _MARK = "▁"
@@ -42,14 +42,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def byte_level_tokens(path: str) -> list[bytes]:
-    """Bytes of each id of a byte-level ``tokenizer.json``."""
+def byte_level_tokens(path: str) -> tuple[list[bytes], set[int]]:
+    """Bytes of each id of a byte-level ``tokenizer.json``, and the ids of its special tokens. Its ids are in the order of its merges."""
     with open(path, encoding="utf-8") as file:
         described = json.load(file)
     letters = byte_letters()
     tokens = {i: bytes(letters[c] for c in token) for token, i in described["model"]["vocab"].items()}
-    tokens |= {x["id"]: utf8(x["content"]) for x in described["added_tokens"]}
-    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    special = {x["id"]: utf8(x["content"]) for x in described["added_tokens"]}
+    tokens |= special
+    return [tokens.get(i, b"") for i in range(max(tokens) + 1)], set(special)
 
 
 def piece_tokens(pieces) -> list[bytes]:
@@ -72,32 +73,43 @@ def pair_bound(a: list[bytes], b: list[bytes]) -> int:
 class Aligner:
     """Both tokenizers, and the alignments of windows met before."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        import sentencepiece
-        import tokenizers
-
-        self._a = tokenizers.Tokenizer.from_file(byte_level)
-        self._a.encode_special_tokens = True
+    def __init__(self, byte_level: str, pieces: str, pattern: str):
+        self.tokens_a, special = byte_level_tokens(byte_level)
+        ranks = {token: i for i, token in enumerate(self.tokens_a) if token and i not in special}
+        self._a = tiktoken.Encoding("A", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.tokens_a, self.tokens_b = byte_level_tokens(byte_level), piece_tokens(self._b)
+        self.tokens_b = piece_tokens(self._b)
         self._sizes_a, self._sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.tokens_a, self.tokens_b))
+        self._bytes = [
+            (np.frombuffer(b"".join(t), np.uint8), sizes, np.cumsum(sizes) - sizes)
+            for t, sizes in ((self.tokens_a, self._sizes_a), (self.tokens_b, self._sizes_b))
+        ]
         self._open_a, self._open_b = (np.array([x[:1] == b" " for x in t]) for t in (self.tokens_a, self.tokens_b))
         self._decimal = list(map(str, range(max(len(self.tokens_a), len(self.tokens_b)))))
         #: A link's number is the A id times this, plus the B id.
         self.factor = len(self.tokens_b)
         self._windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _kept(self, ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, first: np.ndarray, want: bytes) -> bool:
+        """Are the bytes of all tokens, one after the other, those of the text?"""
+        size = sizes[ids]
+        ends = np.cumsum(size)
+        if int(ends[-1]) != len(want):
+            return False
+        return tokens[np.arange(len(want)) + np.repeat(first[ids] - (ends - size), size)].tobytes() == want
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each whole text by either tokenizer; none where the tokens' bytes aren't those of the text."""
-        a = [x.ids for x in self._a.encode_batch_fast([f" {text}" for text in texts], add_special_tokens=False)]
-        b = self._b.encode(texts, num_threads=1)
-        of_a, of_b = self.tokens_a.__getitem__, self.tokens_b.__getitem__
-        for n, text in enumerate(texts):
-            want = b" " + utf8(text)
-            if not text or b"".join(map(of_a, a[n])) != want or b"".join(map(of_b, b[n])) != want:
-                a[n], b[n] = [], []
-        return a, b
+        out, none = [], np.zeros(0, np.int64)
+        for text, b in zip(texts, self._b.encode(texts, num_threads=1), strict=True):
+            if not text:
+                out.append((none, none))
+                continue
+            want = f" {text}"
+            pair = self._a.encode_to_numpy(want, allowed_special=set(), disallowed_special=()).astype(np.int64), np.array(b, np.int64)
+            good = len(b) and all(self._kept(ids, *known, utf8(want)) for ids, known in zip(pair, self._bytes, strict=True))
+            out.append(pair if good else (none, none))
+        return out
 
     def _align(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
         """(groups, links) of each window. All are laid end to end; tokens of either side that end together end a group."""
@@ -118,51 +130,70 @@ class Aligner:
         stops = (np.searchsorted(last_a, np.cumsum([len(a) // 4 for a, _ in windows]) - 1) + 1).tolist()
         return [(";".join(groups[i:m]).encode(), links[4 * i : 4 * m]) for i, m in zip([0, *stops], stops)]
 
-    def windows(self, keys: list[list[tuple[bytes, bytes]]]) -> list[tuple[bytes, bytes]]:
-        """(groups, links) of each text, put together from those of its windows."""
-        if len(self._windows) > KNOWN_WINDOWS:
-            self._windows.clear()
-        known = self._windows
-        new = list({key for one in keys for key in one}.difference(known))
-        known.update(zip(new, self._align(new), strict=True))
-        out = []
-        for one in keys:
-            found = list(map(known.__getitem__, one))
-            out.append((b";".join([g for g, _ in found]), b"".join([x for _, x in found])))
-        for key in new:
-            if len(key[0]) > KNOWN_BYTES:
-                del known[key]
-        return out
-
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token places of either side where windows begin: both have a token with a space there, or the text begins."""
+        """Token places of either side where windows begin: both end a token before it, and open one with a space there."""
         place_a, place_b = np.cumsum(self._sizes_a[a]) - self._sizes_a[a], np.cumsum(self._sizes_b[b]) - self._sizes_b[b]
         open_a, open_b = np.flatnonzero(self._open_a[a]), np.flatnonzero(self._open_b[b])
         there = np.searchsorted(place_b[open_b], place_a[open_a])
         shared = np.append(place_b[open_b], -1)[there] == place_a[open_a]
         return open_a[shared], open_b[there[shared]]
 
-    def align(self, a: list[list[int]], b: list[list[int]]) -> list[tuple[bytes, bytes]]:
-        """(groups as ``a1,a2|b1;a3|b2``, links as little-endian unsigned 32-bit numbers) of each text's tokens."""
-        keys = []
-        for one_a, one_b in zip(a, b, strict=True):
-            ids_a, ids_b = np.array(one_a, np.int32), np.array(one_b, np.int32)
-            cut_a, cut_b = self.anchors(ids_a, ids_b)  # a text begins with a space, so the first anchor is its begin
-            cut_a, cut_b = (np.append(cut_a, len(one_a)) * 4).tolist(), (np.append(cut_b, len(one_b)) * 4).tolist()
-            all_a, all_b = ids_a.tobytes(), ids_b.tobytes()
-            keys.append([(all_a[i:m], all_b[j:n]) for i, m, j, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])])
-        return self.windows(keys)
-
+    def _different(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first window of each kind, kind of each window): windows of the same ids are of one kind."""
+        hashes, size = np.zeros(len(cut_a), np.uint64), []
+        for ids, cut, salt in ((a, cut_a, 1), (b, cut_b, 2)):
+            size.append(np.diff(np.append(cut, len(ids))))
+            nth = np.arange(len(ids)) - np.repeat(cut, size[-1])
+            hashes = mixed(hashes + np.add.reduceat(mixed((ids << 16 | nth).astype(np.uint64) + np.uint64(salt << 60)), cut))
+        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        # hashes only propose: ids decide
+        for ids, cut, n in ((a, cut_a, size[0]), (b, cut_b, size[1])):
+            lead = first[kind]
+            if not (np.array_equal(n[lead], n) and np.array_equal(ids[np.arange(len(ids)) + np.repeat(cut[lead] - cut, n)], ids)):
+                return np.arange(len(cut_a)), np.arange(len(cut_a))
+        return first, kind
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, bytes, bytes]]:
+        """(A tokens, B tokens, groups as ``a1,a2|b1;a3|b2``, links as little-endian unsigned 32-bit numbers) of whole texts."""
+        coded = self.encode(texts)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(pair[n] for pair in coded)]) for n in (0, 1))
+        if not len(a):
+            return [(0, 0, b"", b"")] * len(texts)
+        cut_a, cut_b = self.anchors(a, b)  # every text begins with a space
+        first, kind = self._different(a, b, cut_a, cut_b)
+        all_a, all_b = a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()
+        next_a, next_b = np.append(cut_a[1:], len(a)) * 4, np.append(cut_b[1:], len(b)) * 4
+        of = [x[first].tolist() for x in (cut_a * 4, next_a, cut_b * 4, next_b)]
+        found = self.windows([(all_a[i:m], all_b[j:n]) for i, m, j, n in zip(*of, strict=True)])
+        groups, links = ([found[k][n] for k in kind.tolist()] for n in (0, 1))
+        edge = np.searchsorted(cut_a, np.cumsum([0, *(len(x) for x, _ in coded)])).tolist()
+        return [
+            (len(x), len(y), b";".join(groups[i:m]), b"".join(links[i:m])) for (x, y), i, m in zip(coded, edge, edge[1:])
+        ]
 
-def aligner(byte_level: str, pieces: str) -> Aligner:
+    def windows(self, keys: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """(groups, links) of windows, from memory or worked out together."""
+        known = self._windows
+        found = list(map(known.get, keys))
+        new = [n for n, x in enumerate(found) if x is None]
+        for n, x in zip(new, self._align([keys[n] for n in new]) if new else (), strict=True):
+            found[n] = x
+            if len(keys[n][0]) <= KNOWN_BYTES:
+                known[keys[n]] = x
+        if len(known) > KNOWN_WINDOWS:
+            known.clear()
+        return found
+
+
+def aligner(byte_level: str, pieces: str, pattern: str) -> Aligner:
     """One per worker process."""
-    return held(("alignment", byte_level, pieces), lambda: Aligner(byte_level, pieces))
+    return held(("alignment", byte_level, pieces, pattern), lambda: Aligner(byte_level, pieces, pattern))
 
 
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, groups string"
 
 
-def aligned(docs: DataFrame, byte_level: str, pieces: str, with_groups: bool = False) -> DataFrame:
+def aligned(docs: DataFrame, byte_level: str, pieces: str, pattern: str, with_groups: bool = False) -> DataFrame:
     """Tokens of both tokenizers of each whole text, in groups, with their links.
 
     ``links`` has a 32-bit number for each link, zstandard-compressed; ``groups`` is the text of all groups,
@@ -172,14 +203,13 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, with_groups: bool = F
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, pack = aligner(byte_level, pieces), zstandard.ZstdCompressor(level=1).compress
+        tool, pack = aligner(byte_level, pieces, pattern), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
             for start, stop in portions(texts, PORTION):
-                ids_a, ids_b = tool.encode(texts[start:stop])
-                for a, b, (groups, links) in zip(ids_a, ids_b, tool.align(ids_a, ids_b), strict=True):
+                for a, b, groups, links in tool.align(texts[start:stop]):
                     digest = hashlib.sha256(groups).hexdigest() if a else ""
-                    rows.append((len(a), len(b), len(links) // 4, digest, pack(links), *[groups.decode()] * with_groups))
+                    rows.append((a, b, len(links) // 4, digest, pack(links), *[groups.decode()] * with_groups))
             columns = zip(*rows, strict=True) if rows else [()] * (len(names) - 1)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
@@ -210,11 +240,11 @@ def link_counts(aligned_docs: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def align_documents(docs: DataFrame, byte_level: str, pieces: str, pattern: str) -> DataFrame:
     """Links between the tokens that two tokenizers make of every whole text.
 
-    ``byte_level`` is a ``tokenizer.json`` (A, which gets a space and the text), ``pieces`` a piece model
-    (B, which adds that space). Byte offsets where tokens of both end cut them into groups; the two tokens that end there
+    ``byte_level`` is a ``tokenizer.json`` (A, which gets a space and the text) with its split pattern, ``pieces`` a piece
+    model (B, which adds that space). Byte offsets where tokens of both end cut them into groups; the two tokens that end there
     are linked. Returns doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair's count over the corpus is
     the highest of its B id), count_sum (of the links' counts) and groups_sha256 (of
     ``a1,a2|b1;a3|b2,b3``). A text that is null or empty, or that either tokenizer doesn't keep byte
@@ -223,12 +253,12 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    found = stored(aligned(docs, byte_level, pieces))
+    found = stored(aligned(docs, byte_level, pieces, pattern))
     table = link_counts(found).toArrow()  # bounded by pair_bound
     pairs, counts = (np.asarray(table.column(i).combine_chunks(), np.int64) for i in (0, 1))
     order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order]
-    factor = Aligner(byte_level, pieces).factor
+    factor = Aligner(byte_level, pieces, pattern).factor
     most = np.zeros(factor, np.int64)
     np.maximum.at(most, pairs % factor, counts)
     known = spark.sparkContext.broadcast((pairs.astype(np.uint32), counts, counts == most[pairs % factor]))

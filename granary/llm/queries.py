@@ -56,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align_documents(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+    return alignment.align_documents(documents(spark, sf_dir), BYTE_LEVEL, PIECES, PATTERN)
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

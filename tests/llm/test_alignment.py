@@ -88,7 +88,7 @@ def test_by_brute_force(spark, texts):
     rows = [*enumerate(texts), (3, texts[3]), (None, "no id of its own")]
     docs = spark.createDataFrame([(*x, 0, "x") for x in rows], "doc_id long, text string, n_a int, links string").repartition(3)
     got = {}
-    for row in alignment.align_documents(docs, queries.BYTE_LEVEL, queries.PIECES).collect():
+    for row in alignment.align_documents(docs, queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN).collect():
         got.setdefault(row.doc_id, []).append(tuple(row)[1:])
     want = brute([t for _, t in rows])
     assert sum(x[0] > 0 for x in want) > 150 and sum(x[0] == 0 for x in want) >= 3
@@ -99,25 +99,33 @@ def test_by_brute_force(spark, texts):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert alignment.align_documents(docs, queries.BYTE_LEVEL, queries.PIECES).collect() == []
+    assert alignment.align_documents(docs, queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN).collect() == []
 
 
 def test_windows_are_remembered_by_their_ids(monkeypatch):
-    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES)
+    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN)
     asked, align = [], tool._align
     monkeypatch.setattr(tool, "_align", lambda windows: asked.append(len(windows)) or align(windows))
-    ids = tool.encode(["the same words, the same words", "the same words"])
-    first = tool.align(*ids)
-    assert tool.align(*ids) == first and asked[0] < 8 and asked[1] == 0
+    texts = ["the same words, the same words", "the same words"]
+    first = tool.align(texts)
+    assert tool.align(texts) == first and 0 < asked[0] < 8 and asked[1:] == []
     monkeypatch.setattr(alignment, "KNOWN_WINDOWS", 2)
-    assert tool.align(*ids) == first  # forgets, and works them out again
+    assert tool.align([*texts, "others"])[:2] == first == tool.align(texts)  # forgets, and works them out again
+
+
+def test_ids_are_those_of_the_library():
+    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN)
+    points = [chr(c) for c in [*range(0x3100), *range(0xA000, 0xA100), *range(0xF900, 0x10100), *range(0x1F300, 0x1F700)]]
+    texts = [f"a{c}b {c}{c} 1{c}2 .{c} {c}\n" for c in points]
+    got = [tool._a.encode_to_numpy(f" {t}", allowed_special=set(), disallowed_special=()).tolist() for t in texts]
+    assert got == [x.ids for x in A.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
 
 
 def test_pairs_are_bounded_by_the_vocabularies(spark, texts):
-    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES)
+    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN)
     bound = alignment.pair_bound(tool.tokens_a, tool.tokens_b)
     assert bound < 400_000 and len(tool.tokens_a) * tool.factor < 1 << 32
     for text in texts:
-        for link in [int.from_bytes(x, "little") for x in map(bytes, zip(*[iter(tool.align(*tool.encode([text or ""]))[0][1])] * 4))]:
+        for link in [int.from_bytes(x, "little") for x in map(bytes, zip(*[iter(tool.align([text or ""])[0][3])] * 4))]:
             a, b = tool.tokens_a[link // tool.factor], tool.tokens_b[link % tool.factor]
             assert a.endswith(b) or b.endswith(a)
