@@ -469,8 +469,8 @@ def scored(texts: DataFrame, model, counts: np.ndarray, unknown: float) -> DataF
     return texts.drop("fold", "tail", "tail_n").mapInArrow(run, _SCORED)
 
 
-def score_documents(docs: DataFrame, held_out: Column, slots: int = SLOTS, rounds: int = ROUNDS) -> DataFrame:
-    """Log10 probabilities of all whole texts, learned from those that aren't held out.
+def score_documents(docs: DataFrame, held_out: str, slots: int = SLOTS, rounds: int = ROUNDS) -> DataFrame:
+    """Log10 probabilities of all whole texts, learned from those of which the condition ``held_out`` does not hold.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end. Returns doc_id, held_out, n_tokens,
     n_known (tokens met in training), train_tokens, base_score and score. The base is the sum over tokens of
@@ -485,7 +485,7 @@ def score_documents(docs: DataFrame, held_out: Column, slots: int = SLOTS, round
     texts = docs.select(
         F.monotonically_increasing_id().alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold"),
         text.alias("text"),
     )

@@ -60,7 +60,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.score_documents(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return maxent.score_documents(documents(spark, sf_dir), "crc32(cast(doc_id AS string)) % 7 = 2")
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
