@@ -42,7 +42,7 @@ PORTION = 1_500_000
 #: Kinds of anchor rows: the only one or one of several of its name in the batch, a further text with that
 #: name, a copy of an earlier text of the batch.
 ALONE, ONE_OF_SEVERAL, FURTHER, COPY = range(4)
-_TAG_BITS = 22
+_KIND_BIT = 22
 _FAR = 1 << 40
 _NULL_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +226,7 @@ def _first_copies(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarr
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """part, span, id, packed: what to group by, hash of the text, document, and start, windows, kind and tag."""
+    """part, span, id, tag, packed: what to group by, hash of the text, document, and start, windows and kind."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +254,15 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             own = mixed(name ^ mixed(span))
             spread = mixed(start.astype(np.uint64) * _M + own)  # copies are settled and go anywhere
             part = np.where(kind == FURTHER, own, np.where(kind == COPY, spread, name))
-            packed = start << 32 | count << 24 | kind << _TAG_BITS | tags[doc]
-            columns = [pa.array(x) for x in (part.view(np.int64), span.view(np.int64), ids[doc], packed)]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "span", "id", "packed"])
+            packed = start << 32 | count << 24 | kind << _KIND_BIT
+            columns = [pa.array(x) for x in (part.view(np.int64), span.view(np.int64), ids[doc], tags[doc], packed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "span", "id", "tag", "packed"])
 
-    return docs.mapInArrow(run, "part long, span long, id long, packed long")
+    return docs.mapInArrow(run, "part long, span long, id long, tag long, packed long")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """h1, h2, id, packed: hashes of a window, document, and its start, kind and tag; of the runs listed with the documents."""
+    """h1, h2, id, tag, packed: hashes of a window, document, and its start and kind; of the runs listed with the documents."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +289,11 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
             h1, h2, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
             copy = _first_copies((h1, h2), ids[doc], at)
             spread = mixed(at.astype(np.uint64) * _M + h1)
-            packed = at << 32 | np.where(copy, COPY, ALONE) << _TAG_BITS | tags[doc]
-            columns = [np.where(copy, spread, h1).view(np.int64), h2.view(np.int64), ids[doc], packed]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "id", "packed"])
+            packed = at << 32 | np.where(copy, COPY, ALONE) << _KIND_BIT
+            columns = [np.where(copy, spread, h1).view(np.int64), h2.view(np.int64), ids[doc], tags[doc], packed]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "id", "tag", "packed"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, id long, packed long")
+    return docs.mapInArrow(run, "h1 long, h2 long, id long, tag long, packed long")
 
 
 def _field(name: str) -> Column:
@@ -301,8 +301,7 @@ def _field(name: str) -> Column:
     return {
         "start": F.shiftright(packed, 32),
         "count": F.shiftright(packed, 24).bitwiseAND(F.lit(255)),
-        "kind": F.shiftright(packed, _TAG_BITS).bitwiseAND(F.lit(3)),
-        "tag": packed.bitwiseAND(F.lit((1 << _TAG_BITS) - 1)),
+        "kind": F.shiftright(packed, _KIND_BIT).bitwiseAND(F.lit(3)),
     }[name]
 
 
@@ -319,7 +318,7 @@ def _pack(texts: pd.Series) -> pd.Series:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with ``__id``, ``__tag`` (bits of the text's hash) and text, null as empty.
+    """The rows with ``__id``, ``__tag`` (the text's hash) and text, null as empty.
 
     In place of a null id stands a hash of the text, from -2**63 to -2**62: smaller than other ids are.
     """
@@ -327,7 +326,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
             "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)),
-            "__tag": F.xxhash64(text).bitwiseAND(F.lit((1 << _TAG_BITS) - 1)),
+            "__tag": F.xxhash64(text),
             "__text": text,
         }
     )
@@ -343,14 +342,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         rows.withColumn("n", F.count("*").over(every))
         .withColumn("copy", (kind == COPY) | _later("part", "span"))
         .where(F.col("copy") | (F.col("n") > 1) | kind.isin(ONE_OF_SEVERAL, FURTHER))
-        .select("id", _field("tag").alias("tag"), (F.shiftleft(_field("start"), 8) + _field("count")).alias("run"), "copy")
+        .select("id", "tag", (F.shiftleft(_field("start"), 8) + _field("count")).alias("run"), "copy")
     )
     settled = stored(settled)
     open_ = settled.where(~F.col("copy")).groupBy("id", "tag").agg(F.collect_list("run").alias("runs"))
     packed = texts.select(F.col("__id").alias("id"), F.col("__tag").alias("tag"), _pack("__text").alias("text"))
     windows = _window_rows(packed.join(open_, ["id", "tag"]).select("id", "tag", "text", "runs"), window)
     single = windows.withColumn("copy", (_field("kind") == COPY) | _later("h1", "h2")).where("copy")
-    single = single.select("id", _field("tag").alias("tag"), (F.shiftleft(_field("start"), 8) + 1).alias("run"))
+    single = single.select("id", "tag", (F.shiftleft(_field("start"), 8) + 1).alias("run"))
     return settled.where("copy").select("id", "tag", "run").unionByName(single).groupBy("id", "tag").agg(F.collect_list("run").alias("runs"))
 
 
