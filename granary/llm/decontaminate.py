@@ -184,8 +184,8 @@ def longest_matches(texts: list[str], block: Block, window: int) -> list[tuple[i
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Blocks of whole items, by a hash of the text; each is collected when its turn comes."""
-    picked = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    """Blocks of whole items, each different row once, by a hash of the text; each is collected when its turn comes."""
+    picked = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = picked.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * size // block_chars) if size > block_chars else 1)
     for k in range(n):
@@ -198,7 +198,8 @@ def locate_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Returns doc_id, item_id (as text), item_word and doc_word (where the match begins, words from
     0) and n_words: ``window`` words or more, or all of a shorter item. A document without a match has no
-    row; null texts have no words; rows that repeat, of either table, have a row each.
+    row; null texts have no words; a row of ``docs`` that repeats has its matches
+    each time, a benchmark row that repeats is one.
     """
     schema = "doc_id long, item_id string, item_word long, doc_word long, n_words long"
     names, types = ["doc_id", "item_id", "item_word", "doc_word", "n_words"], [pa.int64(), pa.string(), *[pa.int64()] * 3]
@@ -306,11 +307,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=["doc_id", "tag", "n_words"])
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns.
 
-    Hits are few, so only the ids of affected documents are joined back. Rows that share an id
-    go together.
+    Each row is judged by its own text, whatever its id is or who shares it. A block of the benchmark leaves what it
+    doesn't hit to the next one.
     """
-    hit = find_hits(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["hit_id"]), "left_anti")
+    schema, left = docs.schema, docs
+    blocks = _blocks(benchmark, block_chars)
+    items, further = next(blocks), next(blocks, None)
+    while items is not None:
+        texts = left.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+        left = texts.mapInArrow(_clean(Block(items, window), window), schema)
+        items, further = further, next(blocks, None)
+        if items is not None:
+            left = stored(left)
+    return left
+
+
+def _clean(block: Block, window: int):
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            found = match(batch.column(batch.num_columns - 1).to_pylist(), block, window)
+            kept = batch.filter(pa.array([not places for _, places, _ in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return run
