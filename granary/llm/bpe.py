@@ -77,6 +77,12 @@ class Table:
         return out
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Read a file of ``base64(token) rank`` lines."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE vocabulary: every single byte is a token, a lower rank merges first."""
 
@@ -124,9 +130,7 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """Read a file of ``base64(token) rank`` lines."""
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
+        return cls(read_ranks(path))
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None if the merges never lead to it."""

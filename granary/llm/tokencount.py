@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from granary.llm.bpe import Cutter, Vocabulary
+from granary.llm.bpe import Cutter, read_ranks
 from granary.llm.common import held, id_and_text, tidied, utf8
 
 ROOT = 0
@@ -79,8 +79,8 @@ class LongestMatchCounter:
 class TextCounter:
     """Tokens and pieces of whole texts, cut by a split pattern."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        count = LongestMatchCounter(vocabulary.ranks).count
+    def __init__(self, entries, pattern: str):
+        count = LongestMatchCounter(entries).count
         # tokens in the upper bits, pieces in the lower ones: one sum adds up both
         self._sums = Cutter(pattern, lambda pieces: [count(utf8(piece)) << 32 | 1 for piece in pieces], sum)
 
@@ -90,7 +90,7 @@ class TextCounter:
 
 
 def text_counter(path: str, pattern: str) -> TextCounter:
-    return held(("counts", path, pattern), lambda: TextCounter(Vocabulary.load(path), pattern))
+    return held(("counts", path, pattern), lambda: TextCounter(read_ranks(path), pattern))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _greedy(word: bytes) -> int:
     return n
 
 
-COUNTER = TextCounter(VOCABULARY, P.PATTERN)
+COUNTER = TextCounter(VOCABULARY.ranks, P.PATTERN)
 
 
 @settings(max_examples=200, deadline=None)
