@@ -131,8 +131,10 @@ def q_ingest(spark, sf):
     return spark.read.parquet(f"{path}/store").select("content_hash")
 
 
-@query("stream_crawl_progress", "SELECT user_id % 4 AS run, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY ALL")
+@query("stream_crawl_progress", "SELECT CAST(user_id % 4 AS VARCHAR) AS run, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY ALL")
 def q_progress(spark, sf):
     table = read(spark, sf, "events")
-    rows = spark.readStream.schema(table.schema).parquet(f"{sf}/events[.]parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("run", F.col("user_id") % 4)
-    return drain(jobs.crawl_progress(rows, "run", "event_type", "user_id"), "update").groupBy("run", "event_type").agg(F.max("n").alias("n"))
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events[.]parquet")
+    rows = rows.withColumns({"ts": F.col("ts").cast("timestamp"), "run": F.col("user_id") % 4})
+    updates = drain(jobs.crawl_progress(rows, "run", "event_type", "user_id"), "update")
+    return jobs.total_progress(updates).select("run", F.col("kind").alias("event_type"), "n")
