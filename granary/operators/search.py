@@ -54,6 +54,28 @@ def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, tokens(F.col(text)).alias("words")).mapInArrow(run, schema)
 
 
+#: The version of hashed vectors.
+HASH_VERSION = f"hash-{DIMENSIONS}"
+
+
+def with_embedding(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns, the unit-length bag-of-words vector as ``embedding map<int,double>``, and ``embedding_version``."""
+    schema = T.StructType([*docs.schema, T.StructField("embedding", T.MapType(T.IntegerType(), T.DoubleType())), T.StructField("embedding_version", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = _Embedder()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                vectors = embed(_Words(part.column(part.num_columns - 1)))
+                row, place = np.nonzero(vectors)
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                maps = pa.MapArray.from_arrays(pa.array(ends), pa.array(place, pa.int32()), pa.array(vectors[row, place].astype(float)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], maps, pa.array([HASH_VERSION] * part.num_rows)], names=schema.names)
+
+    return docs.select("*", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__words")).mapInArrow(run, schema)
+
+
 def cosine(left: Column, right: Column) -> Column:
     """0 for empty vectors or vectors of different length."""
     dot = F.aggregate(F.zip_with(left, right, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)

@@ -51,13 +51,6 @@ def q_dense(spark, sf):
     return search.dense_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
-@query("reembed_stale", f"WITH st AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 = 0), {_embed_sql('st', 'doc_id', 'text', 'd')} SELECT k AS doc_id, count(*) AS buckets, round(sum(w * w), 6) AS norm FROM dv GROUP BY 1")
-def q_reembed(spark, sf):
-    version = F.when(F.col("doc_id") % 4 == 0, "legacy").otherwise("current")
-    stale = read(spark, sf, "documents").withColumn("embedding_version", version).where("embedding_version <> 'current'")
-    return search.hash_embed(stale, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
-
-
 _PAIRS = "p AS (SELECT a.conv_id, a.turn, a.text AS q, b.text AS x FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 
 

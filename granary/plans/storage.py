@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from granary.functions import folds
 from granary.functions import sql as S
-from granary.operators import embedder
+from granary.operators import embedder, search
 from granary.plans.streams import drain
 from granary.plans.tables import SOURCES, read, sources
 from granary.sources import files
+from granary.sources.index import IndexStore
 from granary.sources.shared import new_path
 from granary.streaming import jobs
 
@@ -92,6 +93,53 @@ def q_write(spark, sf):
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.bool_and("fresh").alias("fresh"))
 
 
+def _chunks(spark, sf, text=None):
+    """A chunk of each document; ``text`` may change it."""
+    docs = read(spark, sf, "documents").select(F.concat("doc_id", F.lit("#0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("source_id"), "text")
+    return search.with_embedding(docs if text is None else docs.withColumn("text", text))
+
+
+_NORM = f"CASE WHEN len({S.tokens('t')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm"
+
+
+def _digest(rows):
+    square = F.aggregate(F.map_values("embedding"), F.lit(0.0), lambda a, w: a + w * w)
+    return rows.select("chunk_id", "source_id", F.md5("text").alias("digest"), F.round(square, 6).alias("norm"), "embedding_version")
+
+
+@query("upsert_index", f"""
+WITH d AS (
+  SELECT CAST(doc_id AS VARCHAR) || '#0' AS chunk_id, CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'Bản mới. ' || text ELSE text END AS t FROM documents
+  UNION ALL SELECT CAST(doc_id AS VARCHAR) || '#new', 'new' || CAST(doc_id AS VARCHAR), text FROM documents WHERE doc_id % 3 = 0
+)
+SELECT chunk_id, source_id, md5(t) AS digest, {_NORM}, 'hash-256' AS embedding_version FROM d
+""")
+def q_upsert(spark, sf):
+    """All documents are indexed; a third comes in again with other texts, under their own and under new sources, twice."""
+    index = IndexStore(spark, new_path(spark))
+    index.rebuild(_chunks(spark, sf))
+    again = _chunks(spark, sf, F.concat(F.lit("Bản mới. "), "text")).where("pmod(cast(source_id AS long), 3) = 0")
+    moved = _chunks(spark, sf).where("pmod(cast(source_id AS long), 3) = 0")
+    known = moved.withColumn("source_id", F.concat(F.lit("x"), "source_id"))  # ids that stay are known: left out
+    moved = moved.withColumns({"chunk_id": F.concat("source_id", F.lit("#new")), "source_id": F.concat(F.lit("new"), "source_id")})
+    for _ in range(2):
+        index.upsert(again.unionByName(moved))
+    index.upsert(known)
+    return _digest(index.read())
+
+
+@query("reembed_stale", f"WITH d AS (SELECT doc_id, text AS t FROM documents) SELECT CAST(doc_id AS VARCHAR) || '#0' AS chunk_id, CAST(doc_id AS VARCHAR) AS source_id, md5(t) AS digest, {_NORM}, 'hash-256' AS embedding_version FROM d")
+def q_reembed(spark, sf):
+    """An index in which a quarter has vectors of another version, and none has it any more."""
+    index = IndexStore(spark, new_path(spark))
+    old = F.pmod(F.col("source_id").cast("long"), F.lit(4)) == 0
+    rows = _chunks(spark, sf)
+    rows = rows.withColumn("embedding", F.when(~old, F.col("embedding"))).withColumn("embedding_version", F.when(old, "legacy").otherwise(F.col("embedding_version")))
+    index.rebuild(rows)
+    index.reembed(search.with_embedding, search.HASH_VERSION)
+    return _digest(index.read())
+
+
 @query("read_query_plan", "SELECT r_name AS \"group\", CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INT) AS place, n_name AS query FROM nation JOIN region ON n_regionkey = r_regionkey")
 def q_plan(spark, sf):
     path = new_path(spark)
