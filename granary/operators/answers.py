@@ -1,17 +1,14 @@
-"""Parts of extractive answers: context rules, packing, scrubbing, and whole answers without a language model."""
+"""Parts of answers: rules on context, questions and candidates, scrubbing. Whole answers are in ``respond``."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from granary import config
-from granary.functions.text import contains_any, flags, fold, folded_tokens, once, squash
+from granary.functions.text import contains_any, flags, fold, folded_tokens, lines, once, squash
 from granary.operators.chatlog import advice_issues
 
 # fixed values
@@ -36,6 +33,49 @@ OFF_TOPIC = (
 ANCHORS = ("cà phê", "ca phe", "coffee", "trs1", "tr4", "robusta", "arabica", "eakmat", "tây nguyên", "tay nguyen")
 OTHER_SCRIPT = "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af]"
 PRODUCTS = r"(^|[^\p{L}\p{N}_])(nucafe|sa\s+kali|kali\s+sun)($|[^\p{L}\p{N}_])"
+#: Words of other languages in answers, and what they mean.
+ARTEFACTS = (("atau", "hoặc"), ("dan", "và"))
+# starts and parts of lines that carry nothing
+LOW_VALUE_LINES = (
+    r"^\s*h\d+\s*:", r"^\s*hình\s+\d+", r"^\s*bài\s+\d+", r"^\s*kế hoạch bài giảng", r"^\s*\(?phút\)?\s*$", r"^\s*stt($|[^\p{L}\p{N}_])",
+    r"^\s*toggle($|[^\p{L}\p{N}_])", r"^\s*menu($|[^\p{L}\p{N}_])", r"\.{4,}", r"^\s*\d+\.\d+\.\d*\s", r"^\s*(ths|ts|pgs|gs|cn|ks)\.\s",
+    r"^\s*\d+\s*[-–.]\s*(ths|ts|pgs|gs|cn|ks)($|[^\p{L}\p{N}_])", r"[-–]\s*(giz|wasi|ipsard|fao|undp|jica)($|[^\p{L}\p{N}_])",
+    r"(viện trưởng|phó viện trưởng|nguyên phó viện trưởng)\s+(wasi|ipsard|vaas)($|[^\p{L}\p{N}_])", r"^\s*trang\s+\d+",
+)
+# letters of scans: old ones, upper case within words, a consonant, a space and a marked vowel
+OLD_LETTERS, MIXED_CASE = "[ƣƢ]", "[a-zàáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệ][A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸ]{2,}"
+BROKEN = "[bcdfghjklmnpqrstvwxyz] [ạảãáàắằẳẵặấầẩẫậếềểễệíìỉĩịốồổỗộớờởỡợứừửữự][bcdfghjklmnpqrstvwxyz]"
+#: What an answer says that has too little to go on, and what it says instead.
+EXCUSE = r"^\s*hiện chưa(?: có)? đủ tài liệu"
+INSTEAD = ("Dựa trên các tài liệu đã truy xuất, ", "Dựa trên các tài liệu đã truy xuất, có thể tóm tắt như sau:\n\n")
+
+
+def is_low_line(line: Column) -> Column:
+    return F.lower(line).rlike("|".join(f"({p})" for p in LOW_VALUE_LINES))
+
+
+def is_garbage(text: Column) -> Column:
+    """Scanned text that can't be read: old letters, upper case within words, or many broken words for its length."""
+    n = F.regexp_count(F.lower(text), F.lit(BROKEN))
+    dense = F.when(F.length(text) < 120, n >= 1).otherwise((n >= 3) | (n / F.greatest(F.lit(1), F.length(text)) > 0.010))
+    return text.rlike(OLD_LETTERS) | text.rlike(MIXED_CASE) | ((n > 0) & dense)
+
+
+def clean_context(text: Column) -> Column:
+    """Text of a source as it may be quoted: without labels of blocks, lines of no value and unreadable ones, with single spaces."""
+    for label in (r"Nguồn:\s*[^\n]+", r"URL/File:\s*[^\n]+", "Nội dung:", r"[ \t]{2,}"):
+        text = F.regexp_replace(text, label, " ")
+    tidy = F.transform(lines(text), lambda x: F.btrim(squash(x), F.lit(" :-–—")))
+    kept = F.filter(tidy, lambda x: (x == "") | ~(is_low_line(x) | is_garbage(x)))
+    return F.btrim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def without_excuse(answer: Column, score: Column) -> Column:
+    """A long answer to a good hit doesn't begin with the excuse that there are too few sources."""
+    but, alone = r"(?iu)^\s*Hiện chưa(?: có)? đủ tài liệu[^\n.]*[.]\s*Tuy nhiên,\s*", r"(?iu)^\s*Hiện chưa(?: có)? đủ tài liệu[^\n]*\n+"
+    said = F.when(answer.rlike(but), F.regexp_replace(answer, but, INSTEAD[0])).otherwise(F.regexp_replace(answer, alone, INSTEAD[1]))
+    bad = (F.coalesce(score, F.lit(0.0)) >= 0.12) & answer.rlike(f"(?iu){EXCUSE}") & (F.length(answer) >= 250)
+    return F.when(bad, said).otherwise(answer)
 
 
 def folded_word(word: str) -> str:
@@ -126,13 +166,18 @@ def checklist(context: Column) -> Column:
 
 
 def scrub(answer: Column, question: Column) -> Column:
-    """An answer without lines on another crop or on products, and with one disclaimer at its end."""
+    """An answer without words of other languages, lines on another crop or on products, and with one disclaimer at its end."""
 
     def clean(x: Column) -> Column:
+        said = x["a"]
+        for word, meaning in ARTEFACTS:
+            said = F.regexp_replace(said, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])", meaning)
+        said = F.regexp_replace(said, r"(?iu)\s+hoặc\s+NUCAFE(?![\p{L}\p{N}_])", "")
         about = F.contains(x["q"], F.lit("ca phe"))
         off = lambda f: about & F.contains(f, F.lit("ho tieu")) & ~F.contains(f, F.lit("ca phe"))
-        kept = F.filter(F.split(x["a"], "\n"), lambda line: ~off(fold(line)) & ~F.lower(line).rlike(PRODUCTS))
-        body = F.trim(F.regexp_replace(F.replace(F.array_join(kept, "\n"), F.lit(DISCLAIMER), F.lit("")), r"\n{3,}", "\n\n"))
+        kept = F.filter(F.split(said, "\n"), lambda line: ~off(fold(line)) & ~F.lower(line).rlike(PRODUCTS))
+        bare = F.regexp_replace(F.array_join(kept, "\n"), f"(?iu){DISCLAIMER.replace('.', '[.]')}", "")
+        body = F.btrim(F.regexp_replace(bare, r"\n{3,}", "\n\n"), F.lit(" \n\t"))
         return F.when(body == "", DISCLAIMER).otherwise(F.concat(body, F.lit(f"\n\n{DISCLAIMER}")))
 
     return once(F.struct(answer.alias("a"), squash(fold(question)).alias("q")), clean)
@@ -140,45 +185,3 @@ def scrub(answer: Column, question: Column) -> Column:
 
 def has_other_script(answer: Column) -> Column:
     return answer.rlike(OTHER_SCRIPT)
-
-
-def pack(text: str | None, important: list[str], most: int = 900, parts: int = 4) -> str:
-    """Paragraphs of 30 characters or more, those with most query words first, as many as fit; enough at 70 %."""
-    paragraphs = [p.strip() for p in re.split(r"\n{2,}", text or "") if len(p.strip()) >= 30]
-    out: list[str] = []
-    size = 0
-    for p in sorted(paragraphs, key=lambda p: (-sum(w in p.lower() for w in important), len(p))):
-        if p in out or out and size + len(p) + 2 > most:
-            continue
-        size += len(p) + (2 if out else 0)
-        out.append(p)
-        if size >= 0.7 * most or len(out) >= parts:
-            break
-    return "\n".join(out)[:most] if out else (text or "")[:most]
-
-
-@F.pandas_udf(T.StringType())
-def pack_udf(texts: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([pack(t, list(w)) for t, w in zip(texts, words, strict=True)])
-
-
-def batch_answers(questions: DataFrame, hits: DataFrame, words: Column, least_score: float = 0.08, k: int = 5) -> DataFrame:
-    """query_id, refused, confidence, sources and an extractive answer; no hit or a weak one is refused.
-
-    ``hits`` has query_id, place, score, source_id and text.
-    """
-    top = hits.where(F.col("place") <= k)
-    context = top.groupBy("query_id").agg(
-        F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("place", "source_id", "text"))).alias("hits")
-    )
-    joined = questions.join(context, "query_id", "left")
-    refused = F.col("score").isNull() | (F.col("score") < least_score)
-    body = sanitize(F.array_join(F.transform("hits", lambda h: h["text"]), "\n\n"))
-    answer = F.when(~refused, pack_udf(F.coalesce(body, F.lit("")), words))
-    return joined.select(
-        "query_id",
-        refused.alias("refused"),
-        F.when(F.col("score") >= 0.22, "cao").when(F.col("score") >= 0.12, "trung_binh").otherwise("thap").alias("confidence"),
-        F.array_join(F.array_distinct(F.transform("hits", lambda h: h["source_id"])), ",").alias("sources"),
-        answer.alias("answer"),
-    )

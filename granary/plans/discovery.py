@@ -148,23 +148,15 @@ def q_mentions(spark, sf):
     return sources(spark, sf).select("source_id", F.array_join(places, ",").alias("places"), F.array_join(A.checklist(talk), " ").alias("checklist"))
 
 
-_OLD, _MIXED = "[ƣƢ]", "[a-zàáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệ][A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸ]{2,}"
-_BROKEN = "[bcdfghjklmnpqrstvwxyz] [ạảãáàắằẳẵặấầẩẫậếềểễệíìỉĩịốồổỗộớờởỡợứừửữự][bcdfghjklmnpqrstvwxyz]"
+_OLD, _MIXED, _BROKEN = A.OLD_LETTERS, A.MIXED_CASE, A.BROKEN
 
 
 @query("ocr_garbage_flag", f"SELECT doc_id, regexp_matches(text, '{_OLD}') OR regexp_matches(text, '{_MIXED}') OR (n > 0 AND (CASE WHEN len(text) < 120 THEN true ELSE n >= 3 OR n / greatest(1, len(text)) > 0.010 END)) AS garbage FROM (SELECT doc_id, text, len(regexp_extract_all(lower(text), '{_BROKEN}')) AS n FROM documents)")
 def q_ocr(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", _garbage(F.col("text")).alias("garbage"))
+    return read(spark, sf, "documents").select("doc_id", A.is_garbage(F.col("text")).alias("garbage"))
 
 
-# fixed values: starts and parts of sentences that carry nothing
-LOW_VALUE_LINES = (
-    r"^\s*h\d+\s*:", r"^\s*hình\s+\d+", r"^\s*bài\s+\d+", r"^\s*kế hoạch bài giảng", r"^\s*\(?phút\)?\s*$", r"^\s*stt($|[^\p{L}\p{N}_])",
-    r"^\s*toggle($|[^\p{L}\p{N}_])", r"^\s*menu($|[^\p{L}\p{N}_])", r"\.{4,}", r"^\s*\d+\.\d+\.\d*\s", r"^\s*(ths|ts|pgs|gs|cn|ks)\.\s",
-    r"^\s*\d+\s*[-–.]\s*(ths|ts|pgs|gs|cn|ks)($|[^\p{L}\p{N}_])", r"[-–]\s*(giz|wasi|ipsard|fao|undp|jica)($|[^\p{L}\p{N}_])",
-    r"(viện trưởng|phó viện trưởng|nguyên phó viện trưởng)\s+(wasi|ipsard|vaas)($|[^\p{L}\p{N}_])", r"^\s*trang\s+\d+",
-)
-_LOW = "|".join(f"({p})" for p in LOW_VALUE_LINES)
+_LOW = "|".join(f"({p})" for p in A.LOW_VALUE_LINES)
 
 
 def _garbage_sql(x: str) -> str:
@@ -172,12 +164,6 @@ def _garbage_sql(x: str) -> str:
     return f"(regexp_matches({x}, '{_OLD}') OR regexp_matches({x}, '{_MIXED}') OR ({n} > 0 AND (len({x}) < 120 OR {n} >= 3 OR {n} / greatest(1, len({x})) > 0.010)))"
 
 
-def _garbage(x):
-    n = F.regexp_count(F.lower(x), F.lit(_BROKEN))
-    dense = F.when(F.length(x) < 120, n >= 1).otherwise((n >= 3) | (n / F.greatest(F.lit(1), F.length(x)) > 0.010))
-    return x.rlike(_OLD) | x.rlike(_MIXED) | ((n > 0) & dense)
-
-
 _ASKED = "list_filter(list_distinct(string_split_regex(lower(title || ' the with from'), '[^\\p{L}\\p{N}_]+')), lambda t: len(t) >= 4 AND NOT list_contains(" + S.listed(CHAT_STOPWORDS) + ", t))"
 
 
@@ -189,7 +175,7 @@ def q_summary(spark, sf):
     words = F.array_distinct(F.split(F.lower(F.concat("title", F.lit(" the with from"))), r"[^\p{L}\p{N}_]+"))
     asked = F.filter(words, lambda t: (F.length(t) >= 4) & ~t.isin(*CHAT_STOPWORDS))
     parts = F.transform(F.split("raw_text", r"[.\n]"), lambda x, i: F.struct(i.alias("i"), T.squash(x).alias("x")))
-    kept = F.filter(parts, lambda p: F.length(p["x"]).between(35, 260) & ~F.startswith(p["x"], F.lit(",")) & ~F.lower(p["x"]).rlike(_LOW) & ~_garbage(p["x"]))
+    kept = F.filter(parts, lambda p: F.length(p["x"]).between(35, 260) & ~F.startswith(p["x"], F.lit(",")) & ~F.lower(p["x"]).rlike(_LOW) & ~A.is_garbage(p["x"]))
     rows = sources(spark, sf).select("doc_id", asked.alias("asked"), kept.alias("kept"))
     found = lambda x: F.size(F.filter("asked", lambda t: F.contains(x, t)))
     scored = F.transform("kept", lambda p: F.struct((-found(F.lower(p["x"]))).alias("k"), p["i"].alias("i"), p["x"].alias("x")))
