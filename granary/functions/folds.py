@@ -210,19 +210,20 @@ def chunk_documents(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(chunk.alias("chunk_id"), key, "ordinal", "text")
 
 
-def image_quality(pixels, width: int, height: int) -> tuple[dict[str, float], list[str]]:
-    """Metrics and issues of an image given as BGR bytes."""
+def image_quality_stack(pixels) -> list[tuple[float, float, float, list[str]]]:
+    """Blur score, brightness, share of leaf green and issues of images of one size: BGR bytes, images x height x width x channels."""
     import numpy as np
 
-    bgr = np.frombuffer(pixels, np.uint8).reshape(height, width, -1).astype(np.float64)
-    blue, green, red = bgr[..., 0], bgr[..., 1 % bgr.shape[2]], bgr[..., 2 % bgr.shape[2]]
+    _, height, width, channels = pixels.shape
+    blue, green, red = (pixels[..., c % channels].astype(np.float64) for c in range(3))
     gray = np.round(0.299 * red + 0.587 * green + 0.114 * blue)
-    edge = np.pad(gray, 1, mode="reflect") if min(gray.shape) > 1 else np.pad(gray, 1, mode="edge")
-    blur = float((edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * gray).var())
-    leaf = float(((green > red + 8) & (green > blue + 8) & (green > 45)).mean())
-    bright = float(gray.mean())
-    checks = [
-        ("too_small", width < 320 or height < 320), ("blurred", blur < 35), ("too_dark", bright < 45), ("too_bright", bright > 220), ("no_leaf", leaf < 0.03),
-    ]
-    metrics = {"blur_score": round(blur, 2), "brightness": round(bright, 2), "green_ratio": round(leaf, 3)}
-    return metrics, [name for name, bad in checks if bad]
+    edge = np.pad(gray, ((0, 0), (1, 1), (1, 1)), mode="reflect" if min(height, width) > 1 else "edge")
+    laplacian = edge[:, :-2, 1:-1] + edge[:, 2:, 1:-1] + edge[:, 1:-1, :-2] + edge[:, 1:-1, 2:] - 4 * gray
+    blur, bright = laplacian.var(axis=(1, 2)), gray.mean(axis=(1, 2))
+    leaf = ((green > red + 8) & (green > blue + 8) & (green > 45)).mean(axis=(1, 2))
+    small = width < 320 or height < 320
+    rows = []
+    for b, light, share in zip(blur.tolist(), bright.tolist(), leaf.tolist(), strict=True):
+        checks = [("too_small", small), ("blurred", b < 35), ("too_dark", light < 45), ("too_bright", light > 220), ("no_leaf", share < 0.03)]
+        rows.append((round(b, 2), round(light, 2), round(share, 3), [name for name, bad in checks if bad]))
+    return rows

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import contains_any, first_true, hits
 from granary.sources import policy as P
+from granary.sources.shared import stored
 
 # fixed values: hosts and paths that a crawl leaves alone, and signs of the domain
 BLOCKED_HOSTS = (
@@ -104,10 +105,35 @@ def query_variants(topic: Column, extra: list[str], crop: str, most: int = 8) ->
     return F.slice(F.filter(named, lambda v, i: F.array_position(low, F.lower(v)) == i + 1), 1, most)
 
 
-def triage(links: DataFrame, seeds: DataFrame, seen: DataFrame) -> DataFrame:
-    """url and state of discovered links: candidate_external off the seeds' hosts, else queued_or_seen, new ones queued."""
+def first_n(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order over the whole table, with their ``place`` from 1 on; no task sorts more than its range.
+
+    Rows are dealt by range; how many lie in the ranges before says where a range begins, and ranges behind the n-th row
+    are left out.
+    """
+    parts = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select("__part", before.alias("__before")).where(F.col("__before") < n)  # a row for each range
+    placed = parts.join(F.broadcast(begins), "__part").withColumn("place", F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return placed.where(F.col("place") <= n).drop("__part", "__before")
+
+
+def triage(links: DataFrame, seeds: DataFrame, seen: DataFrame, budget: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """url and state of discovered http and https links: candidate_external off the seeds' hosts, else seen, or queued.
+
+    With a budget only the first new links are queued, in ``order`` (columns of ``links``, where a link was met first) and
+    then by url; all others are over_budget.
+    """
     hosts = seeds.select(P.bare_host(F.col("url")).alias("host")).distinct().withColumn("own", F.lit(True))
     known = seen.select("url").distinct().withColumn("seen", F.lit(True))
-    rows = links.select("url").distinct().withColumn("host", P.bare_host(F.col("url")))
+    met = F.min(F.struct(*order)) if order else F.lit(0)
+    rows = links.where(F.lower("url").rlike("^https?://")).groupBy("url").agg(met.alias("met")).withColumn("host", P.bare_host(F.col("url")))
     state = F.when(F.col("own").isNull(), "candidate_external").when(F.col("seen"), "seen").otherwise("queued")
-    return rows.join(hosts, "host", "left").join(known, "url", "left").select("url", state.alias("state"))
+    rows = rows.join(hosts, "host", "left").join(known, "url", "left").select("url", "met", state.alias("state"))
+    if budget is None:
+        return rows.select("url", "state")
+    rows = stored(rows)
+    within = first_n(rows.where("state = 'queued'").select("met", "url"), budget, "met", "url").select("url", F.lit(True).alias("within"))
+    late = (F.col("state") == "queued") & F.col("within").isNull()
+    return rows.join(within, "url", "left").select("url", F.when(late, "over_budget").otherwise(F.col("state")).alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.config import POLICY, Policy
@@ -63,6 +63,62 @@ def gate(sources: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return scored.withColumns(review(level, F.col("quality_score"), F.col("warnings"), policy))
 
 
+#: Characters at the beginning of a source, and its length, that the rules look at.
+_HEAD, _LONG = 1200, 2000
+
+
+def _beginnings(chunks: DataFrame) -> DataFrame:
+    """source_id and ``head``: the first characters of its chunks, joined by line breaks; few chunks of each source are grouped."""
+    order = Window.partitionBy("source_id").orderBy("ordinal")
+    before = F.coalesce(F.sum(F.length("part") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = chunks.select("source_id", "ordinal", F.substring(F.coalesce("text", F.lit("")), 1, _HEAD).alias("part"))
+    # a chunk and its line break are one character at least, so no more chunks than characters matter
+    few = parts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= _HEAD).withColumn("before", before).where(F.col("before") < _HEAD)
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "part")))
+    joined = F.array_join(F.transform(ordered, lambda x: x["part"]), "\n")
+    return few.groupBy("source_id").agg(F.substring(joined, 1, _HEAD).alias("head"))
+
+
+def rebuild_gate(sources: DataFrame, chunks: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """source_id, review_status, indexing_status, chunk_count and quality_score (where it was worked out) of each source, for a rebuild of the index.
+
+    The first chunk's stored decision holds; where it has none, the source's chunks are judged anew, as if nothing had
+    been removed from them. A source without chunks is held. ``chunks`` has source_id, ordinal, text, title, url,
+    reliability_level, review_status and indexing_status.
+    """
+    meta = F.struct("title", "url", "reliability_level", "review_status", "indexing_status")
+    length = F.length(F.coalesce("text", F.lit("")))
+    first = chunks.groupBy("source_id").agg(F.min_by(meta, "ordinal").alias("f"), F.sum(length).alias("chars"), F.count("*").alias("chunk_count"))
+    rows = sources.select("source_id").distinct().join(first, "source_id", "left")
+    is_ = lambda status, review_: F.coalesce(F.col("f.indexing_status") == status, F.lit(False)) | F.coalesce(F.col("f.review_status") == review_, F.lit(False))
+    known = [("indexed", "approved"), ("blocked", "rejected"), ("held_for_review", "needs_review")]
+    stored_ = F.coalesce(*[F.when(is_(i, r), F.struct(F.lit(r).alias("review_status"), F.lit(i).alias("indexing_status"))) for i, r in known])
+    held = F.struct(F.lit("needs_review").alias("review_status"), F.lit("held_for_review").alias("indexing_status"))
+    rows = rows.withColumn("stored", F.when(F.col("f").isNull(), held).otherwise(stored_))
+    open_ = rows.where(F.col("stored").isNull()).select("source_id", "f", "chars", "chunk_count")
+    heads = _beginnings(chunks.join(open_.select("source_id"), "source_id", "left_semi"))
+    # the rules see the beginning and how long it goes on
+    total = F.least(F.lit(_LONG), F.col("chars") + F.col("chunk_count") - 1).cast("int")
+    text = F.when(total > F.length("head"), F.rpad("head", total, F.lit(" "))).otherwise(F.col("head"))
+    again = open_.join(heads, "source_id").select(
+        "source_id", F.col("f.title").alias("title"), F.col("f.url").alias("url"), F.col("f.reliability_level").alias("reliability_level"), F.lit("").alias("raw_text"), text.alias("cleaned_text")
+    )
+    judged = gate(again, policy).select("source_id", F.col("review_status").alias("new_review"), F.col("indexing_status").alias("new_indexing"), "quality_score")
+    return rows.join(judged, "source_id", "left").select(
+        "source_id",
+        F.coalesce("stored.review_status", "new_review").alias("review_status"),
+        F.coalesce("stored.indexing_status", "new_indexing").alias("indexing_status"),
+        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
+        F.round("quality_score", 3).alias("quality_score"),
+    )
+
+
+def rebuild_union(chunks: DataFrame, decided: DataFrame) -> DataFrame:
+    """All chunks of the sources that are indexed, with the decision on their source."""
+    indexed = decided.where("indexing_status = 'indexed'").select("source_id", "review_status", "indexing_status", "quality_score")
+    return chunks.drop("review_status", "indexing_status", "quality_score").join(indexed, "source_id")
+
+
 def source_quality(sources: DataFrame, *also: str, policy: Policy = POLICY) -> DataFrame:
     """Report row of each source; ``sources`` has chunk_count and avg_chunk_chars, null without chunks. ``also`` names columns to keep."""
     title, url, raw, cleaned = (F.col(c) for c in ("title", "url", "raw_text", "cleaned_text"))

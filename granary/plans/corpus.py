@@ -530,17 +530,33 @@ def q_previews(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.posexplode(ls).alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("ordinal"), F.substring("x", 1, 900).alias("preview"))
 
 
-@query("rebuild_gate", f"WITH {GATE}, g AS (SELECT source_id, doc_id, {_review('level', 'quality_score')} FROM q) SELECT source_id, CASE WHEN doc_id % 2 = 0 THEN 'indexed' ELSE indexing_status END AS indexing_status FROM g WHERE doc_id % 5 <> 0")
+def line_chunks(spark, sf):
+    """Lines of 40 characters or more of every source; what its id says was decided on three of four before."""
+    kept = F.filter(F.split("raw_text", "\n"), lambda x: F.length(F.trim(x)) >= 40)
+    n = F.pmod("doc_id", F.lit(4))
+    return sources(spark, sf).select(
+        "source_id", "title", "url", "reliability_level",
+        F.when(n == 1, "rejected").when(n == 2, "needs_review").alias("review_status"), F.when(n == 0, "indexed").alias("indexing_status"),
+        F.posexplode(kept).alias("ordinal", "text"),
+    )
+
+
+_REBUILD = f"""WITH {SOURCES.replace("text AS raw_text, CASE WHEN doc_id % 9 = 0 THEN substr(text, 1, 60) ELSE text END AS cleaned_text", "'' AS raw_text, array_to_string(list_filter(string_split(text, chr(10)), lambda x: len(trim(x)) >= 40), chr(10)) AS cleaned_text, list_filter(string_split(text, chr(10)), lambda x: len(trim(x)) >= 40) AS chunks")}, {GATE[len(SOURCES) + 2 :]},
+g AS (SELECT source_id, doc_id, chunks, quality_score, {_review('level', 'quality_score')} FROM q),
+d AS (SELECT source_id, chunks, CASE WHEN len(chunks) = 0 THEN 'needs_review' ELSE CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'needs_review' ELSE review_status END END AS review_status,
+  CASE WHEN len(chunks) = 0 THEN 'held_for_review' ELSE CASE doc_id % 4 WHEN 0 THEN 'indexed' WHEN 1 THEN 'blocked' WHEN 2 THEN 'held_for_review' ELSE indexing_status END END AS indexing_status,
+  CASE WHEN len(chunks) > 0 AND doc_id % 4 = 3 THEN round(quality_score, 3) END AS quality_score FROM g)"""
+
+
+@query("rebuild_gate", f"{_REBUILD} SELECT source_id, review_status, indexing_status, CAST(len(chunks) AS BIGINT) AS chunk_count, quality_score FROM d")
 def q_rebuild(spark, sf):
-    g = quality.gate(sources(spark, sf))
-    stored = F.when(F.col("doc_id") % 2 == 0, "indexed")
-    return g.where("doc_id % 5 <> 0").select("source_id", F.coalesce(stored, F.col("indexing_status")).alias("indexing_status"))
+    return quality.rebuild_gate(sources(spark, sf), line_chunks(spark, sf))
 
 
-@query("rebuild_union", "SELECT doc_id, 'a' AS part FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id % 3 = 0")
+@query("rebuild_union", f"{_REBUILD} SELECT source_id, CAST(i - 1 AS INT) AS ordinal, md5(chunks[i]) AS digest, quality_score FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM d WHERE indexing_status = 'indexed')")
 def q_union(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id")
-    return d.where("doc_id % 2 = 0").withColumn("part", F.lit("a")).unionByName(d.where("doc_id % 3 = 0").withColumn("part", F.lit("b")))
+    chunks = line_chunks(spark, sf)
+    return quality.rebuild_union(chunks, quality.rebuild_gate(sources(spark, sf), chunks)).select("source_id", "ordinal", F.md5("text").alias("digest"), "quality_score")
 
 
 @query("list_sources", "SELECT source, max(doc_id) AS last_doc, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")

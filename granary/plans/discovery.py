@@ -89,11 +89,11 @@ def q_variants(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", F.posexplode(found).alias("variant", "query"))
 
 
-@query("triage_links", "WITH l AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url, page_id FROM pages), h AS (SELECT url, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') AS host, min(page_id) AS p FROM l GROUP BY ALL), seeds AS (SELECT DISTINCT host FROM h WHERE p % 3 = 0), seen AS (SELECT DISTINCT url FROM l WHERE page_id % 5 = 0) SELECT url, CASE WHEN host NOT IN (SELECT host FROM seeds) THEN 'candidate_external' WHEN url IN (SELECT url FROM seen) THEN 'seen' ELSE 'queued' END AS state FROM h")
+@query("triage_links", "WITH l AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url, page_id FROM pages), h AS (SELECT url, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') AS host, min(page_id) AS p FROM l GROUP BY ALL), seeds AS (SELECT DISTINCT host FROM h WHERE p % 3 = 0), seen AS (SELECT DISTINCT url FROM l WHERE page_id % 5 = 0), t AS (SELECT url, CASE WHEN host NOT IN (SELECT host FROM seeds) THEN 'candidate_external' WHEN url IN (SELECT url FROM seen) THEN 'seen' ELSE 'queued' END AS state, p FROM h), n AS (SELECT url, row_number() OVER (ORDER BY p, url) AS place FROM t WHERE state = 'queued') SELECT url, CASE WHEN place > 40 THEN 'over_budget' ELSE state END AS state FROM t LEFT JOIN n USING (url)")
 def q_triage(spark, sf):
     rows = read(spark, sf, "pages").select(F.regexp_replace("url", r"[?#].*$", "").alias("url"), "page_id")
     first = rows.groupBy("url").agg(F.min("page_id").alias("p"))
-    return D.triage(rows, first.where("p % 3 = 0"), rows.where("page_id % 5 = 0"))
+    return D.triage(rows, first.where("p % 3 = 0"), rows.where("page_id % 5 = 0"), budget=40, order=("page_id",))
 
 
 # ---------------------------------------------------------------- folds over text (small helpers, rows only)

@@ -249,9 +249,3 @@ def q_distinct_topics(spark, sf):
 @query("crawl_top_k", "SELECT k FROM (SELECT l_partkey AS k, max(l_extendedprice) AS s FROM lineitem GROUP BY 1 ORDER BY s DESC, k LIMIT 20)")
 def q_crawl_top(spark, sf):
     return read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_extendedprice").alias("s")).orderBy(F.desc("s"), "k").limit(20).select("k")
-
-
-@query("image_dataset_summary", "SELECT label, count(*) AS raw, count(*) FILTER (list_sum(list_transform(embedding, lambda x: x * x)) >= 0.5) AS clean, count(*) FILTER (vec_id % 5 = 0) AS no_licence FROM embeddings GROUP BY 1")
-def q_images(spark, sf):
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return read(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("raw"), F.count_if(norm >= 0.5).alias("clean"), F.count_if(F.col("vec_id") % 5 == 0).alias("no_licence"))

@@ -1,4 +1,4 @@
-"""Readers and writers: raw documents, chunks, logs, reports, text files, images, query plans."""
+"""Readers and writers: raw documents, chunks, logs, reports, text files, query plans. Images are in ``images``."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.folds import image_quality
-
 METADATA = (
     "source_id string, source_type string, title string, file_name string, url string, page int, crawled_at timestamp, "
     "reliability_level string, content_type string, content_hash string, dedupe_key string"
@@ -82,22 +80,3 @@ def read_query_plan(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     groups = rows.select(F.explode("groups").alias("group", "queries"))
     return groups.select("group", F.posexplode("queries").alias("place", "query"))
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("blur_score", "brightness", "green_ratio")] + [T.StructField("issues", T.ArrayType(T.StringType()))]))
-def _quality(data, width, height):
-    import pandas as pd
-
-    rows = []
-    for pixels, w, h in zip(data, width, height, strict=True):
-        metrics, issues = image_quality(pixels, int(w), int(h)) if w > 0 and h > 0 else ({"blur_score": 0.0, "brightness": 0.0, "green_ratio": 0.0}, ["unreadable"])
-        rows.append({**metrics, "issues": issues})
-    return pd.DataFrame(rows, columns=["blur_score", "brightness", "green_ratio", "issues"])
-
-
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """JPEG and PNG files with their size, metrics and issues."""
-    images = spark.read.format("image").load(path)
-    return images.select(
-        F.element_at(F.split("image.origin", "/"), -1).alias("file_name"), "image.width", "image.height", _quality("image.data", "image.width", "image.height").alias("q")
-    ).select("file_name", "width", "height", "q.*")

@@ -120,19 +120,6 @@ def test_chunks_reports_and_lines(spark, tmp_path):
     assert (got.source_id, got.raw_text, got.title) == ("s", "two\nlines", None)
 
 
-def test_images(spark, tmp_path):
-    import struct
-    import zlib
-
-    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    lines = b"".join(b"\0" + bytes([40, 200, 40]) * 330 for _ in range(320))
-    png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 330, 320, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
-    (tmp_path / "leaf.png").write_bytes(png)
-    row = files.read_images(spark, str(tmp_path / "leaf.png")).first()
-    assert (row.file_name, row.width, row.height, row.green_ratio, row.issues) == ("leaf.png", 330, 320, 1.0, ["blurred"])
-    assert row.brightness == pytest.approx(0.299 * 40 + 0.587 * 200 + 0.114 * 40, abs=0.5)
-
-
 def test_line_folds_by_hand(spark):
     merged = "one line\nthat goes on\nEnds here.\nlower after a stop\n\nNew"
     poor = "\n".join(["A line that is long enough", "short", "12/34 - 56 . 78 - 9012", "A line  that is LONG enough", "", "Sản phẩm nổi bật của tuần này", "A line that comes too late"])

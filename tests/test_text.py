@@ -117,8 +117,8 @@ def test_html():
 
 def test_image_gate():
     flat = np.full((400, 400, 3), 128, np.uint8)
-    assert folds.image_quality(flat.tobytes(), 400, 400)[1] == ["blurred", "no_leaf"]
+    assert folds.image_quality_stack(flat.reshape(1, 400, 400, 3))[0][3] == ["blurred", "no_leaf"]
     noise = np.random.default_rng(0).integers(0, 120, (400, 400, 3)).astype(np.uint8)
     noise[..., 1] += 100
-    assert folds.image_quality(noise.tobytes(), 400, 400)[1] == []
-    assert "too_small" in folds.image_quality(np.zeros((10, 10, 3), np.uint8).tobytes(), 10, 10)[1]
+    assert folds.image_quality_stack(noise.reshape(1, 400, 400, 3))[0][3] == []
+    assert "too_small" in folds.image_quality_stack(np.zeros((1, 10, 10, 3), np.uint8))[0][3]
