@@ -137,3 +137,27 @@ def triage(links: DataFrame, seeds: DataFrame, seen: DataFrame, budget: int | No
     within = first_n(rows.where("state = 'queued'").select("met", "url"), budget, "met", "url").select("url", F.lit(True).alias("within"))
     late = (F.col("state") == "queued") & F.col("within").isNull()
     return rows.join(within, "url", "left").select("url", F.when(late, "over_budget").otherwise(F.col("state")).alias("state"))
+
+
+#: What a chunk has where its source says nothing, in the order of the columns.
+CHUNK_DEFAULTS = {
+    "source_type": ("string", "manual"), "title": ("string", "Tài liệu chưa đặt tên"), "url": ("string", None), "file_name": ("string", None), "page": ("int", None),
+    "crawled_at": ("string", None), "reliability_level": ("string", "manual"), "category": ("string", None), "category_label": ("string", None),
+    "category_confidence": ("double", None), "category_terms": ("array<string>", []),
+}
+
+
+def with_metadata(chunks: DataFrame, crawled_at: str) -> DataFrame:
+    """chunk_id, source_id and the metadata of chunks, with defaults for what is null or not there; ``crawled_at`` is the time of the run.
+
+    ``chunks`` has source_id, ordinal and text. A chunk's id is a hash of its source and ordinal, so a run that is repeated
+    makes the same ids; a chunk without a source is its own source.
+    """
+    own = F.coalesce(F.nullif("source_id", F.lit("")), F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+
+    def value(name: str, kind: str, default):
+        fixed = F.array().cast(kind) if default == [] else F.lit(crawled_at if name == "crawled_at" else default).cast(kind)
+        return (F.coalesce(F.col(name).cast(kind), fixed) if name in chunks.columns else fixed).alias(name)
+
+    columns = [value(name, *kind) for name, kind in CHUNK_DEFAULTS.items()]
+    return chunks.select(F.sha1(F.concat(own, F.lit("#"), F.col("ordinal").cast("string")).cast("binary")).alias("chunk_id"), own.alias("source_id"), *columns, "ordinal", "text")

@@ -162,13 +162,55 @@ def warning_counts(report: DataFrame) -> DataFrame:
     return report.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-def quality_summary(report: DataFrame) -> DataFrame:
-    """Counts by each property, in long form, with chunk sums and the mean score."""
-    parts = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).alias("value")) for c in ("reliability_level", "review_status", "indexing_status")])
-    )
-    return (
-        report.select(parts.alias("p"), "chunk_count", "quality_score")
+def quality_summary(report: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Counts by each property, in long form, with chunk sums and the mean score.
+
+    With the chunks of the search index (source_id; without samples) there are rows of the property ``index``: how many chunks it
+    has, how many may be in it, and how far these are apart.
+    """
+    names = ("reliability_level", "source_type", "review_status", "indexing_status")
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    typed = report if "source_type" in report.columns else report.withColumn("source_type", P.source_type(F.col("url")))
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("property"), known(c).alias("value")) for c in names]))
+    counts = (
+        typed.select(parts.alias("p"), "chunk_count", "quality_score")
         .groupBy(F.col("p.property").alias("property"), F.col("p.value").alias("value"))
         .agg(F.count("*").alias("n"), F.sum("chunk_count").alias("chunks"), F.round(F.avg("quality_score"), 3).alias("mean_score"))
     )
+    if index is None:
+        return counts
+    none = F.lit(0).cast("long")
+    there = index.agg(F.count("*").alias("there")).select("there", none.alias("allowed"))
+    allowed = report.agg(F.sum(F.when(F.col("indexing_status") == "indexed", F.col("chunk_count"))).alias("allowed")).select(none.alias("there"), "allowed")
+    both = there.unionByName(allowed).agg(F.sum("there").alias("there"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("allowed"))
+    rows = F.explode(
+        F.array(
+            F.struct(F.lit("vector_chunk_count").alias("value"), F.col("there").alias("n")),
+            F.struct(F.lit("chunks_indexable").alias("value"), F.col("allowed").alias("n")),
+            F.struct(F.lit("real_index_drift").alias("value"), F.abs(F.col("allowed") - F.col("there")).alias("n")),
+        )
+    )
+    drift = both.select(rows.alias("r")).select(F.lit("index").alias("property"), "r.value", "r.n", F.lit(None).cast("long").alias("chunks"), F.lit(None).cast("double").alias("mean_score"))
+    return counts.unionByName(drift)
+
+
+#: Steps of a source on its way into the index, and the report's column that says whether it is done.
+STEPS = (("raw", "raw_char_count"), ("clean", "cleaned_char_count"), ("chunk", "chunk_count"), ("index", "chunk_count"))
+
+
+def source_progress(report: DataFrame) -> DataFrame:
+    """source_id, the steps that are done, and their percentage."""
+    done = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.lit(name)) for name, c in STEPS]))
+    return report.select("source_id", F.array_join(done, ",").alias("done"), F.round(F.size(done) * 100 / len(STEPS)).cast("int").alias("percent"))
+
+
+def source_views(report: DataFrame, most: int = 18) -> DataFrame:
+    """view, place and source_id of the first sources under each of the dashboard's filters, the worst first.
+
+    Filters: all, warnings, each review status and each level of reliability. A row goes to its filters within
+    one pass; ranking prunes before the shuffle.
+    """
+    views = F.array_compact(F.array(F.lit("all"), F.when(F.size("warnings") > 0, "warnings"), F.col("review_status"), F.col("reliability_level")))
+    rows = report.select(F.explode(views).alias("view"), "source_id", F.round("quality_score", 4).alias("score"), "cleaned_char_count")
+    order = Window.partitionBy("view").orderBy("score", F.desc("cleaned_char_count"), "source_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("view", "place", "source_id")

@@ -379,9 +379,21 @@ def q_source_quality(spark, sf):
     )
 
 
-@query("quality_summary", "WITH " + REPORT + ", p AS (SELECT unnest([{'property': 'reliability_level', 'value': level}, {'property': 'review_status', 'value': review_status}, {'property': 'indexing_status', 'value': indexing_status}]) AS p, coalesce(chunk_count, 0) AS c, quality_score AS q FROM r) SELECT p.property AS property, p.value AS value, count(*) AS n, CAST(sum(c) AS BIGINT) AS chunks, round(avg(q), 3) AS mean_score FROM p GROUP BY ALL")
+_TYPE = r"CASE WHEN regexp_matches(lower(url), '\.(pdf|docx|txt)$') THEN regexp_extract(lower(url), '\.(pdf|docx|txt)$', 1) ELSE 'web' END"
+
+
+@query("quality_summary", "WITH " + REPORT + f", p AS (SELECT unnest([{{'property': 'reliability_level', 'value': level}}, {{'property': 'source_type', 'value': {_TYPE}}}, {{'property': 'review_status', 'value': review_status}}, {{'property': 'indexing_status', 'value': indexing_status}}]) AS p, coalesce(chunk_count, 0) AS c, quality_score AS q FROM r), "
+"i AS (SELECT coalesce(sum(chunk_count) FILTER (doc_id % 10 <> 0), 0) AS there, coalesce(sum(chunk_count) FILTER (indexing_status = 'indexed'), 0) AS allowed FROM r) "
+"SELECT p.property AS property, p.value AS value, count(*) AS n, CAST(sum(c) AS BIGINT) AS chunks, round(avg(q), 3) AS mean_score FROM p GROUP BY ALL "
+"UNION ALL SELECT 'index', unnest(['vector_chunk_count', 'chunks_indexable', 'real_index_drift']), CAST(unnest([there, allowed, abs(allowed - there)]) AS BIGINT), NULL, NULL FROM i")
 def q_summary(spark, sf):
-    return quality.quality_summary(report(spark, sf))
+    """The index has all chunks of nine sources of ten, also of those that may not be in it."""
+    return quality.quality_summary(report(spark, sf), line_chunks(spark, sf).where("cast(source_id AS long) % 10 <> 0").select("source_id"))
+
+
+@query("source_progress", f"WITH {REPORT}, n AS (SELECT source_id, len(raw_text) > 0 AS a, len(cleaned_text) > 0 AS b, coalesce(chunk_count, 0) > 0 AS c FROM r) SELECT source_id, array_to_string(list_filter([CASE WHEN a THEN 'raw' END, CASE WHEN b THEN 'clean' END, CASE WHEN c THEN 'chunk' END, CASE WHEN c THEN 'index' END], lambda x: x IS NOT NULL), ',') AS done, 25 * (a::INT + b::INT + 2 * c::INT) AS percent FROM n")
+def q_source_progress(spark, sf):
+    return quality.source_progress(report(spark, sf))
 
 
 @query("warning_counts", f"WITH {REPORT} SELECT warning, count(*) AS n FROM (SELECT unnest(warnings) AS warning FROM r) GROUP BY 1")
@@ -395,10 +407,9 @@ def q_worst(spark, sf):
     return rows.orderBy("quality_score", F.desc("cleaned_char_count"), "source_id").limit(20).drop("cleaned_char_count")
 
 
-@query("source_view", f"WITH {REPORT} SELECT source_id, reliability FROM (SELECT source_id, level AS reliability, doc_id FROM r WHERE len(warnings) > 0 ORDER BY doc_id LIMIT 18)")
+@query("source_view", f"WITH {REPORT}, v AS (SELECT source_id, round(quality_score, 4) AS score, len(cleaned_text) AS n, unnest(list_filter(['all', CASE WHEN len(warnings) > 0 THEN 'warnings' END, review_status, level], lambda x: x IS NOT NULL)) AS view FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY score, n DESC, source_id) AS place FROM v) SELECT view, CAST(place AS INT) AS place, source_id FROM k WHERE place <= 18")
 def q_view(spark, sf):
-    rows = report(spark, sf).where(F.size("warnings") > 0)
-    return rows.orderBy(F.col("source_id").cast("long")).limit(18).select("source_id", F.col("reliability_level").alias("reliability"))
+    return quality.source_views(report(spark, sf))
 
 
 @query("source_mix", f"WITH {SOURCES} SELECT replace({_host('url')}, 'www.', '') AS domain, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM s GROUP BY 1 ORDER BY n DESC, domain LIMIT 12")
@@ -510,13 +521,15 @@ def q_risks(spark, sf):
     return trust(spark, sf).select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("pipeline_funnel", f"WITH {GATE} SELECT 'raw' AS step, count(*) AS done FROM q UNION ALL SELECT 'cleaned', count(*) FILTER (len(cleaned_text) > 0) FROM q UNION ALL SELECT 'chunked', count(*) FILTER (len(cleaned_text) >= 40) FROM q UNION ALL SELECT 'indexed', count(*) FILTER (indexing_status = 'indexed') FROM (SELECT *, {_review('level', 'quality_score')} FROM q)")
+@query("pipeline_funnel", f"WITH {GATE}, n AS (SELECT count(*) AS all_ FROM q), f AS (SELECT 'raw' AS step, count(*) AS done FROM q UNION ALL SELECT 'cleaned', count(*) FILTER (len(cleaned_text) > 0) FROM q UNION ALL SELECT 'chunked', count(*) FILTER (len(cleaned_text) >= 40) FROM q UNION ALL SELECT 'indexed', count(*) FILTER (indexing_status = 'indexed') FROM (SELECT *, {_review('level', 'quality_score')} FROM q)) SELECT step, done, all_ - done AS waiting, CASE WHEN done > 0 THEN 'done' ELSE 'waiting' END AS status, round(done * 100 / greatest(1, all_), 1) AS percent FROM f, n")
 def q_funnel(spark, sf):
     n = F.length("cleaned_text")
     one = quality.gate(sources(spark, sf)).agg(
         F.count("*").alias("raw"), F.count_if(n > 0).alias("cleaned"), F.count_if(n >= 40).alias("chunked"), F.count_if(F.col("indexing_status") == "indexed").alias("indexed")
     )
-    return one.selectExpr("stack(4, 'raw', raw, 'cleaned', cleaned, 'chunked', chunked, 'indexed', indexed) AS (step, done)")
+    steps = one.selectExpr("raw AS every", "stack(4, 'raw', raw, 'cleaned', cleaned, 'chunked', chunked, 'indexed', indexed) AS (step, done)")
+    status = F.when(F.col("done") > 0, "done").otherwise("waiting")
+    return steps.select("step", "done", (F.col("every") - F.col("done")).alias("waiting"), status.alias("status"), F.round(F.col("done") * 100 / F.greatest(F.lit(1), F.col("every")), 1).alias("percent"))
 
 
 @query("chunk_stats", f"WITH {SOURCES}, {CHUNKS} SELECT source_id, chunk_count, round(avg_chunk_chars, 3) AS avg_chars FROM c")

@@ -121,16 +121,21 @@ def q_chunks(spark, sf):
     return folds.chunk_documents(read(spark, sf, "documents"), "doc_id", F.regexp_replace("text", "\n", "\n\n"))
 
 
-@query("chunk_metadata", f"WITH {SOURCES}, c AS (SELECT *, list_filter(string_split(raw_text, chr(10)), lambda x: len(trim(x)) >= 40) AS ls FROM s) SELECT sha1(source_id || '#' || (i - 1)) AS chunk_id, coalesce(nullif(title, 'Untitled'), 'Tài liệu chưa đặt tên') AS title, coalesce(reliability_level, 'manual') AS reliability_level, CAST(i - 1 AS INT) AS ordinal FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM c)")
+_AT = "2024-01-01T00:00:00+00:00"
+
+
+@query("chunk_metadata", f"""WITH {SOURCES}, c AS (SELECT *, list_filter(string_split(raw_text, chr(10)), lambda x: len(trim(x)) >= 40) AS ls FROM s)
+SELECT sha1(source_id || '#' || (i - 1)) AS chunk_id, source_id, 'manual' AS source_type, coalesce(nullif(title, 'Untitled'), 'Tài liệu chưa đặt tên') AS title, url, NULL::VARCHAR AS file_name, NULL::INT AS page, '{_AT}' AS crawled_at,
+  coalesce(reliability_level, 'manual') AS reliability_level, CASE WHEN doc_id % 2 = 0 THEN 'disease' END AS category, NULL::VARCHAR AS category_label, NULL::DOUBLE AS category_confidence, '' AS category_terms, CAST(i - 1 AS INT) AS ordinal
+FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM c)""")
 def q_metadata(spark, sf):
     lines = F.filter(F.split("raw_text", "\n"), lambda x: F.length(F.trim(x)) >= 40)
-    rows = sources(spark, sf).select("source_id", "title", "reliability_level", F.posexplode(lines).alias("ordinal", "text"))
-    return rows.select(
-        F.sha1(F.concat("source_id", F.lit("#"), F.col("ordinal").cast("string")).cast("binary")).alias("chunk_id"),
-        F.coalesce(F.nullif(F.col("title"), F.lit("Untitled")), F.lit("Tài liệu chưa đặt tên")).alias("title"),
-        F.coalesce("reliability_level", F.lit("manual")).alias("reliability_level"),
-        "ordinal",
-    )
+    rows = sources(spark, sf).select(
+        "source_id", F.nullif("title", F.lit("Untitled")).alias("title"), "url", "reliability_level",
+        F.when(F.pmod("doc_id", F.lit(2)) == 0, "disease").alias("category"), F.posexplode(lines).alias("ordinal", "text"),
+    )
+    found = D.with_metadata(rows, _AT)
+    return found.withColumn("category_terms", F.array_join("category_terms", ",")).drop("text")
 
 
 # ---------------------------------------------------------------- parts of answers
