@@ -248,13 +248,12 @@ def _parts_of_texts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame
                         plain.append((x["name"], 0, id_, start, count, x["known"], data[start : start + count + length - 1]))
             if hot:
                 h1, h2, id_, at, known = (np.concatenate(x) for x in zip(*hot, strict=True))
-                # of equal strings of this batch the first and the last one say all that others need to know
+                # of equal strings of this batch the first one says all that others need to know
                 copy, several = _settle((h1, h2), id_, at)
                 gone = copy if keep_first else several
                 keep = ~copy | (gone & ~known)
                 out = zip(
-                    np.where(copy, mixed(h1 + at.astype(np.uint64)), h1).view(np.int64)[keep].tolist(),
-                    h2.view(np.int64)[keep].tolist(), id_[keep].tolist(), at[keep].tolist(),
+                    h1.view(np.int64)[keep].tolist(), h2.view(np.int64)[keep].tolist(), id_[keep].tolist(), at[keep].tolist(),
                     # a negative count: to be removed, as the batch shows
                     np.where(gone, -1, 1)[keep].tolist(), known[keep].tolist(), strict=True,
                 )
@@ -270,7 +269,7 @@ def _parts_of_texts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame
 def _repeated(rows: list[dict], length: int, keep_first: bool) -> list[tuple[int, int, int]]:
     """(id, first string, number of strings) that stand at several places of these rows, or have an earlier copy."""
     out = []
-    plain = [r for r in rows if r["text"] is not None]
+    plain = rows
     if plain:
         data = np.frombuffer(b"".join(r["text"] for r in plain), np.uint8)
         sizes = np.array([len(r["text"]) for r in plain], np.int64)
@@ -292,16 +291,11 @@ def _repeated(rows: list[dict], length: int, keep_first: bool) -> list[tuple[int
                 for i, n in zip(at[head].tolist(), np.diff(np.append(head, len(at))).tolist(), strict=True):
                     r = plain[owner[i]]
                     out.append((r["id"], r["start"] + i - int(offset[owner[i]]), n))
-    hashed = [r for r in rows if r["text"] is None]
-    if hashed:
-        key = [np.array([r[k] for r in hashed], np.int64) for k in ("name", "h2", "id", "start")]
-        gone = _settle((key[0], key[1]), key[2], key[3])[0 if keep_first else 1]
-        out += [(r["id"], r["start"], 1) for r, x in zip(hashed, gone.tolist(), strict=True) if (x or r["count"] < 0) and not r["known"]]
     return out
 
 
 def _compared(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """id, run: strings that are to be removed; all rows of a name meet in one task, in turn."""
+    """id, run: strings that are to be removed; all rows of a name, PIECES at most, meet in one task, in turn."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +312,24 @@ def _compared(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
                     yield answer(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row["text"] or b"") + 40
+                size += len(row["text"]) + 40
         if held:
             yield answer(held)
 
     return parts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "id long, run long")
 
 
+def _counted(hashed: DataFrame, keep_first: bool) -> DataFrame:
+    """The same of strings that are hashed one by one. Their first and last places are partial aggregates, so a string that stands
+    everywhere is never gathered; the join back is one that adaptive execution can split."""
+    place = F.struct("id", "start")
+    ends = hashed.groupBy("name", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    gone = (place != F.col("low")) if keep_first else (F.col("low") != F.col("high"))
+    run = (F.shiftleft("start", 9) + 1).alias("run")
+    later = hashed.where("count > 0 AND NOT known").join(ends, ["name", "h2"]).where(gone).select("id", run)
+    return hashed.where("count < 0 AND NOT known").select("id", run).unionByName(later)
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
     """id (of ``_named``) and runs (first string times 512 plus number of strings) that start at several places.
 
@@ -351,15 +356,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first:
         .select("name", "id", start.alias("start"), _field("count").alias("count"), "copy", "stands")
     )
     standing = settled.where("stands")
-    hot = standing.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("name", F.lit(True).alias("hot"))
-    listed = (
-        standing.join(hot, "name", "left")
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("name", "start", "count", F.col("copy").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("listed"))
-    )
+    hot = stored(standing.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("name"))
     packed = texts.select(F.col("__id").alias("id"), _pack("__text").alias("text")).dropDuplicates(["id"])
-    parts = _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length, keep_first)
-    single = _compared(parts, length, keep_first)
+
+    def parts(pieces: DataFrame, is_hot: bool) -> DataFrame:
+        piece = F.struct("name", "start", "count", F.col("copy").alias("known"), F.lit(is_hot).alias("hot"))
+        listed = pieces.groupBy("id").agg(F.collect_list(piece).alias("listed"))
+        return _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length, keep_first)
+
+    single = _compared(parts(standing.join(hot, "name", "left_anti"), False), length, keep_first)
+    if not hot.isEmpty():
+        single = single.unionByName(_counted(stored(parts(standing.join(hot, "name", "left_semi"), True).drop("text")), keep_first))
     whole = settled.where("copy").select("id", (F.shiftleft("start", 9) + F.col("count")).alias("run"))
     return whole.unionByName(single).groupBy("id").agg(F.collect_list("run").alias("runs"))
 
