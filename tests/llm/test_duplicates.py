@@ -337,3 +337,35 @@ def test_longest_previous_factors():
         d = bytes(r.choice(b"ab" if r.random() < 0.5 else b"abcd") for _ in range(r.randint(0, 30)))
         want = [max([k for j in range(i) for k in range(1, len(d) - i + 1) if d[j : j + k] == d[i : i + k]], default=0) for i in range(len(d))]
         assert suffix.longest_previous_factors(d) == want
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_one_passage_in_thousands_of_texts(spark, monkeypatch, keep_first):
+    """More different pieces around one gram than a suffix array takes, with the production lengths."""
+    asked, counted = [], suffix._counted
+    monkeypatch.setattr(suffix, "_counted", lambda *x: asked.append(1) or counted(*x))
+    r = random.Random(12)
+    letters = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, longer = letters(200), letters(260)
+    texts = [f"{letters(r.randint(150, 260))}{passage}{letters(r.randint(150, 260))}" for _ in range(2600)]
+    texts += [f"{t[:500]}{letters(40)}" for t in texts[:30]]  # copies of whole strings
+    texts += [f"{letters(100)}{longer}{passage}{letters(100)}" for _ in range(20)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    places = {}
+    order = [r["__id"] for r in suffix._named(frame).select("doc_id", "__id").orderBy("doc_id").collect()] if keep_first else range(len(texts))
+    for (i, t), key in zip(rows, order, strict=True):
+        for at in range(len(t) - suffix.LENGTH + 1):
+            places.setdefault(hash(t[at : at + suffix.LENGTH]), []).append((key, at, i))
+    gone = {}
+    for found in places.values():
+        if len(found) > 1:
+            for _, at, i in sorted(found)[1:] if keep_first else found:
+                gone.setdefault(i, set()).update(range(at, at + suffix.LENGTH))
+    assert len(gone) >= 40
+    if keep_first:
+        want = {i: "".join(c for at, c in enumerate(t) if at not in gone.get(i, ())) for i, t in rows}
+        assert {x.doc_id: bytes(x.kept).decode() for x in suffix.remove_later_copies(frame).collect()} == want
+    else:
+        assert {x.doc_id: x.n_removed for x in suffix.measure(frame).collect()} == {i: len(gone.get(i, ())) for i, _ in rows}
+    assert asked == [1]
