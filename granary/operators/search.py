@@ -332,45 +332,85 @@ def _scorer(rows: list[tuple], pool: int):
 def dense_search(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int = 5) -> DataFrame:
     """query_id, key, place and cosine of the k nearest rows of each query, the query itself left out.
 
-    Queries come in blocks; a task multiplies its batch with a block and keeps the best k of each query.
+    Scores are rounded to five places, ties go by key. Queries come in blocks; a task multiplies its batches with a block and
+    keeps the best k of each query, so that it sends k rows a query, however many rows it reads. Vectors that are null, hold
+    a null or have another length than the query have no score with it.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("vector"))
+    if blocks > 1:
+        rows = stored(rows)
     found = None
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, column).collect()
-        part = vectors.select(F.col(key).cast("long").alias("key"), column).mapInArrow(
-            _nearest([r[0] for r in rows], [r[1] for r in rows], k), "query_id long, key long, score double"
-        )
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).cast("long"), F.col(column).cast("array<double>")).collect()
+        part = rows.mapInArrow(_nearest([(r[0], r[1]) for r in asked], k), "query_id long, key long, score double")
+        part = part if blocks == 1 else stored(part)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 5)), "key")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
-    return ranked.select("query_id", F.col("key").alias(key), "place", F.round("score", 5).alias("score"))
-
-
-def _nearest(ids: list[int], given: list[list[float]], k: int):
-    def unit(x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return ranked.select("query_id", F.col("key").alias(key), "place", "score")
+
+
+class _Nearest:
+    """The first k rows of each query: higher scores first, ties by key."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self._open = 0
+
+    def add(self, score: np.ndarray, keys: np.ndarray) -> None:
+        """``score`` is queries x rows, minus infinity where there is none."""
+        query, row = np.nonzero((score >= self.floor[:, None]) & (score > -np.inf))
+        self._parts.append((query, score[query, row], keys[row]))
+        self._open += len(query)
+        if self._open > 1_000_000:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, score, keys = (np.concatenate(x) for x in zip(*self._parts, strict=True)) if self._parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((keys, -score, query))
+        query, score, keys = query[order], score[order], keys[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        last = nth == self.k - 1
+        self.floor[query[last]] = score[last]
+        self._parts, self._open = [tuple(x[nth < self.k] for x in (query, score, keys))], 0
+        return self._parts[0]
+
+
+def _nearest(asked: list[tuple[int, list[float] | None]], k: int):
+    def units(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """length -> (places, unit vectors) of those that are whole."""
+        by_length: dict[int, list[int]] = {}
+        for n, v in enumerate(vectors):
+            if v is not None and None not in v:
+                by_length.setdefault(len(v), []).append(n)
+        out = {}
+        for length, places in by_length.items():
+            x = np.array([vectors[n] for n in places], np.float64).reshape(len(places), length)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            out[length] = np.array(places), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not ids:
-            return
-        asked = unit(np.array(given, np.float64))
-        for batch in batches:
-            keys = np.array(batch.column(0), np.int64)
-            good = np.array([v is not None and len(v) == asked.shape[1] for v in batch.column(1).to_pylist()])
-            if not good.any():
-                continue
-            keys = keys[good]
-            rows = unit(np.array([v for v, x in zip(batch.column(1).to_pylist(), good, strict=True) if x], np.float64))
-            score = asked @ rows.T
-            score[np.array(ids)[:, None] == keys[None, :]] = -2.0
-            # ties at the k-th place are settled later, by key: keep all rows that reach its score
-            least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
-            q, r = np.nonzero((score >= least[:, None] - 1e-5) & (score > -2.0))
-            columns = [pa.array(np.array(ids)[q]), pa.array(keys[r]), pa.array(score[q, r])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "key", "score"])
+        ids, given = np.array([a for a, _ in asked], np.int64), units([v for _, v in asked])
+        best = _Nearest(len(asked), k)
+        step = max(1, 2_000_000 // max(1, len(asked)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                keys = np.array(batch.column(0), np.int64)
+                for length, (places, rows) in units(batch.column(1).to_pylist()).items():
+                    if length in given:
+                        own, vectors = given[length]
+                        score = np.full((len(asked), len(places)), -np.inf)
+                        # half up, as Spark and SQL round
+                        score[own] = np.floor(vectors @ rows.T * 100_000 + 0.5 + 1e-9) / 100_000
+                        score[ids[:, None] == keys[places][None, :]] = -np.inf
+                        best.add(score, keys[places])
+        query, score, keys = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(keys), pa.array(score)], names=["query_id", "key", "score"])
 
     return run
 

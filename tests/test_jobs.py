@@ -71,6 +71,24 @@ def test_search_does_not_depend_on_partitions(spark, n):
     assert got == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_nearest_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(i, [1.0, 2.0, 0.0, 1.0]) for i in range(60, 100)]
+    rows += [(100, None), (101, [1.0]), (102, [2.0]), (103, [0.0] * 4), (104, [1.0, None, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    asked = df.where("id % 10 = 0 OR id = 101")
+    got = sorted((x.query_id, x.place, x.id, x.score) for x in search.dense_search(df, asked, "id", "v", 3).collect())
+    want = []
+    for q, v in rows:
+        if (q % 10 == 0 or q == 101) and v and None not in v:
+            cos = lambda w: float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))) if any(v) and any(w) else 0.0
+            near = sorted((-np.floor(cos(w) * 1e5 + 0.5 + 1e-9) / 1e5, i) for i, w in rows if i != q and w and None not in w and len(w) == len(v))
+            want += [(q, n, i, pytest.approx(-s)) for n, (s, i) in enumerate(near[:3], 1)]
+    assert got == sorted(want, key=lambda x: x[:3]) and len(got) > 25
+
+
 def test_evaluation_edges(spark):
     cases = spark.createDataFrame([(1, ["rust"], ["leaf"]), (2, ["x"], []), (3, [], [])], "query_id long, expected array<string>, top array<string>")
     hits = spark.createDataFrame([(1, 1, "rust"), (1, 2, "leaf rust"), (3, 1, "any")], "query_id long, place long, text string")
