@@ -4,7 +4,8 @@ Every Arrow batch of documents is a shard: its words become numbers, and a suffi
 orders the places of the shard by the words that follow. Each suffix of the benchmark is
 found in it by binary search, one word deeper at a time, which gives its
 longest verbatim match and all locations. The benchmark is the side that is sent to
-the shards; if it is larger than BLOCK_CHARS it goes there in blocks, one after the other.
+the shards; if it is larger than BLOCK_CHARS it goes there in blocks, one after the other; items of
+more than SEGMENT_CHARS go in segments.
 
 Only words of the benchmark get numbers. A place is indexed if at least as many
 benchmark words follow as the shortest window has, since nothing shorter can match.
@@ -25,6 +26,8 @@ from granary.llm.common import ascii_lower_words, id_and_text, release, sha256_h
 WINDOW = 10
 #: Characters of the benchmark that the driver holds, and sends to the tasks, at once.
 BLOCK_CHARS = 4_000_000
+#: Characters of an item from which on it goes in segments.
+SEGMENT_CHARS = 2_000_000
 
 
 class _Numbers(dict):
@@ -35,11 +38,13 @@ class _Numbers(dict):
 class Block:
     """Windows of benchmark items: their words as numbers, and the items that each belongs to."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int):
+    def __init__(self, items: list[tuple], window: int):
+        """``items`` are (item, text), or (item, text, first word) of a segment."""
         self.numbers = _Numbers()
         found: dict[tuple[int, ...], set[str]] = {}
         self.items: list[tuple[str | None, np.ndarray]] = []
-        for item, text in items:
+        self.first = [x[2] if len(x) > 2 else 0 for x in items]
+        for item, text, *_ in items:
             words = ascii_lower_words(text)
             coded = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
             self.items.append((item, np.array(coded, np.int64)))
@@ -180,24 +185,47 @@ def longest_matches(texts: list[str], block: Block, window: int) -> list[tuple[i
     item = np.searchsorted(end, item_word[head], "right")
     doc = shard.document(place[head])
     found = zip(doc.tolist(), item.tolist(), (item_word[head] - (end - window - sizes)[item]).tolist(), (place[head] - shard.starts[doc]).tolist(), n.tolist(), strict=True)
-    return sorted(((d, block.items[i][0], a, b, k) for d, i, a, b, k in found), key=lambda x: (x[0], x[3], str(x[1]), x[2]))
+    return sorted(((d, block.items[i][0], block.first[i] + a, b, k) for d, i, a, b, k in found), key=lambda x: (x[0], x[3], str(x[1]), x[2]))
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Blocks of whole items, each different row once, by a hash of the text; each is collected when its turn comes."""
-    picked = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    size = picked.agg(F.sum(F.length("text"))).first()[0] or 0
+def _segments(benchmark: DataFrame, window: int, chars: int) -> DataFrame:
+    """item, first, text: each different item once, as its words; a long one in segments that overlap by a window less one word."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = ascii_lower_words(text)
+                ends = np.cumsum([len(w) + 1 for w in words])
+                start, rows = 0, []
+                while not rows or start + window - 1 < len(words):
+                    stop = max(start + window, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chars, "right")))
+                    rows.append((item, start, b" ".join(words[start:stop]).decode("utf-8", "surrogatepass")))
+                    start = max(start + 1, stop - window + 1) if stop < len(words) else len(words)
+                columns = zip(*rows, strict=True)
+                types = [pa.string(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item", "first", "text"])
+
+    picked = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    return picked.mapInArrow(run, "item string, first long, text string")
+
+
+def _blocks(benchmark: DataFrame, window: int, block_chars: int, segment_chars: int = SEGMENT_CHARS) -> Iterator[list[tuple[str | None, str, int]]]:
+    """Blocks of (item, words, first word) of bounded size, by a hash; each is collected when its turn comes."""
+    picked = stored(_segments(benchmark, window, segment_chars))
+    size = picked.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n = max(1, -(-2 * size // block_chars) if size > block_chars else 1)
     for k in range(n):
-        part = picked.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) if n > 1 else picked
-        yield [(row.item_id, row.text) for row in part.collect()]
+        part = picked.where(F.pmod(F.xxhash64("text", "item", "first"), F.lit(n)) == k) if n > 1 else picked
+        yield [(row.item, row.text, row.first) for row in part.select("item", "text", F.col("first")).collect()]
 
 
 def locate_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All maximal verbatim matches of benchmark items in whole texts.
 
     Returns doc_id, item_id (as text), item_word and doc_word (where the match begins, words from
-    0) and n_words: ``window`` words or more, or all of a shorter item. A document without a match has no
+    0) and n_words: ``window`` words or more, or all of a shorter item. An item of more than SEGMENT_CHARS goes in segments, and a match
+    over their border is two. A document without a match has no
     row; null texts have no words; a row of ``docs`` that repeats has its matches
     each time, a benchmark row that repeats is one.
     """
@@ -217,14 +245,14 @@ def locate_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return run
 
-    for items in _blocks(benchmark, block_chars):
+    for items in _blocks(benchmark, window, block_chars):
         part = stored(texts.mapInArrow(of(Block(items, window)), schema))
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, segment_chars: int = SEGMENT_CHARS
 ) -> DataFrame:
     """Words of each whole text that lie in a window of the benchmark.
 
@@ -235,7 +263,7 @@ def find_hits(
     words; a null item id hits but isn't listed; rows that repeat an item add nothing.
     """
     texts = id_and_text(docs)
-    blocks = _blocks(benchmark, block_chars)
+    blocks = _blocks(benchmark, window, block_chars, segment_chars)
     first, second = Block(next(blocks), window), next(blocks, None)
     if second is None:
         return texts.mapInArrow(_hits(first, window), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
@@ -314,7 +342,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     doesn't hit to the next one.
     """
     schema, left = docs.schema, docs
-    blocks = _blocks(benchmark, block_chars)
+    blocks = _blocks(benchmark, window, block_chars)
     items, further = next(blocks), next(blocks, None)
     while items is not None:
         texts = left.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))

@@ -56,6 +56,31 @@ def test_hits_by_brute_force(spark, docs):
             assert (got[doc_id].n_words, got[doc_id].n_hit, got[doc_id].n_items, got[doc_id].items_sha256) == (len(w), len(hit), len(found), digest)
 
 
+@pytest.mark.parametrize("segment", [30, 90, 10**6])
+def test_long_and_repeated_items(spark, segment):
+    """Items larger than a segment, and a benchmark row that stands there a hundred thousand times."""
+    r = random.Random(9)
+    items = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (300, 12, 10, 4, 60)]
+    docs = [f"{' '.join(r.choice(WORDS) for _ in range(40))} {' '.join(items[k % 5].split()[a : a + 14])} x" for k, a in ((k, r.randrange(0, 280)) for k in range(40))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    bench = bench.unionByName(spark.range(100_000).selectExpr("1L AS item_id", f"'{items[1]}' AS text"))
+    windows = {}
+    for k, item in enumerate(items):
+        w = item.split()
+        for i in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(k))
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.find_hits(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, block_chars=200, segment_chars=segment).collect()}
+    for i, text in enumerate(docs):
+        w, hit, found = text.split(), set(), set()
+        for a in range(len(w)):
+            for n in (4, 10):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    found |= windows[tuple(w[a : a + n])]
+        assert got[i] == (len(hit), len(found))
+    assert sum(n > 0 for n, _ in got.values()) > 5
+
+
 def test_longest_matches():
     block = decontaminate.Block([("7", "a b c d e f")], 3)
     assert decontaminate.longest_matches(["x a b c d y", "d e f"], block, 3) == [(0, "7", 0, 1, 4), (1, "7", 3, 0, 3)]
