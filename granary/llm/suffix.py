@@ -356,17 +356,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first:
         .select("name", "id", start.alias("start"), _field("count").alias("count"), "copy", "stands")
     )
     standing = settled.where("stands")
-    hot = stored(standing.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("name"))
+    hot = standing.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("name")
     packed = texts.select(F.col("__id").alias("id"), _pack("__text").alias("text")).dropDuplicates(["id"])
 
-    def parts(pieces: DataFrame, is_hot: bool) -> DataFrame:
-        piece = F.struct("name", "start", "count", F.col("copy").alias("known"), F.lit(is_hot).alias("hot"))
-        listed = pieces.groupBy("id").agg(F.collect_list(piece).alias("listed"))
-        return _parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length, keep_first)
-
-    single = _compared(parts(standing.join(hot, "name", "left_anti"), False), length, keep_first)
-    if not hot.isEmpty():
-        single = single.unionByName(_counted(stored(parts(standing.join(hot, "name", "left_semi"), True).drop("text")), keep_first))
+    flagged = standing.join(hot.withColumn("hot", F.lit(True)), "name", "left")
+    piece = F.struct("name", "start", "count", F.col("copy").alias("known"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    listed = flagged.groupBy("id").agg(F.collect_list(piece).alias("listed"))
+    parts = stored(_parts_of_texts(packed.join(listed, "id").select("id", "text", "listed"), length, keep_first))
+    single = _compared(parts.where("text IS NOT NULL"), length, keep_first)
+    single = single.unionByName(_counted(parts.where("text IS NULL").drop("text"), keep_first))
     whole = settled.where("copy").select("id", (F.shiftleft("start", 9) + F.col("count")).alias("run"))
     return whole.unionByName(single).groupBy("id").agg(F.collect_list("run").alias("runs"))
 
