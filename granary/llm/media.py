@@ -43,6 +43,8 @@ class Places:
         self._marks: dict[bytes, list[int]] = {}
         self._zips: dict[int, int] | None = None
         self.gif_ends: dict[int, int | None] = {}
+        self.segment_ends: dict[int, int | None] = {}
+        self.page_ends: dict[int, int | None] = {}
         self.block_ends: dict[int, int] = {}
 
     def of(self, mark: bytes) -> list[int]:
@@ -131,16 +133,23 @@ def _gif(data: bytes, at: int, places: Places) -> int | None:
 
 
 def _jpeg(data: bytes, at: int, places: Places) -> int | None:
-    here = at + 2
+    # where a file ends whose next segment begins at a place is the same for all files that come there
+    here, ends, walked, end = at + 2, places.segment_ends, [], None
     while here + 4 <= len(data) and data[here] == 0xFF:
+        if here in ends:
+            end = ends[here]
+            break
+        walked.append(here)
         marker = data[here + 1]
         here += 2 + _be(data, here + 2, 2)
         if marker == 0xDA:
-            end = places.first(b"\xff\xd9", here)
-            return end + 2 - at if end >= 0 else None
+            mark = places.first(b"\xff\xd9", here)
+            end = mark + 2 if mark >= 0 else None
+            break
         if not 0xC0 <= marker <= 0xFE:
-            return None
-    return None
+            break
+    ends.update(dict.fromkeys(walked, end))
+    return end - at if end else None
 
 
 def _riff(data: bytes, at: int, places: Places) -> int | None:
@@ -187,16 +196,22 @@ def _gzip(data: bytes, at: int, places: Places) -> int | None:
 
 
 def _ogg(data: bytes, at: int, places: Places) -> int | None:
-    here = at
+    here, ends, walked, end = at, places.page_ends, [], None
     while data[here : here + 4] == b"OggS" and here + 27 <= len(data):
+        if here in ends:
+            end = ends[here]
+            break
+        walked.append(here)
         table = data[here + 27 : here + 27 + data[here + 26]]
         last = data[here + 5] & 4
         here += 27 + data[here + 26] + sum(table)
         if here > len(data):
-            return None
+            break
         if last:
-            return here - at
-    return None
+            end = here
+            break
+    ends.update(dict.fromkeys(walked, end))
+    return end - at if end else None
 
 
 #: Magic bytes, type and validator (fixed values of the formats).

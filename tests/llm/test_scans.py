@@ -63,6 +63,12 @@ def test_many_hits_take_linear_time():
     began = time.process_time()
     assert licenses.scan("mit license cc by " * 60_000)[1] == 120_000
     assert media.carve(b"%PDF-1 PK\x03\x04 GIF89a1234567,12345678 \xff\xd8\xff\xe0\x00\x02\xff\xda\x00\x02" * 40_000) == []
+    pages = b"OggS\0\0" + bytes(20) + b"\x01\x00"  # pages without a last one
+    assert media.carve(pages * 40_000) == []
+    inside = b"\xff\xe0\x00\x08\xff\xd8\xff\xe0\x00\x02"  # segments that hold the mark of a beginning
+    assert media.carve(b"\xff\xd8" + inside * 40_000) == []
+    whole = pages[:5] + b"\x04" + pages[6:]
+    assert media.carve(b"x" + pages * 3 + whole + b"y" + whole) == [(1, 4 * len(pages), "audio/ogg"), (2 + 4 * len(pages), len(whole), "audio/ogg")]
     assert time.process_time() - began < 8
 
 
