@@ -252,3 +252,10 @@ def test_held_out_languages_and_quality(spark):
         assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
     scored = score_documents(docs, labels).where("held_out").join(labels, "doc_id")
     assert scored.selectExpr("avg(cast(quality = predicted as double))").first()[0] > 0.85
+
+
+def test_equal_entropies_go_to_the_smaller_label():
+    text = "the same words in both languages, again and again, with some others " * 8
+    parser = CrossParser({"b": text, "a": text, "c": "völlig andere Wörter ganz ohne die übrigen " * 10})
+    assert parser.predict([text[5:90], "w", "völlig andere"])[:1] == [("a", 0.5)] and parser.predict(["völlig andere Wörter"])[0][0] == "c"
+    assert [lang for lang, _ in parser.predict([text[k : k + 30] for k in range(0, 200, 9)])] == ["a"] * 23
