@@ -48,7 +48,7 @@ def test_by_brute_force(spark, spread):
     rows += [(10, 1, [0.5] * 5), (11, 2, [0.5] * 5), (11, 2, [0.5] * 5)]  # ids that repeat
     want = brute(rows)
     assert len(want) > 500 and answers(spark, rows) == want
-    assert answers(spark, rows, block_numbers=40) == want  # many blocks
+    assert answers(spark, rows, block_numbers=150) == want  # several blocks
     assert answers(spark, rows, k=3, positives=2, low=10, high=50) == brute(rows, 3, 2, 10, 50)
 
 
