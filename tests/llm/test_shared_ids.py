@@ -76,3 +76,20 @@ def test_pipeline_keeps_all_clean_rows(spark, tmp_path):
         assert Counter(" ".join(own(r.text)) for r in docs.collect()) == want, name
     _, encode = corpus_pipeline.STAGES[-1]
     assert encode(spark, docs, str(tmp_path)).count() == sum(want.values())
+
+
+def test_tags_go_only_with_ids_of_several_texts(spark, monkeypatch):
+    made, rows_of = [], substring._anchor_rows
+    monkeypatch.setattr(substring, "_anchor_rows", lambda docs, window: made.append(rows_of(docs, window)) or made[-1])
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, f"x {a}"), (3, b), (3, f"y z {b} {c}"), (4, c), (5, None), (None, d), (None, f"{d} u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.measure(docs).collect())
+    tags = {}
+    for r in made[0].collect():
+        tags.setdefault(r.id, set()).add(r.tag)
+    assert len(tags[3]) == 2 and 0 not in tags[3]
+    assert all(x == {0} for i, x in tags.items() if i != 3) and len(tags) == 6
+    nulls = sum(n for (i, *_), n in got.items() if i is None)
+    assert nulls == 2 and sum(r[2] for r in got if r[0] is None) == 30
+    assert Counter({r: n for r, n in got.items() if r[0] is not None}) == Counter([(1, 30, 0)] * 2 + [(2, 31, 30), (3, 30, 0), (3, 62, 30), (4, 30, 30), (5, 0, 0)])
