@@ -51,6 +51,8 @@ ROUNDS, FOLDS, STEP, RIDGE, LARGEST = 4, 16, 0.35, 20.0, 1.25
 #: Occurrences that a slot needs to count as much as its node.
 PRIOR = 4.0
 PORTION, TOKENS = 1_000_000, 1024
+#: Tokens that are scored together, equal ones in equal contexts once.
+TOGETHER = 1 << 20
 _BLOCK = 1 << 16
 #: Bytes of words, A-Z in lower case, white space as spaces.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -264,6 +266,13 @@ def _slices(blobs: pa.Array, texts: int = 256) -> Iterator[tuple[np.ndarray, np.
         yield _ids(blobs[start : start + texts])
 
 
+def _together(blobs: pa.Array, n_tokens: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of as many texts as have about so many tokens."""
+    edge = np.flatnonzero(np.diff((np.cumsum(n_tokens) - n_tokens) // most, prepend=-1, append=-1))
+    for start, stop in zip(edge.tolist(), edge[1:].tolist()):
+        yield _ids(blobs[start:stop])
+
+
 # classes
 
 
@@ -336,17 +345,27 @@ class Tree:
     def child(leaf: np.ndarray, level: int) -> np.ndarray:
         return leaf // BRANCH ** (LEVELS - 1 - level) % BRANCH
 
-    def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(leaves, hashes of the features of each kind) of the tokens of texts laid end to end."""
+    def laid(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves of the tokens of texts laid end to end, of the tokens before, and of those before them."""
         # two ends stand before each text
         n = len(sizes)
         laid = np.full(len(ids) + 2 * n, self.leaf[END], np.int64)
         at = np.arange(len(ids)) + 2 * np.repeat(np.arange(1, n + 1), sizes)
         leaves = laid[at] = self.leaf[ids]
-        before, skipped = laid[at - 1].astype(np.uint64) + np.uint64(1), laid[at - 2].astype(np.uint64) + np.uint64(1)
+        return leaves, laid[at - 1], laid[at - 2]
+
+    @staticmethod
+    def features(before: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """Hashes of the features of each kind."""
+        before, skipped = before.astype(np.uint64) + np.uint64(1), skipped.astype(np.uint64) + np.uint64(1)
         keys = np.stack([before * _M1, (before * _M1 + skipped) * _M2 + np.uint64(77), skipped * _M1 + np.uint64(99991)])
         keys ^= keys >> np.uint64(29)
-        return leaves, keys * _M2
+        return keys * _M2
+
+    def contexts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, hashes of the features of each kind) of the tokens of texts laid end to end."""
+        leaves, before, skipped = self.laid(ids, sizes)
+        return leaves, self.features(before, skipped)
 
     def slot(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Slots of features at nodes; no two nodes share one."""
@@ -417,6 +436,32 @@ class Model:
                         array[level, kind] += np.bincount(bucket[kind], x, BUCKETS)
         return out
 
+    def different(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What ``texts`` gives, worked out once for tokens that are equal and have equal contexts, and once for a node in a context."""
+        leaves, before, skipped = self.tree.laid(ids, sizes)
+        code, back = np.unique((before * LEAVES + skipped) * LEAVES + leaves, return_inverse=True)
+        out = np.empty(len(code))
+        for start in range(0, len(code), TOKENS):
+            context, leaf = np.divmod(code[start : start + TOKENS], LEAVES)
+            out[start : start + TOKENS] = self._logs_in_order(context, leaf)
+        return out[back] / math.log(10)
+
+    def _logs_in_order(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural logarithms as those of ``logs``, of tokens in the order of context and leaf: those that share a node stand together."""
+        out, keys = np.zeros(len(leaf)), self.tree.features(*np.divmod(context, LEAVES))
+        for level in range(LEVELS):
+            node, child = self.tree.node(leaf, level), self.tree.child(leaf, level)
+            new = np.ones(len(leaf), bool)
+            new[1:] = (context[1:] != context[:-1]) | (node[1:] != node[:-1])
+            head, row = np.flatnonzero(new), np.cumsum(new) - 1
+            slot = self.tree.slot(keys[:, head], node[head])
+            bucket, score = self.bucket[slot], self.tree.bias[node[head]]
+            for kind in range(KINDS):
+                score += self.weights[level, kind][bucket[kind]][:, None] * self.value[slot[kind]]
+            own = score[row, child]
+            out += own - np.log(np.exp(score, out=score).sum(1))[row]
+        return out
+
     def texts(self, ids: np.ndarray, sizes: np.ndarray, sums=None) -> np.ndarray:
         """log10 of the probabilities of all tokens."""
         leaves, keys = self.tree.contexts(ids, sizes)
@@ -458,9 +503,9 @@ def scored(texts: DataFrame, model, counts: np.ndarray, unknown: float) -> DataF
         own: Model = model.value
         for batch in batches:
             sums = []
-            for ids, sizes in _slices(batch.column("ids")):
+            for ids, sizes in _together(batch.column("ids"), batch.column("n_tokens").to_numpy(), TOGETHER):
                 head = np.cumsum(sizes) - sizes
-                sums.append([np.add.reduceat(x, head) for x in (is_known[ids].astype(np.int64), log_next[ids], own.texts(ids, sizes))])
+                sums.append([np.add.reduceat(x, head) for x in (is_known[ids].astype(np.int64), log_next[ids], own.different(ids, sizes))])
             n, after, logs = (np.concatenate(x) for x in zip(*sums, strict=True)) if sums else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
             rare, rare_next, rare_own = (batch.column(x).to_numpy() for x in ("n_rare", "log_next", "log_own"))
             columns = [*(batch.column(x) for x in names[:4]), pa.array(n + rare), pa.array(after + rare_next), pa.array(logs + rare_own + rare * share)]

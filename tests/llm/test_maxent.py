@@ -119,3 +119,25 @@ def test_edges(spark):
     only = [(i, "some words") for i in range(40) if held(i)]
     for r in maxent.score_documents(frame(spark, only), HELD, slots=1 << 10).collect():  # nothing to learn from
         assert (r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 3, 0.0) and -100 < r.score <= 0
+
+
+def test_equal_contexts_are_worked_out_once(monkeypatch):
+    r = np.random.default_rng(5)
+    tree = maxent.Tree(np.arange(90) * (maxent.LEAVES - 1) // 89, r.integers(1, 50, 90), 1 << 12)
+    weights = r.uniform(0, 0.8, (maxent.LEVELS, maxent.KINDS, maxent.BUCKETS)).astype(np.float32)
+    model = maxent.Model(tree, r.poisson(2, (tree.slots, maxent.BRANCH)), weights)
+    line = np.append(r.integers(1, 90, 400), maxent.END)
+    parts = [line, line, np.array([maxent.END]), r.integers(0, 6, 5000), line[200:]]
+    ids, sizes = np.concatenate(parts), np.array(list(map(len, parts)))
+    asked, slot = [], tree.slot
+    monkeypatch.setattr(tree, "slot", lambda keys, node: asked.append(len(node)) or slot(keys, node))
+    got, rows = model.different(ids, sizes), sum(asked)
+    asked.clear()
+    assert got == pytest.approx(model.texts(ids, sizes), rel=1e-5, abs=1e-6)
+    assert rows < sum(asked) / 4
+    blobs = maxent.pa.array([maxent.zstandard.ZstdCompressor().compress(x.astype("<u2").tobytes()) for x in parts], maxent.pa.binary())
+    for most in (1, 401, 700, 1 << 20):
+        found = list(maxent._together(blobs, sizes, most))
+        assert np.array_equal(np.concatenate([x for x, _ in found]), ids) and np.array_equal(np.concatenate([n for _, n in found]), sizes)
+        assert all(len(x) <= most + sizes.max() for x, _ in found)
+    assert list(maxent._together(blobs[:0], sizes[:0], 9)) == []
