@@ -1,8 +1,12 @@
 """Alignment of two tokenizers' tokens of the same text.
 
-Both tokenizers encode the whole text. Places where a token of either begins with a space and both
-have a token end before it are anchors: they cut the document into windows of few tokens. A window's
-alignment depends on its token ids alone, so it is worked out once for each pair of id tuples, and remembered.
+Places where a token of either begins with a space and both have a token end before it are anchors: they
+cut the document into windows of few tokens. A window's alignment depends on its token ids alone, so it is worked out
+once for each pair of id tuples, and remembered.
+
+Both tokenizers always have such a place at a space behind something that is no white space, if no match of A's pattern and no
+piece of B goes over it. So a text is cut there, into units, and the ids of each different unit are worked out once and
+remembered. Where a tokenizer doesn't keep a unit byte for byte, or a piece does go over such a space, both encode the whole text.
 
 A pair of tokens is linked where both end at the same byte. How often a pair is linked is counted over the
 corpus. Of two linked tokens one is the end of the other, so there are no more pairs than the vocabularies have
@@ -13,9 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -28,9 +35,13 @@ from granary.llm.common import bounded_batches, held, id_and_text, mixed, portio
 #: Windows that a worker remembers, and the longest of them (bytes of ids).
 KNOWN_WINDOWS = 250_000
 KNOWN_BYTES = 256
-#: Characters that are tokenised at once.
+#: Characters that are tokenised at once, and units.
 PORTION = 500_000
-_SPACE = 0x20
+UNITS = 64
+#: From a space on up to the next one behind something that is no white space. Python's white space holds all of the pattern's.
+_UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+#: A piece that goes over such a space.
+_OVER = re.compile(r"\S ")
 #: Fixed by the piece format: the mark of a space.
 _MARK = "▁"
 
@@ -89,6 +100,11 @@ class Aligner:
         #: A link's number is the A id times this, plus the B id.
         self.factor = len(self.tokens_b)
         self._windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        #: The same of units, behind the numbers of their tokens.
+        self._units: dict[str, tuple[int, int, bytes, bytes]] = {}
+        #: The pattern's words don't go over a space, and neither does a piece.
+        names = (self._b.id_to_piece(i).replace(_MARK, " ") for i in range(self.factor))
+        self._in_units = pattern == public_tokenizers.PATTERN and not any(map(_OVER.search, names))
 
     def _kept(self, ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, first: np.ndarray, want: bytes) -> bool:
         """Are the bytes of all tokens, one after the other, those of the text?"""
@@ -153,8 +169,67 @@ class Aligner:
                 return np.arange(len(cut_a)), np.arange(len(cut_a))
         return first, kind
 
+    def _coded(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of units, many at a time; each alone where a tokenizer doesn't keep all of them."""
+        out: list[tuple[bytes, bytes] | None] = [None] * len(units)
+        parts = [units[n : n + UNITS] for n in range(0, len(units), UNITS)]
+        pairs = self.encode(["".join(part)[1:] for part in parts])
+        kept = [n for n, (a, _) in enumerate(pairs) if len(a)]
+        if kept:
+            start = np.cumsum([0, *(len(utf8(unit)) for n in kept for unit in parts[n])])
+            of = []
+            for k, sizes in ((0, self._sizes_a), (1, self._sizes_b)):
+                ids = np.concatenate([pairs[n][k] for n in kept])
+                place = np.append(0, np.cumsum(sizes[ids]))
+                cut = np.searchsorted(place, start)
+                if not np.array_equal(place[np.minimum(cut, len(place) - 1)], start):  # a token goes over a border: whole texts, then
+                    return [None] * len(units)
+                data, cut = ids.astype(np.int32).tobytes(), (cut * 4).tolist()
+                of.append([data[i:m] for i, m in zip(cut, cut[1:])])
+            for n, pair in zip((n * UNITS + k for n in kept for k in range(len(parts[n]))), zip(*of, strict=True), strict=True):
+                out[n] = pair
+        alone = [n * UNITS + k for n, (a, _) in enumerate(pairs) if not len(a) for k in range(len(parts[n]))]
+        for n, (a, b) in zip(alone, self.encode([units[n][1:] for n in alone]) if alone else (), strict=True):
+            out[n] = (a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()) if len(a) else None
+        return out
+
+    def _rows_of(self, units: list[str]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """(A tokens, B tokens, groups, links) of different units, from memory or worked out together. A unit that a tokenizer
+        doesn't keep, or that ends in white space (the last of a text), has none."""
+        known = self._units
+        found = list(map(known.get, units))
+        new = [n for n, x in enumerate(found) if x is None and not units[n][-1].isspace()]
+        coded = [(n, ids) for n, ids in zip(new, self._coded([units[n] for n in new]) if new else (), strict=True) if ids]
+        for (n, (a, b)), x in zip(coded, self.windows([ids for _, ids in coded]), strict=True):
+            found[n] = row = (len(a) // 4, len(b) // 4, *x)
+            if len(units[n]) <= KNOWN_BYTES:
+                known[units[n]] = row
+        if len(known) > KNOWN_WINDOWS:
+            known.clear()
+        return found
+
     def align(self, texts: list[str]) -> list[tuple[int, int, bytes, bytes]]:
         """(A tokens, B tokens, groups as ``a1,a2|b1;a3|b2``, links as little-endian unsigned 32-bit numbers) of whole texts."""
+        if not self._in_units:
+            return self._align_whole(texts)
+        cut = [_UNIT.findall(f" {text}") if text else [] for text in texts]
+        every = list(chain.from_iterable(cut))
+        number = {unit: n for n, unit in enumerate(dict.fromkeys(every))}
+        rows = self._rows_of(list(number))
+        n_a, n_b = (np.array([0 if x is None else x[n] for x in rows], np.int64) for n in (0, 1))
+        groups, links = ([b"" if x is None else x[n] for x in rows] for n in (2, 3))
+        kinds = list(map(number.__getitem__, every))
+        kind, edge = np.array(kinds, np.int64), np.cumsum([0, *map(len, cut)])
+        sums = [np.diff(np.append(0, np.cumsum(x))[edge]).tolist() for x in (n_a[kind], n_b[kind], n_a[kind] == 0)]
+        groups, links, at = list(map(groups.__getitem__, kinds)), list(map(links.__getitem__, kinds)), edge.tolist()
+        out = [(a, b, b";".join(groups[i:m]), b"".join(links[i:m])) for a, b, i, m in zip(*sums[:2], at, at[1:])]
+        whole = [n for n, x in enumerate(sums[2]) if x]
+        for n, x in zip(whole, self._align_whole([texts[n] for n in whole]) if whole else (), strict=True):
+            out[n] = x
+        return out
+
+    def _align_whole(self, texts: list[str]) -> list[tuple[int, int, bytes, bytes]]:
+        """The same, by tokens of the whole texts."""
         coded = self.encode(texts)
         a, b = (np.concatenate([np.zeros(0, np.int64), *(pair[n] for pair in coded)]) for n in (0, 1))
         if not len(a):

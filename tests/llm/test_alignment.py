@@ -129,3 +129,18 @@ def test_pairs_are_bounded_by_the_vocabularies(spark, texts):
         for link in [int.from_bytes(x, "little") for x in map(bytes, zip(*[iter(tool.align([text or ""])[0][3])] * 4))]:
             a, b = tool.tokens_a[link // tool.factor], tool.tokens_b[link % tool.factor]
             assert a.endswith(b) or b.endswith(a)
+
+
+def test_units_are_encoded_once_and_give_what_whole_texts_give(texts, monkeypatch):
+    r, odd = random.Random(9), " \n\t 　\x1c\x85\x00ab'1.▁一\U0001f600"
+    some = [*(t or "" for t in texts), *("".join(r.choice(odd) for _ in range(r.randint(0, 40))) for _ in range(300)), "x" * 3000, " a ", "a  b \n c", "▁ a"]
+    tool = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN)
+    whole = alignment.Aligner(queries.BYTE_LEVEL, queries.PIECES, queries.PATTERN)._align_whole(some)
+    assert tool.align(some) == whole == tool.align(some)
+    assert sum(x[0] == 0 for x in whole) > 20 and sum(x[0] > 0 for x in whole) > 200
+    asked, encode = [], tool.encode
+    monkeypatch.setattr(tool, "encode", lambda parts: asked.extend(parts) or encode(parts))
+    tool.align(["a few new words: qqq zzz"])
+    asked.clear()
+    assert tool.align(["new words: a few zzz qqq", "a few a few words:"])[1][0] > 4
+    assert asked == []
