@@ -394,3 +394,32 @@ def test_one_passage_in_thousands_of_texts(spark, monkeypatch, keep_first):
     else:
         assert {x.doc_id: x.n_removed for x in suffix.measure(frame).collect()} == {i: len(gone.get(i, ())) for i, _ in rows}
     assert asked == [1]
+
+
+def _python_nodes(node, above=None):
+    """Pairs of Python nodes of which one feeds the other within a task, so that it has two workers at once."""
+    if "Exchange" in node.nodeName():
+        above = None
+    python = node.nodeName() if any(x in node.nodeName() for x in ("Arrow", "Python", "Pandas")) else None
+    found = [(above, python)] if above and python else []
+    children = node.children()
+    for k in range(children.size()):
+        found += _python_nodes(children.apply(k), python or above)
+    return found
+
+
+def test_cutting_takes_one_python_worker_a_task(spark):
+    schema = "runs int, text string, doc_id long, id string"
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words, 1, "a"), (2, f"x {words} y", 2, "b"), (3, words, 3, "c"), (4, None, 4, "d"), (5, "", 5, None)], schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as larger tables are joined
+    try:
+        cut = substring.remove_repeats(docs.select("text", "doc_id"))
+        assert _python_nodes(cut._jdf.queryExecution().executedPlan().initialPlan()) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # other columns may have any name and stay where they are
+    cut = substring.remove_repeats(docs)
+    assert [(f.name, f.dataType) for f in cut.schema] == [(f.name, f.dataType) for f in docs.schema]
+    expected = [(1, words, 1, "a"), (2, "x y", 2, "b"), (4, None, 4, "d"), (5, "", 5, None)]
+    assert sorted(map(tuple, cut.collect())) == expected
