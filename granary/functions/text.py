@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from granary import config
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Unicode's space separators.
+SPACES = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=1)
@@ -31,6 +33,11 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), table, base), r"\p{Mn}", "")
 
 
+def lower_each(c: Column) -> Column:
+    """Lower case letter by letter, whatever stands beside it: a final sigma is one as any other, a dotted I is an i."""
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

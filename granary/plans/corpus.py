@@ -313,15 +313,16 @@ r AS (SELECT doc_id, key FROM k WHERE len(l) BETWEEN 5 AND 120 GROUP BY ALL HAVI
 SELECT doc_id, count(*) FILTER (r.key IS NULL) AS kept, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS digest
 FROM k LEFT JOIN r USING (doc_id, key) GROUP BY doc_id""")
 def q_headers(spark, sf):
-    """Row-local: the repeated keys of a document come from its own array of lines."""
-    ls = F.transform(F.split("text", "\n"), F.trim)
-    key = lambda x: F.regexp_replace(F.lower(x), r"\d+", "#")
+    """Row-local: the repeated keys of a document come from its own array of lines. A document without a text has no lines."""
+    # F.trim itself takes a second argument, which would be the place of the line
+    ls = F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(T.SPACES)))
+    key = lambda x: F.regexp_replace(T.lower_each(x), r"\d+", "#")
     short = F.transform(F.filter(ls, lambda x: F.length(x).between(5, 120)), key)
     # in sorted order a key that occurs three times equals the one two places on
     often = T.once(F.array_sort(short), lambda o: F.array_distinct(F.filter(o, lambda x, i: x == F.try_element_at(o, i + 3))))
     both = F.struct(ls.alias("ls"), often.alias("often"))
     lines = T.once(both, lambda b: F.filter(b["ls"], lambda x: ~F.array_contains(b["often"], key(x))))
-    kept = read(spark, sf, "documents").select("doc_id", lines.alias("ls"))
+    kept = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("ls"))
     return kept.select("doc_id", F.size("ls").cast("long").alias("kept"), F.md5(F.array_join("ls", "\n")).alias("digest"))
 
 
