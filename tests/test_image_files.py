@@ -90,6 +90,15 @@ def test_a_listing_has_no_task_for_each_folder(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_the_summary_lists_and_reads_few_times(spark):
+    """Pictures in 500 folders, of which each listing or reading with a task a folder would be 500 tasks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        assert sum(tasks_of(spark, lambda: P.q_summary(spark, "/root/testdata/sf0.001").collect())) < 1500
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_a_picture_without_tiles_follows_from_remainders():
     values = np.random.default_rng(2).normal(size=64)
     for n in (*range(60), 420, 427, 1_000_002, 10**12 + 6):
